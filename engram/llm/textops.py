@@ -34,6 +34,9 @@ def mix(x: np.ndarray) -> np.ndarray:
 BYTE_VALUES = mix(np.arange(1, 257, dtype=U64) * U64(0x9E3779B97F4A7C15))
 IS_WORD = np.ones(256, dtype=bool)
 IS_WORD[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = False
+#: Letters and digits: of ASCII those alone, and every byte of longer characters.
+IS_ALNUM = np.zeros(256, dtype=bool)
+IS_ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 _powers: dict[int, np.ndarray] = {}
@@ -99,10 +102,10 @@ class Words(NamedTuple):
     first: np.ndarray
 
 
-def words(column: pa.Array, lower: bool = True) -> Words:
-    """Byte spans and 64-bit hashes of the words of each row."""
+def words(column: pa.Array, lower: bool = True, table: np.ndarray = IS_WORD) -> Words:
+    """Byte spans and 64-bit hashes of the words of each row; ``table`` says which bytes words are made of."""
     data, offsets = utf8(column)
-    inside = IS_WORD[data]
+    inside = table[data]
     begins = np.zeros(len(data) + 1, dtype=bool)
     begins[:-1] = inside
     begins[1:-1] &= ~inside[:-1]
