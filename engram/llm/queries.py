@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from engram.llm.decontam import benchmark_leaks
 from engram.llm.langid import language_id
 from engram.llm.mixing import mix_sources
+from engram.llm.neardup import near_dup_groups
 from engram.llm.quality import ORACLE_SQL as QUALITY_SQL
 from engram.llm.quality import quality_rules
 from engram.llm.secrets import secret_scan
@@ -37,6 +38,10 @@ def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_table(spark, sf_dir, "documents"))
 
 
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup_groups(_table(spark, sf_dir, "documents"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxic_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
