@@ -12,6 +12,7 @@ from engram.llm.neardup import near_dup_groups
 from engram.llm.quality import ORACLE_SQL as QUALITY_SQL
 from engram.llm.quality import quality_rules
 from engram.llm.secrets import secret_scan
+from engram.llm.suffix_dedup import substring_dedup
 from engram.llm.toxicity import toxic_documents
 
 
@@ -19,6 +20,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(_table(spark, sf_dir, "documents"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_table(spark, sf_dir, "documents"))
 
