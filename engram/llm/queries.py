@@ -9,6 +9,7 @@ from engram.llm.gru import lm_score
 from engram.llm.langid import language_id
 from engram.llm.mixing import mix_sources
 from engram.llm.neardup import near_dup_groups
+from engram.llm.pii import private_texts
 from engram.llm.quality import ORACLE_SQL as QUALITY_SQL
 from engram.llm.quality import quality_rules
 from engram.llm.secrets import secret_scan
@@ -32,6 +33,10 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return benchmark_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op4_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return private_texts(_table(spark, sf_dir, "documents"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(_table(spark, sf_dir, "documents"))
 
