@@ -23,10 +23,11 @@ def clean_query(query: Column) -> Column:
     return F.regexp_replace(query, "[^A-Za-z0-9_ ]", "")
 
 
-def query_terms(query: str) -> list[dict[str, list[list[str]]]]:
+def query_terms(query: str) -> list[dict[str, list]]:
     """A cleaned query as alternatives of required and excluded phrases.
 
-    Adjacent words must all occur; NOT binds next, then AND, then OR.  A word
+    ``need`` holds phrases that must all occur; a group of ``without`` excludes a
+    text in which all of the group's phrases occur.  Adjacent words belong together; NOT binds next, then AND, then OR.  A word
     with underscores is a phrase.  Raises ValueError where an operator lacks a side."""
     cleaned = re.sub("[^A-Za-z0-9_ ]", "", query)
     if not cleaned.strip():
@@ -34,14 +35,14 @@ def query_terms(query: str) -> list[dict[str, list[list[str]]]]:
     out = []
     for branch in re.split(r"(?:^|\s)OR(?=\s|$)", cleaned):
         need: list[list[str]] = []
-        without: list[list[str]] = []
+        without: list[list[list[str]]] = []
         for part in re.split(r"(?:^|\s)AND(?=\s|$)", branch):
             first, *rest = (p.split() for p in re.split(r"(?:^|\s)NOT(?=\s|$)", part))
             if not first or not all(rest):
                 raise ValueError(f"an operator lacks a side: {query!r}")
             need += [[w for w in word.lower().split("_") if w] for word in first]
-            without += [[w for w in word.lower().split("_") if w] for words in rest for word in words]
-        out.append({"need": [p for p in need if p], "without": [p for p in without if p]})
+            without += [[[w for w in word.lower().split("_") if w] for word in words] for words in rest]
+        out.append({"need": [p for p in need if p], "without": without})
     return out
 
 
