@@ -7,11 +7,14 @@
    the least depth or more, and whose signatures agree well enough to be a link
    at all, are candidates.  The least depth follows from the threshold: a pair
    at the threshold shares it in some tree but for a chance of 2e-5.
+   In a crowded region neighbours share long prefixes and in a sparse one short
+   ones, so the depth adapts to the region by itself.
 3. Candidates are joined into regions.  A region is confirmed on the full sets,
    in one task: everything is compared with the region's hub, and what the hub
    does not link with everything.  That finds every component of the exact link
    graph of the region without listing its pairs.  A region too large for a
-   task is split by longer common prefixes (adaptive depth) until it fits.
+   task is confirmed in blocks, by the same two steps: all members against the
+   hub, then those it leaves over, block by block, against all members.
 
 A link is ``100 * intersection >= percent * union`` of the sets.
 
@@ -129,8 +132,11 @@ def _neighbours(agree: int):
     return run
 
 
-def linked_to(sets: list[np.ndarray], percent: int) -> np.ndarray:
-    """For each set the index of a representative of its component in the exact link graph."""
+def linked_to(sets: list[np.ndarray], percent: int, queries: np.ndarray | None = None, same: np.ndarray | None = None) -> np.ndarray:
+    """For each set the index of a representative of its component in the exact link graph.
+
+    With ``queries`` only these are compared with all, and ``same`` are known to
+    be of one component; else every component is found, from a hub outwards."""
     m = len(sets)
     sizes = np.array([len(s) for s in sets])
     flat, owner = np.concatenate(sets), np.repeat(np.arange(m), sizes)
@@ -140,6 +146,8 @@ def linked_to(sets: list[np.ndarray], percent: int) -> np.ndarray:
     tails = np.append(heads[1:], len(values))
     names = values[heads]
     root = np.arange(m)
+    if same is not None and len(same):
+        root[same] = same[0]
 
     def partners(i: int) -> np.ndarray:
         at = np.searchsorted(names, sets[i])
@@ -149,27 +157,94 @@ def linked_to(sets: list[np.ndarray], percent: int) -> np.ndarray:
         shared = np.bincount(posting[spread], minlength=m)
         return np.flatnonzero(100 * shared >= percent * (sizes + sizes[i] - shared))
 
-    weight = np.bincount(owner[order], weights=np.repeat(tails - heads, tails - heads), minlength=m) / sizes
-    hub = int(weight.argmax())
-    root[partners(hub)] = hub
-    for i in np.flatnonzero(root != hub):
+    if queries is None:
+        weight = np.bincount(owner[order], weights=np.repeat(tails - heads, tails - heads), minlength=m) / sizes
+        hub = int(weight.argmax())
+        root[partners(hub)] = hub
+        queries = np.flatnonzero(root != hub)
+    for i in queries:
         found = np.unique(root[partners(int(i))])  # holds i's own root
         if len(found) > 1:
-            root[np.isin(root, found)] = hub if hub in found else found[0]
+            root[np.isin(root, found)] = found[0]
     return root
 
 
+def _sets(table: pa.Table, n: int) -> list[np.ndarray]:
+    return [s for batch in table.to_batches() for part in slices(batch, "text", 1 << 20) for s in shingle_sets(part.column("text"), n)]
+
+
 def _confirmer(n: int, percent: int):
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         rep = table.column("rep").to_numpy()
-        sets = [s for batch in table.to_batches() for part in slices(batch, "text", 1 << 20) for s in shingle_sets(part.column("text"), n)]
-        root = linked_to(sets, percent)
+        return pa.table({"a": pa.array(rep), "b": pa.array(rep[linked_to(_sets(table, n), percent)])})
+
+    return run
+
+
+def _hub_links(n: int, percent: int):
+    """Whether each member of a block is linked with the hub."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        sets, is_hub = _sets(table, n), table.column("is_hub").to_numpy(zero_copy_only=False)
+        hub = sets[int(is_hub.argmax())]
+        rep = table.column("rep").to_numpy()[~is_hub]
+        linked = []
+        for s in (s for s, h in zip(sets, is_hub, strict=True) if not h):
+            shared = len(np.intersect1d(s, hub, assume_unique=True))
+            linked.append(100 * shared >= percent * (len(s) + len(hub) - shared))
+        return pa.table({"rep": pa.array(rep, pa.int64()), "linked": pa.array(linked, pa.bool_())})
+
+    return run
+
+
+def _block_links(n: int, percent: int):
+    """Links of a block of rows the hub left over with a block of all members."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        rep, asks = table.column("rep").to_numpy(), table.column("asks").to_numpy(zero_copy_only=False)
+        root = linked_to(_sets(table, n), percent, np.flatnonzero(asks), np.flatnonzero(table.column("linked").to_numpy(zero_copy_only=False)))
         return pa.table({"a": pa.array(rep), "b": pa.array(rep[root])})
 
     return run
 
 
+def _confirm_large(large: DataFrame, slim: DataFrame, n: int, percent: int) -> DataFrame:
+    """Links (a, b) of the regions of ``large`` (region, rep, n, sig), in blocks."""
+    depth = least_depth(percent)
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [tree_keys(np.frombuffer(s, dtype=">u4"), depth) for s in batch.column("sig").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("region"), batch.column("rep"), pa.array(found, pa.list_(pa.int64()))], names=["region", "rep", "keys"])
+
+    # The hub shares its prefixes with the most members.
+    prefixes = large.select("region", "rep", "sig").mapInArrow(keys, "region long, rep long, keys array<long>").select("region", "rep", F.explode("keys").alias("key"))
+    weight = prefixes.join(prefixes.groupBy("region", "key").agg(F.count("*").alias("w")), ["region", "key"]).groupBy("region", "rep").agg(F.sum("w").alias("w"))
+    plan = weight.groupBy("region").agg(F.max_by("rep", F.struct("w", -F.col("rep"))).alias("hub"))
+    blocks = lambda rows, shingles: F.ceil(F.greatest(2 * rows / REGION_ROWS, 2 * shingles / REGION_SHINGLES)).cast("int")
+    plan = cut(plan.join(large.groupBy("region").agg(blocks(F.count("*"), F.sum("n")).alias("nb")), "region"))
+    named = large.join(plan, "region").select("region", "rep", "n", "hub", "nb")
+    rows = cut(slim.join(named, slim["doc_id"] == named["rep"]).select("region", "rep", "n", "hub", "nb", "text").dropDuplicates(["region", "rep"]))
+    block = F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int")
+
+    members = rows.select("region", "rep", "text", block.alias("block"), F.lit(False).alias("is_hub"))
+    hubs = rows.filter("rep = hub").select("region", "rep", "text", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("block"), F.lit(True).alias("is_hub"))
+    near = cut(members.unionByName(hubs).groupBy("region", "block").applyInArrow(_hub_links(n, percent), "rep long, linked boolean"))
+
+    rows = rows.join(near, "rep")
+    left = rows.filter("not linked").groupBy("region").agg(blocks(F.count("*"), F.sum("n")).alias("nr"))
+    rows = rows.join(left, "region")  # regions that the hub links whole are done
+    ask = F.pmod(F.xxhash64(F.lit(1), "rep"), F.col("nr")).cast("int")
+    asking = rows.filter("not linked").select("region", "rep", "text", "linked", ask.alias("ask"), F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("block"), F.lit(True).alias("asks"), block.alias("own"))
+    all_rows = rows.select("region", "rep", "text", "linked", F.explode(F.sequence(F.lit(0), F.col("nr") - 1)).alias("ask"), block.alias("block"), F.lit(False).alias("asks"), ask.alias("own"))
+    both = asking.drop("own").unionByName(all_rows.filter("linked or own <> ask").drop("own"))
+    pairs = both.groupBy("region", "ask", "block").applyInArrow(_block_links(n, percent), "a long, b long")
+    return pairs.unionByName(near.filter("linked").join(named.select("rep", "hub"), "rep").select(F.col("rep").alias("a"), F.col("hub").alias("b")))
+
+
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept): for each row of ``docs`` its
     class in the graph of links, named by the smallest id, and whether it is the
@@ -191,46 +266,23 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
 
     # Confirmation on whole sets, made anew from the texts of one row of each node.
     sized = cut(regions.join(nodes.select("rep", "n", "sig"), "rep"))
-    whole, split = _fit(sized, depth)
+    size = sized.groupBy("region").agg(((F.sum("n") <= REGION_SHINGLES) & (F.count("*") <= REGION_ROWS)).alias("fits"))
+    parted = sized.join(size, "region")
+    whole = parted.filter("fits").select("region", "rep")
     texts = slim.join(whole, slim["doc_id"] == whole["rep"]).select("region", "rep", "text").dropDuplicates(["region", "rep"])
     links = texts.groupBy("region").applyInArrow(_confirmer(n, percent), "a long, b long")
-    if split:
-        found = components(links)
-    else:
+    large = parted.filter("not fits").drop("fits")
+    if large.isEmpty():
         links = cut(links)
         found = links.select(F.col("a").alias("node"), F.col("b").alias("root")).join(links.groupBy(F.col("b").alias("root")).agg(F.min("a").alias("component")), "root").select("node", "component")
+    else:
+        found = components(links.unionByName(_confirm_large(large, slim, n, percent)))
     of_set = nodes.join(found, F.col("rep") == F.col("node"), "left").select("f1", "f2", F.coalesce("component", "rep").alias("of"))
     out = sketch.drop("sig", "buckets").join(of_set, ["f1", "f2"], "left")
     component = F.when(F.col("n_shingles") > 0, F.col("of")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
-def _fit(sized: DataFrame, depth: int) -> tuple[DataFrame, bool]:
-    """Regions that fit into a task as they are; larger ones cut by longer prefixes, tree by tree."""
-
-    def parted(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-        size = rows.groupBy("region").agg((F.sum("n") <= REGION_SHINGLES).alias("a"), (F.count("*") <= REGION_ROWS).alias("b")).select("region", (F.col("a") & F.col("b")).alias("fits"))
-        both = rows.join(size, "region")
-        return both.filter("fits").drop("fits"), both.filter("not fits").drop("fits")
-
-    out, large = parted(sized)
-    out = out.select("region", "rep")
-    split = False
-    while depth < HASHES and not large.isEmpty():
-        split, depth = True, depth + 2
-
-        def keys(batches: Iterator[pa.RecordBatch], depth: int = depth) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                found = [tree_keys(np.frombuffer(s, dtype=">u4"), depth) for s in batch.column("sig").to_pylist()]
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.list_(pa.int64()))], names=[*batch.schema.names, "keys"])
-
-        base = large.select("rep", "n", "sig").dropDuplicates(["rep"])
-        deeper = cut(base.mapInArrow(keys, "rep long, n long, sig binary, keys array<long>").select("rep", "n", "sig", F.explode("keys").alias("region")))
-        fits, large = parted(deeper)
-        out = out.unionByName(fits.select("region", "rep"))
-    return out, split
-
-
 def near_dup_groups(docs: DataFrame) -> DataFrame:
     """The digest that query op8 returns: shingles of 3 words, links from 85 percent."""
     return near_duplicates(docs, 3, 85)
