@@ -102,8 +102,9 @@ class Words(NamedTuple):
     first: np.ndarray
 
 
-def words(column: pa.Array, lower: bool = True, table: np.ndarray = IS_WORD) -> Words:
-    """Byte spans and 64-bit hashes of the words of each row; ``table`` says which bytes words are made of."""
+def words(column: pa.Array, lower: bool = True, table: np.ndarray = IS_WORD, head: int | None = None) -> Words:
+    """Byte spans and 64-bit hashes of the words of each row; ``table`` says which
+    bytes words are made of, ``head`` cuts words to so many bytes."""
     data, offsets = utf8(column)
     inside = table[data]
     begins = np.zeros(len(data) + 1, dtype=bool)
@@ -117,6 +118,8 @@ def words(column: pa.Array, lower: bool = True, table: np.ndarray = IS_WORD) ->
     lasts = offsets[1:][offsets[1:] > 0]
     ends[lasts] = inside[lasts - 1]
     start, end = np.flatnonzero(begins[:-1]), np.flatnonzero(ends)
+    if head:
+        end = np.minimum(end, start + head)
     if lower:
         data = LOWER[data]
     hashes = np.empty(len(start), dtype=U64)
