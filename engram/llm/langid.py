@@ -7,7 +7,8 @@ differences, with the profile's length for an n-gram that the profile lacks.
 
 Defined results: ``und`` with score 0 for a null text, a text without letters,
 or where nothing could be learned; ties go to the language first by code point;
-repeated rows get equal results; an empty table gives an empty result.
+repeated rows get equal results; a null id is neither held out nor learned from;
+an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations

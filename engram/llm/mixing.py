@@ -102,7 +102,7 @@ def mix_sources(docs: DataFrame, max_epochs: int = MAX_EPOCHS, seed: int = SEED)
 
 def mixture(docs: DataFrame, max_epochs: int = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
     """The mixed corpus itself: every document that is taken, once for each repeat."""
-    taken = mix_sources(docs, max_epochs, seed).filter("repeats > 0").select("doc_id", "repeats", "size").distinct()
-    sized = docs.withColumn("_size", word_count(F.col("text")))
-    rows = sized.join(taken, sized["doc_id"].eqNullSafe(taken["doc_id"]) & (sized["_size"] == taken["size"])).select(*[docs[c] for c in docs.columns], "repeats")
-    return rows.withColumn("repeat", F.explode(F.sequence(F.lit(1), F.col("repeats")))).drop("repeats")
+    taken = mix_sources(docs, max_epochs, seed).filter("repeats > 0").select(F.col("doc_id").alias("id"), F.col("size").alias("n"), "repeats").distinct()
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("own_id"), word_count(F.col("text")).alias("own_size"))
+    joined = rows.join(taken, F.col("own_id").eqNullSafe(F.col("id")) & (F.col("own_size") == F.col("n")))
+    return joined.select("row", F.explode(F.sequence(F.lit(1), F.col("repeats"))).alias("repeat")).select("row.*")
