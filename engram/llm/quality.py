@@ -103,12 +103,20 @@ def _repeat_words(words: Column) -> Column:
     return F.when(n_windows < 2, F.lit(0)).otherwise(once(hashes, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(exact)))
 
 
+def _once(*columns: Column) -> Column:
+    return F.explode(F.array(F.struct(*columns)))
+
+
 def measured(docs: DataFrame, text: str = "text", to: str = "q") -> DataFrame:
-    """``docs`` with a struct column ``to`` of raw counts of the whole text."""
+    """``docs`` with a struct column ``to`` of raw counts of the whole text.
+
+    Both steps go through ``explode`` of one element: a later filter on the
+    counts then cannot be moved below them, which would split a text again for
+    each of its words."""
     body = F.coalesce(F.col(text), F.lit(""))
     split = docs.withColumn(
         to,
-        F.struct(
+        _once(
             F.filter(F.split(body, SPACE_RUN), lambda w: w != "").alias("words"),
             F.filter(F.split(body, "\n"), lambda x: F.length(F.translate(x, SPACE, "")) > 0).alias("lines"),
         ),
@@ -116,7 +124,7 @@ def measured(docs: DataFrame, text: str = "text", to: str = "q") -> DataFrame:
     words, lines = F.col(f"{to}.words"), F.col(f"{to}.lines")
     return split.withColumn(
         to,
-        F.struct(
+        _once(
             F.size(words).cast("long").alias("n_words"),
             F.length(F.translate(body, SPACE, "")).cast("long").alias("word_chars"),
             _count_of(body, SYMBOLS).cast("long").alias("n_symbols"),
