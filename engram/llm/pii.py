@@ -57,16 +57,18 @@ PATTERNS = {
 _NAMES = "|".join(n for names in GIVEN.values() for n in names)
 _TITLE = "|".join(TITLES)
 PATTERNS["name"] = f"(?<![\\p{{L}}])(?:(?:{_TITLE})\\.? \\p{{Lu}}\\p{{Ll}}{{1,30}}(?: \\p{{Lu}}\\p{{Ll}}{{1,30}})?|(?:{_NAMES}) \\p{{Lu}}\\p{{Ll}}{{1,30}})(?![\\p{{L}}])"
-PATTERN = "|".join(f"(?:{p})" for p in PATTERNS.values())
+#: A look at the next characters, before a pattern is tried at all.
+_CAPITALS = "".join(sorted({n[0] for n in [*TITLES, *_NAMES.split("|")]}))
+AHEAD = {"email": "", "iban": "(?=[A-Z]{2}\\d)", "name": f"(?=[{_CAPITALS}])"}
+PATTERN = "|".join(f"{AHEAD.get(k, '(?=[0-9(+])')}(?:{p})" for k, p in PATTERNS.items())
 #: A text without any of these holds no entity.
-GATE = f"[@0-9]|(?:{_TITLE})\\.? |(?:{_NAMES}) "
+GATE = f"[@0-9]|(?=[{_CAPITALS}])(?:(?:{_TITLE})\\.? |(?:{_NAMES}) )"
 NUMBERS = ("phone", "ssn", "card", "iban")
 
 
 def mentions(text: Column) -> Column:
     """Entities of a text in order, as they are spelled."""
-    none = F.array().cast("array<string>")
-    return F.when(text.rlike(GATE), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))).otherwise(none)
+    return F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))
 
 
 def kind_of(mention: Column) -> Column:
@@ -213,15 +215,19 @@ def _rendered(mention: Column, table: Column) -> Column:
 
 
 def anonymise(docs: DataFrame, text: str = "text", key: str = KEY) -> DataFrame:
-    """``docs`` with every entity of ``text`` replaced, plus ``n_entities``."""
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text}`").alias("body")).withColumn("found", F.coalesce(mentions(F.col("body")), F.array().cast("array<string>")))
-    plain, hit = rows.filter(F.size("found") == 0), rows.filter(F.size("found") > 0)
+    """``docs`` with every entity of ``text`` replaced, plus ``n_entities`` (in place of a column of that name)."""
+    docs = docs.drop("n_entities")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text}`").alias("body"))
+    has_some = F.coalesce(F.col("body").rlike(GATE) & F.col("body").rlike(PATTERN), F.lit(False))
+    plain = rows.filter(~has_some)
+    # Only the rows that hold entities are kept between the steps.
+    hit = cut(rows.filter(has_some).withColumn("found", mentions(F.col("body"))).withColumn("keys", F.array_sort(F.array_distinct(F.flatten(F.transform("found", keys_of))))))
+    hit = hit.withColumn("list", F.sha2(F.array_join("keys", "\n").cast("binary"), 256))
     # A row's own table of entities is keyed by what it holds, not by the row.
-    lists = hit.select(F.array_sort(F.array_distinct(F.flatten(F.transform("found", keys_of)))).alias("keys"))
-    lists = cut(lists.withColumn("list", F.sha2(F.array_join("keys", "\n").cast("binary"), 256)).dropDuplicates(["list"]))
+    lists = hit.select("list", "keys").dropDuplicates(["list"])
     table = surrogates(lists.select(F.explode("keys").alias("entity")), key)
     tables = lists.select("list", F.explode("keys").alias("entity")).join(table, "entity").groupBy("list").agg(F.map_from_entries(F.collect_list(F.struct("entity", "surrogate"))).alias("table"))
-    keyed = hit.withColumn("list", F.sha2(F.array_join(F.array_sort(F.array_distinct(F.flatten(F.transform("found", keys_of)))), "\n").cast("binary"), 256)).join(tables, "list")
+    keyed = hit.join(tables, "list")
     pieces = F.split("body", PATTERN, -1)
     new = F.concat(F.array_join(F.transform("found", lambda m, i: F.concat(F.get(pieces, i), _rendered(m, F.col("table")))), ""), F.get(pieces, F.size("found")))
     done = keyed.select("row", new.alias("body"), F.size("found").cast("long").alias("n_entities")).unionByName(plain.select("row", "body", F.lit(0).cast("long").alias("n_entities")))
