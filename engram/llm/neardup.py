@@ -296,3 +296,26 @@ def drop_near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> Data
     named = docs.filter(has_words & F.col("doc_id").isNotNull())
     stay = named.join(kept, named["doc_id"] == kept["_kept"], "left_semi").dropDuplicates(["doc_id"])
     return stay.unionByName(docs.filter(~has_words | F.col("doc_id").isNull()))
+
+
+#: The same as ``near_dup_groups`` by joining all shingles, for small tables.
+ORACLE_SQL = """
+with recursive tokens as (
+  select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') as words from documents
+), sets as materialized (
+  select doc_id, case when len(words) = 0 then [] when len(words) < 3 then [array_to_string(words, ' ')]
+    else list_distinct(list_transform(range(1, len(words) - 1), lambda i: array_to_string(words[i:i+2], ' '))) end as shingles from tokens
+), members as materialized (
+  select doc_id, len(shingles) as n, unnest(shingles) as shingle from sets
+), links as materialized (
+  select a.doc_id as x, b.doc_id as y from members a join members b on a.shingle = b.shingle and a.doc_id <> b.doc_id
+  group by a.doc_id, b.doc_id, a.n, b.n having 100 * count(*) >= 85 * (a.n + b.n - count(*))
+), reach as (
+  select doc_id as x, doc_id as y from documents
+  union
+  select r.x, l.y from reach r join links l on l.x = r.y
+), least as (
+  select x, min(y) as component_id from reach group by x
+)
+select s.doc_id, len(s.shingles)::bigint as n_shingles, l.component_id, s.doc_id = l.component_id as kept from sets s join least l on l.x = s.doc_id
+"""

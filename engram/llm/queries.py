@@ -8,6 +8,7 @@ from engram.llm.decontam import benchmark_leaks
 from engram.llm.gru import lm_score
 from engram.llm.langid import language_id
 from engram.llm.mixing import mix_sources
+from engram.llm.neardup import ORACLE_SQL as NEAR_SQL
 from engram.llm.neardup import near_dup_groups
 from engram.llm.pii import private_texts
 from engram.llm.quality import ORACLE_SQL as QUALITY_SQL
@@ -66,4 +67,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": QUALITY_SQL}
+    return {"op2_quality_rules": QUALITY_SQL, "op8_near_duplicates": NEAR_SQL}
