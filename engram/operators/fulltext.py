@@ -77,12 +77,15 @@ def match(index: DataFrame, query: str) -> DataFrame:
     return rows.withColumn("matched", some).select("hash", "seq", "dl", F.explode("counts").alias("term", "tf"), "matched")
 
 
-def bm25_match(index: DataFrame, query: str, k: int) -> DataFrame:
-    """(hash, seq, rank) of the best ``k`` texts that satisfy a query; excluded phrases don't score."""
+def bm25_match(index: DataFrame, query: str, k: int, allowed: DataFrame | None = None) -> DataFrame:
+    """(hash, seq, rank) of the best ``k`` texts that satisfy a query; excluded
+    phrases don't score.  ``allowed`` (hash) restricts the texts, not the statistics."""
     scoring = sorted({" ".join(p) for b in query_terms(query) for p in b["need"]})
     found = match(index, query).filter("tf > 0")
     df = found.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.greatest(F.log((F.col("n_texts") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(LEAST_IDF))
     part = -idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("mean_dl")))
     rows = found.filter("matched").filter(F.col("term").isin(scoring)).join(df, "term").crossJoin(F.broadcast(corpus_statistics(index)))
+    if allowed is not None:
+        rows = rows.join(allowed.select("hash").distinct(), "hash", "left_semi")
     return rows.groupBy("hash", "seq").agg(F.round(F.sum(part), 9).alias("rank")).orderBy("rank", "hash", "seq").limit(k)
