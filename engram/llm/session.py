@@ -1,31 +1,5 @@
-"""Session helpers that every operator of this subpackage shares."""
+"""The session helpers, under this subpackage's name."""
 
-from __future__ import annotations
+from engram.session import cut, shared_folder
 
-import tempfile
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder of the session.
-
-    A cluster names it in ``spark.checkpoint.dir``.  Only where that setting
-    is absent (tests, a laptop in local mode) a temporary folder is set.
-    """
-    context = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-    if named:
-        if context.getCheckpointDir() is None:
-            context.setCheckpointDir(named)
-        return named
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return context.getCheckpointDir()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared folder, so that later jobs neither
-    recompute it nor depend on the executors that made it."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+__all__ = ["cut", "shared_folder"]
