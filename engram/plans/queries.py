@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from engram.functions.chunking import chunks
 from engram.functions.hashing import content_hash
 from engram.functions.markdown import strip_markdown
+from engram.functions.remote import parse_reply, request_json
 from engram.functions.text import byte_slice, clean_query, has_extension, tokens
 from engram.functions.vectors import cosine_distance, l2_normalize, norm
 from engram.operators import fulltext, hybrid, maintenance
@@ -383,23 +384,19 @@ def chunk_join_vault(spark: SparkSession, sf: str) -> DataFrame:
 
 # JSON of remote providers
 
-_REPLY = "struct<data:array<struct<embedding:array<double>>>,output_dimension:int,prompt_tokens:int,estimated_prompt_tokens:int,error:struct<message:string>>"
-
-
 @query("select conv_id, turn, 'remote' as provider, 'm1' as model, text as input, 'truncate' as kind from conversations")
 def embed_request_json(spark: SparkSession, sf: str) -> DataFrame:
-    request = F.to_json(F.struct(F.lit("remote").alias("provider"), F.lit("m1").alias("model"), F.col("text").alias("input"), F.struct(F.lit("truncate").alias("type")).alias("strategy")))
-    rows = table(spark, sf, "conversations").select("conv_id", "turn", request.alias("json"))
+    rows = table(spark, sf, "conversations").select("conv_id", "turn", request_json("remote", "m1", F.col("text")).alias("json"))
     return rows.select("conv_id", "turn", *[F.get_json_object("json", f"$.{p}").alias(n) for p, n in (("provider", "provider"), ("model", "model"), ("input", "input"), ("strategy.type", "kind"))])
 
 
-@query("select vec_id, len(embedding)::int as dimension, (vec_id % 7)::int as truncated, case when vec_id % 13 = 0 then 'quota' else null end as message from embeddings")
+@query("select vec_id, case when vec_id % 13 <> 0 then len(embedding)::int else 0 end as dimension, case when vec_id % 13 <> 0 then len(embedding)::int else 0 end as numbers, case when vec_id % 13 <> 0 then (vec_id % 7)::int else 0 end as truncated, case when vec_id % 13 = 0 then 'quota' else '' end as error from embeddings")
 def embed_response_parse(spark: SparkSession, sf: str) -> DataFrame:
     used = F.col("vec_id").cast("int")
     error = F.when(F.col("vec_id") % 13 == 0, F.struct(F.lit("quota").alias("message")))
     reply = F.to_json(F.struct(F.array(F.struct(F.col("embedding").cast("array<double>").alias("embedding"))).alias("data"), F.size("embedding").alias("output_dimension"), used.alias("prompt_tokens"), (used + F.col("vec_id").cast("int") % 7).alias("estimated_prompt_tokens"), error.alias("error")))
-    parsed = table(spark, sf, "embeddings").select("vec_id", F.from_json(reply, _REPLY).alias("r"))
-    return parsed.select("vec_id", F.size(F.get("r.data", F.lit(0))["embedding"]).alias("dimension"), F.greatest(F.col("r.estimated_prompt_tokens") - F.col("r.prompt_tokens"), F.lit(0)).alias("truncated"), F.col("r.error.message").alias("message"))
+    parsed = table(spark, sf, "embeddings").select("vec_id", parse_reply(reply).alias("r"))
+    return parsed.select("vec_id", F.coalesce("r.dimension", F.lit(0)).alias("dimension"), F.greatest(F.size("r.embedding"), F.lit(0)).alias("numbers"), F.coalesce("r.truncated", F.lit(0)).alias("truncated"), F.coalesce("r.error", F.lit("")).alias("error"))
 
 
 # Ingest
