@@ -256,8 +256,8 @@ def removed_spans(docs: DataFrame) -> DataFrame:
     """(d, t, start, end) for rows (d: id, t: hash of the text, text): spans in
     bytes that a repeated string covers; spans of a document may overlap."""
     unit = "gram long, content long, n long, d long, t long, span long"
-    spread = docs.mapInArrow(_units(True), unit).repartition("gram")
-    distinct = spread.groupBy("gram", "content").agg(F.sum("n").alias("n"), F.min(F.struct("d", "t", "span")).alias("ref"))
+    # Grouped by gram and content, so that a gram of very many units is many groups.
+    distinct = docs.mapInArrow(_units(True), unit).groupBy("gram", "content").agg(F.sum("n").alias("n"), F.min(F.struct("d", "t", "span")).alias("ref"))
     by_gram = distinct.groupBy("gram").agg(F.count("*").alias("kinds"), F.count(F.when(F.col("n") == 1, 1)).alias("single"))
     repeated = cut(distinct.join(by_gram, "gram").filter("n > 1 or (kinds > 1 and single > 0)").select("gram", "content", "n", "ref.*", F.when(F.col("single") > 0, F.col("kinds")).otherwise(0).alias("kinds")))
 
