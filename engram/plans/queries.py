@@ -231,7 +231,7 @@ def flagship(spark: SparkSession, sf: str) -> DataFrame:
     return hybrid.with_source(hybrid.best(_fused(spark, sf)), spans, source).select("query_id", "hash", F.round("ranking", 6).alias("ranking"), "path", "context", "snippet")
 
 
-@query()
+@query(f"select query_id, hash, round(ranking, 6) as ranking, position::int as position from {_BEST} b".replace(f"qualify position <= {K})", f"qualify position <= {3 * K})", _BEST.count(f"qualify position <= {K})") - 1))
 def hybrid_oversample(spark: SparkSession, sf: str) -> DataFrame:
     return hybrid.best(_fused(spark, sf, 3 * K)).select("query_id", "hash", F.round("ranking", 6).alias("ranking"), "position")
 
@@ -343,7 +343,14 @@ def _chunks(spark: SparkSession, sf: str, **settings) -> DataFrame:
     return rows.select("hash", "value", "c.*")
 
 
-_RAW_SQL = """with recursive d as (select doc_id as hash, text, strlen(text) as size from documents where strlen(text) = length(text) and text <> ''),
+def _ascii_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    """Chunks of every text with one ASCII character for each other one: SQL cuts
+    characters, chunks are cut in bytes, and here both are the same."""
+    rows = content(spark, sf).select("hash", F.regexp_replace("value", "[^\\x00-\\x7F]", "?").alias("value"))
+    return rows.select("hash", "value", F.explode(chunks(F.col("value"), overlay_tokens=0, strip_marks=False)).alias("c")).select("hash", "value", "c.*")
+
+
+_RAW_SQL = """with recursive d as (select hash, text, strlen(text) as size from (select doc_id as hash, regexp_replace(text, '[^\\x00-\\x7F]', '?', 'g') as text from documents where text <> '')),
   c as (select hash, 0 as seq, 0::bigint as "offset", case when size <= 1600 then size else
       case when instr(reverse(substr(text, 1, 1600)), chr(10)) > 0 then 1601 - instr(reverse(substr(text, 1, 1600)), chr(10)) else 1600 end end as length, text, size from d
     union all select hash, seq + 1, "offset" + length, case when size - "offset" - length <= 1600 then size - "offset" - length else
@@ -353,10 +360,8 @@ _RAW_SQL = """with recursive d as (select doc_id as hash, text, strlen(text) as
 
 @query(_RAW_SQL + ' select hash, seq::int as seq, "offset"::bigint as start, length::bigint as length from c')
 def chunk_raw(spark: SparkSession, sf: str) -> DataFrame:
-    """Spans of unstripped ASCII texts: the rule of splitting alone (in other texts
-    bytes are not characters, which SQL can't cut)."""
-    rows = _chunks(spark, sf, overlay_tokens=0, strip_marks=False)
-    return rows.filter(F.length("value") == F.octet_length("value")).select("hash", "seq", F.col("offset").alias("start"), "length")
+    """Spans of unstripped texts: the rule of splitting alone."""
+    return _ascii_chunks(spark, sf).select("hash", "seq", F.col("offset").alias("start"), "length")
 
 
 @query()
@@ -366,14 +371,12 @@ def chunk_overlay(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(_RAW_SQL + ', t as (select hash, count(*) as n, sum(length)::bigint as total from c group by hash) select hash, n, total from t')
 def chunk_offsets(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _chunks(spark, sf, overlay_tokens=0, strip_marks=False).filter(F.length("value") == F.octet_length("value"))
-    return rows.groupBy("hash").agg(F.count("*").alias("n"), F.sum("length").alias("total"))
+    return _ascii_chunks(spark, sf).groupBy("hash").agg(F.count("*").alias("n"), F.sum("length").alias("total"))
 
 
 @query(_RAW_SQL + ' select hash, seq::int as seq, md5(substr(text, "offset" + 1, length)) as snippet_md5 from c')
 def chunk_snippet(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _chunks(spark, sf, overlay_tokens=0, strip_marks=False).filter(F.length("value") == F.octet_length("value"))
-    return rows.select("hash", "seq", F.md5(byte_slice(F.col("value"), F.col("offset"), F.col("length")).cast("binary")).alias("snippet_md5"))
+    return _ascii_chunks(spark, sf).select("hash", "seq", F.md5(byte_slice(F.col("value"), F.col("offset"), F.col("length")).cast("binary")).alias("snippet_md5"))
 
 
 @query("select c.hash, v.vec_id is not null as has_vector from (select doc_id as hash from documents where text <> '') c left join embeddings v on v.vec_id = c.hash")
