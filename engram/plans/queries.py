@@ -192,7 +192,12 @@ def boolean_match(spark: SparkSession, sf: str) -> DataFrame:
     return fulltext.match(fulltext.indexed(fts(spark, sf)), "the and NOT was OR of_the").filter("matched").select("hash").distinct()
 
 
-@query()
+@query(f"""with w as {_WORDS}, c as (select hash, len(words) as dl, len(list_filter(words, lambda x: x = 'the')) as a, len(list_filter(words, lambda x: x = 'and')) as b,
+    len(list_filter(words, lambda x: x = 'was')) as x, len(list_filter(range(1, len(words)), lambda i: words[i] = 'of' and words[i + 1] = 'the')) as o from w),
+  t as (select hash, dl, (a > 0 and b > 0 and x = 0) or o > 0 as matched, unnest([{{'p': 'a', 'tf': a}}, {{'p': 'b', 'tf': b}}, {{'p': 'o', 'tf': o}}]) as u from c),
+  df as (select u.p as p, count(*) as df from t where u.tf > 0 group by all), stats as (select count(*) as n, avg(dl) as mean from c)
+  select hash, 0 as seq, round(sum(-greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * u.tf * 2.2 / (u.tf + 1.2 * (0.25 + 0.75 * dl / mean))), 9) as rank
+  from t join df on df.p = t.u.p, stats where matched and u.tf > 0 group by hash order by rank, hash limit {K}""")
 def boolean_ranked(spark: SparkSession, sf: str) -> DataFrame:
     return fulltext.bm25_match(fulltext.indexed(fts(spark, sf)), "the and NOT was OR of_the", K)
 
