@@ -162,6 +162,35 @@ def test_align_equals_the_plain_recurrence():
         assert decontam.align(a, b)[0] == table.max()
 
 
+def test_leaks_find_heavily_edited_and_spread_copies(spark):
+    """The pairs are those that aligning every document with every item finds."""
+    rng = random.Random(5)
+    vocabulary = ["".join(rng.choices("abcdefghij", k=6)) for _ in range(400)]
+    items = [(i, rng.choices(vocabulary, k=k)) for i, k in enumerate([1, 2, 3, 5, 9, 14, 20, 30, 30, 40, 40, 60, 60, 90, 90])]
+    docs = []
+    for i, item in items[3:]:
+        for share in (0.15, 0.2, 0.25, 0.3):
+            docs.append([rng.choice(vocabulary) if rng.random() < share else w for w in item])
+        docs.append(item[: (len(item) + 1) // 2])  # a half
+        docs.append([w for x in item for w in (x, rng.choice(vocabulary))])  # a word after each
+        docs.append([w if k % 3 else rng.choice(vocabulary) for k, w in enumerate(item)])  # no three words in a row
+        docs.append(item)
+    docs = [[*rng.choices(vocabulary, k=rng.choice([0, 3, 150, 700])), *d, *rng.choices(vocabulary, k=rng.randint(0, 60))] for d in docs]
+    number = {w: k for k, w in enumerate(vocabulary)}
+    coded = [np.array([number[w] for w in d]) for d in docs]
+    expected = {}
+    for i, item in items:
+        target = np.array([number[w] for w in item])
+        for d, text in enumerate(coded):
+            score = decontam.align(target, text)[0] / (2 * len(item))
+            if score >= 0.45:
+                expected[d, i] = score
+    table = spark.createDataFrame([(d, " ".join(t)) for d, t in enumerate(docs)], "doc_id long, text string")
+    found = decontam.leaks(table, spark.createDataFrame([(i, " ".join(t)) for i, t in items], "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id): r.score for r in found} == expected and len(found) == len(expected)
+    assert len({d for d, i in expected if i > 4}) > 70
+
+
 # 4 PII
 
 
