@@ -5,7 +5,8 @@ model's vocabulary, everything else its unknown word.  The network is one GRU
 layer with a class-factored softmax: classes of ``CLASS`` words by frequency,
 P(word) = P(class) P(word | class).  Training is truncated backpropagation over
 windows of ``WINDOW`` tokens with the state carried from window to window; tasks
-train replicas on their own documents, and replicas are averaged by tokens.
+train replicas on their own documents, and replicas are averaged by tokens.  The
+rounds together pass over every training text once.
 Scoring carries the state over the whole document, so a text of any length gets
 its complete log-likelihood.
 
@@ -38,8 +39,8 @@ HIDDEN, WINDOW = 32, 24
 LANES, SCORE_LANES = 128, 1024
 #: Frequent words whose counts travel to the tasks; the counts of all other words are joined.
 FREQUENT = 1 << 18
-#: Texts of the first, single replica; then rounds of all tasks, each over one part in SHARE of the training texts.
-FIRST_TEXTS, ROUNDS, SHARE = 2_000, 2, 16
+#: Texts of the first, single replica; then rounds of all tasks, each over its part of all training texts.
+FIRST_TEXTS, ROUNDS = 2_000, 2
 RATE = 0.008
 _LN10 = float(np.log(10))
 
@@ -344,7 +345,7 @@ def lm_score(docs: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
     texts = rows.filter("not held_out").select("doc_id", "text")
     spread = F.xxhash64(F.lit(3), "doc_id")
-    part = F.pmod(spread, F.lit(SHARE))
+    part = F.pmod(spread, F.lit(ROUNDS))
 
     counts = cut(texts.select("text").mapInArrow(_count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")))
     n_texts = texts.count()

@@ -521,6 +521,21 @@ def test_lm_score(spark):
     assert sum(r.score for r in out) > sum(r.base_score for r in out)
 
 
+def test_rounds_train_on_every_text_once(spark, monkeypatch):
+    docs = documents(spark)
+    rounds = []
+
+    def note(flat, texts, *rest):
+        rounds.append([r.text for r in texts.collect()])
+        return flat
+
+    monkeypatch.setattr(gru, "train_round", note)
+    monkeypatch.setattr(gru, "FIRST_TEXTS", 20)
+    gru.lm_score(docs)
+    expected = [r.text or "" for r in docs.filter(~gru.held_out(F.col("doc_id"))).select("text").collect()]
+    assert sum(map(collections.Counter, rounds[1:]), collections.Counter()) == collections.Counter(expected)
+
+
 def test_vocabulary_beyond_the_frequent_words(spark, monkeypatch):
     docs = documents(spark)
     whole = by_id(gru.lm_score(docs))
