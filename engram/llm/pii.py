@@ -14,7 +14,10 @@ and format, and put back into the text:
 Equal entities (compared without format: digits only, lower case) get equal
 surrogates everywhere, so coreference survives.  Distinct entities get distinct
 surrogates, and none that is itself an entity of the corpus: the table of
-entities is checked after each draw, and losers draw again.
+entities is checked after each draw, and losers draw again until there are none.
+Each draw gives family names one syllable more, every third one given name more;
+after ``DRAWS`` draws, numbers get one more digit and addresses one more letter
+a draw, and private ranges that are full go on in the next larger range.
 
 Defined results: a null text stays null and an empty one empty; repeated rows
 get equal texts; an empty table gives an empty result; other columns pass
@@ -29,8 +32,8 @@ from pyspark.sql import functions as F
 from engram.llm.session import cut
 
 KEY = "engram"
-#: Draws before a surrogate gets its rank as a suffix.
-DRAWS = 8
+#: Draws in the length of the entity, before each further draw is longer; and all draws.
+DRAWS, LIMIT = 8, 48
 #: Titles and the gender that they say.
 TITLES = {"Mr": "m", "Mrs": "f", "Ms": "f", "Miss": "f", "Herr": "m", "Frau": "f", "Monsieur": "m", "Madame": "f", "Mme": "f", "Señor": "m", "Señora": "f", "Sr": "m", "Sra": "f", "Господин": "m", "Госпожа": "f"}
 #: Given names by script and gender.
@@ -143,36 +146,37 @@ def _reshaped(value: Column, stream: Column, keep: Column) -> Column:
     return F.array_join(F.transform(F.split(value, ""), draw), "")
 
 
-def draw(entity: Column, attempt: Column, key: str = KEY) -> Column:
+def draw(entity: Column, attempt: Column, key: str = KEY, draws: int = DRAWS) -> Column:
     """The surrogate of 'kind|canonical form' in a given draw."""
     kind, value = F.substring_index(entity, "|", 1), F.substring_index(entity, "|", -1)
     seed = F.concat(F.lit(key), F.lit("|"), entity, F.lit("|"), attempt.cast("string"))
     stream = F.concat(F.sha2(seed.cast("binary"), 256), F.sha2(F.concat(seed, F.lit("+")).cast("binary"), 256))
+    more = F.greatest(attempt - (draws - 1), F.lit(0))
+    digits, letters = (F.substring(F.translate(stream, "0123456789abcdef", to), F.lit(65), more) for to in ("0123456789012345", "bcdfghjklmnprstv"))
     tld = F.concat(F.lit("."), F.substring_index(value, ".", -1))
-    email = F.concat(_reshaped(F.substring(value, F.lit(1), F.length(value) - F.length(tld)), stream, F.lit(0)), tld)
+    email = F.concat(letters, _reshaped(F.substring(value, F.lit(1), F.length(value) - F.length(tld)), stream, F.lit(0)), tld)
     octets = [1 + F.pmod(_byte(stream, i), F.lit(254)) for i in range(4)]
     ip = (
-        F.when(value.startswith("10."), F.concat_ws(".", F.lit("10"), *[o.cast("string") for o in octets[1:]]))
-        .when(value.startswith("192.168."), F.concat_ws(".", F.lit("192.168"), *[o.cast("string") for o in octets[2:]]))
+        F.when((value.startswith("10.") & (attempt < 2 * draws)) | (value.startswith("192.168.") & attempt.between(draws, 2 * draws - 1)), F.concat_ws(".", F.lit("10"), *[o.cast("string") for o in octets[1:]]))
+        .when(value.startswith("192.168.") & (attempt < draws), F.concat_ws(".", F.lit("192.168"), *[o.cast("string") for o in octets[2:]]))
         .otherwise(F.concat_ws(".", (11 + F.pmod(octets[0], F.lit(89))).cast("string"), *[o.cast("string") for o in octets[1:]]))
     )
     country = F.when(value.startswith("+"), F.greatest(F.length(value) - 10, F.lit(2))).otherwise(F.lit(0))
-    phone = _reshaped(value, stream, country)
-    body = _reshaped(F.substring(value, F.lit(1), F.length(value) - 1), stream, F.lit(1))
+    phone = F.concat(_reshaped(value, stream, country), digits)
+    body = F.concat(_reshaped(F.substring(value, F.lit(1), F.length(value) - 1), stream, F.lit(1)), digits)
     fits = F.get(F.filter(F.array(*[F.lit(str(d)) for d in range(10)]), lambda d: F.call_function("luhn_check", F.concat(body, d))), F.lit(0))
-    card = F.when(F.call_function("luhn_check", value), F.concat(body, fits)).otherwise(_reshaped(value, stream, F.lit(1)))
+    card = F.when(F.call_function("luhn_check", value), F.concat(body, fits)).otherwise(F.concat(_reshaped(value, stream, F.lit(1)), digits))
     role, gender, word = F.get(F.split(entity, "\\|"), F.lit(0)), F.get(F.split(entity, "\\|"), F.lit(1)), value
     given, family = F.lit(None).cast("string"), F.lit(None).cast("string")
     for script in SYLLABLES:
-        made = F.initcap(F.concat(*[_pick(SYLLABLES[script], _byte(stream, i)) for i in range(4, 7)]))
+        made = F.initcap(F.array_join(F.transform(F.sequence(F.lit(4), attempt + 6), lambda i: _pick(SYLLABLES[script], _byte(stream, i))), ""))  # noqa: B023
         family = F.when(_script(word) == script, made).otherwise(family)
         for g in "mf":
-            one, two = (_pick(GIVEN[script, g], _byte(stream, i)) for i in (1, 2))
-            name = F.when(attempt < 3, one).otherwise(F.concat_ws("-", one, two))
+            name = F.array_join(F.transform(F.sequence(F.lit(1), (attempt / 3).cast("int") + 1), lambda i: _pick(GIVEN[script, g], _byte(stream, i))), "-")  # noqa: B023
             given = F.when((_script(word) == script) & (gender == g), name).otherwise(given)
     return (
         F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "phone", phone).when(kind == "card", card)
-        .when(kind == "ssn", _reshaped(value, stream, F.lit(0))).when(kind == "iban", _reshaped(value, stream, F.lit(2))).when(role == "given", given).otherwise(family)
+        .when(kind == "ssn", F.concat(_reshaped(value, stream, F.lit(0)), digits)).when(kind == "iban", F.concat(_reshaped(value, stream, F.lit(2)), digits)).when(role == "given", given).otherwise(family)
     )
 
 
@@ -184,26 +188,25 @@ def surrogates(entities: DataFrame, key: str = KEY, draws: int = DRAWS) -> DataF
     table = cut(entities.select("entity").distinct().select("entity", F.lit(0).alias("attempt")))
     taken = table.select(kind.alias("kind"), own.alias("surrogate"), F.lit(True).alias("real"))
     rank = Window.partitionBy("kind", "same").orderBy("attempt", "entity")
-    for k in range(draws + 1):
-        drawn = table.withColumn("kind", kind).withColumn("surrogate", draw(F.col("entity"), F.col("attempt"), key)).withColumn("same", F.lower("surrogate"))
+    for _ in range(LIMIT):
+        drawn = table.withColumn("kind", kind).withColumn("surrogate", draw(F.col("entity"), F.col("attempt"), key, draws)).withColumn("same", F.lower("surrogate"))
         real = taken.select("kind", F.lower("surrogate").alias("same"), "real").distinct()
         ranked = drawn.join(real, ["kind", "same"], "left").withColumn("rank", F.row_number().over(rank))
         # A known given name may stand for another person of that name: only equal draws collide there.
         lost = (F.col("rank") > 1) | (F.coalesce("real", F.lit(False)) & (F.col("kind") != "given"))
-        now = cut(ranked.select("entity", "attempt", "surrogate", "rank", lost.alias("lost")))
-        if k == draws or now.filter("lost").isEmpty():
-            # What still collides after all draws differs by its rank.
-            suffix = F.concat_ws("-", "surrogate", F.col("rank").cast("string"))
-            return now.select("entity", F.when(F.col("lost"), suffix).otherwise(F.col("surrogate")).alias("surrogate"))
+        now = cut(ranked.select("entity", "attempt", "surrogate", lost.alias("lost")))
+        if now.filter("lost").isEmpty():
+            return now.select("entity", "surrogate")
         table = now.select("entity", (F.col("attempt") + F.col("lost").cast("int")).alias("attempt"))
-    raise AssertionError
+    raise ValueError(f"entities without a surrogate of their own after {LIMIT} draws")
 
 
 def _filled(mention: Column, digits: Column) -> Column:
-    """The characters of ``digits`` in the format of ``mention``."""
+    """The characters of ``digits`` in the format of ``mention``, what it has no place for at the end."""
     places = F.split(mention, "")
     before = lambda i: F.size(F.filter(F.slice(places, F.lit(1), i), lambda c: ~c.rlike("[ .()-]")))
-    return F.array_join(F.transform(places, lambda c, i: F.when(c.rlike("[ .()-]"), c).otherwise(F.substring(F.upper(digits), before(i) + 1, F.lit(1)))), "")
+    inside = F.array_join(F.transform(places, lambda c, i: F.when(c.rlike("[ .()-]"), c).otherwise(F.substring(F.upper(digits), before(i) + 1, F.lit(1)))), "")
+    return F.concat(inside, F.substring(F.upper(digits), F.length(_plain(mention)) + 1, F.length(digits)))
 
 
 def _rendered(mention: Column, table: Column) -> Column:

@@ -235,6 +235,20 @@ def test_surrogates_of_the_table(spark):
     assert after.count() == docs.count()
 
 
+def test_surrogates_outgrow_a_full_space(spark):
+    """More family names than three syllables spell, all numbers of a small format, an address without letters."""
+    family = [f"family||Name{i}" for i in range(6000)]
+    phones = [f"phone|+1{i:04d}" for i in range(0, 10_000, 2)] + [f"phone|+7{i:04d}" for i in range(10_000)]
+    rows = pii.surrogates(spark.createDataFrame([(e,) for e in [*family, *phones, "email|_@-.com"]], "entity string")).collect()
+    made = {r.entity: r.surrogate for r in rows}
+    assert len(made) == len(rows) == len({(e.split("|")[0], x.lower()) for e, x in made.items()})
+    assert not {x for x in made.values()} & {e.split("|")[-1] for e in made}
+    assert all(made[e].isalpha() for e in family) and all(made[e][0] == "+" and made[e][1:].isdigit() for e in phones)
+    assert made["email|_@-.com"].endswith("_@-.com")
+    shown = spark.createDataFrame([("+7 12 34", made["phone|+71234"]), ("+7 12 35", made["phone|+71235"])], "m string, d string").select(pii._filled(F.col("m"), F.col("d")).alias("x")).collect()
+    assert [r.x.replace(" ", "") for r in shown] == [made["phone|+71234"], made["phone|+71235"]]
+
+
 # 5 Language
 
 
