@@ -90,7 +90,7 @@ def sampled(docs: DataFrame, max_epochs: int = MAX_EPOCHS, seed: int = SEED) ->
     last = last.select("of", F.col("pick.row").alias("last_row"))
     done = prefix.join(last, F.col("source").eqNullSafe(F.col("of")), "left")
     extra = F.col("once_more") + F.when(F.col("row") == F.col("last_row"), 1).otherwise(0)
-    return done.select("doc_id", "source", "size", "source_size", "target", (F.col("repeats") + extra).cast("long").alias("repeats"))
+    return done.select("row", "doc_id", "source", "size", "source_size", "target", (F.col("repeats") + extra).cast("long").alias("repeats"))
 
 
 def mix_sources(docs: DataFrame, max_epochs: int = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
@@ -101,8 +101,12 @@ def mix_sources(docs: DataFrame, max_epochs: int = MAX_EPOCHS, seed: int = SEED)
 
 
 def mixture(docs: DataFrame, max_epochs: int = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
-    """The mixed corpus itself: every document that is taken, once for each repeat."""
-    taken = mix_sources(docs, max_epochs, seed).filter("repeats > 0").select(F.col("doc_id").alias("id"), F.col("size").alias("n"), "repeats").distinct()
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("own_id"), word_count(F.col("text")).alias("own_size"))
-    joined = rows.join(taken, F.col("own_id").eqNullSafe(F.col("id")) & (F.col("own_size") == F.col("n")))
-    return joined.select("row", F.explode(F.sequence(F.lit(1), F.col("repeats"))).alias("repeat")).select("row.*")
+    """The mixed corpus itself: every row that is taken, once for each repeat.
+
+    Rows get a number once, in the shared folder, and repeats come back by it, so
+    rows that repeat an id and a size each keep their own repeats."""
+    numbered = cut(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole"), F.monotonically_increasing_id().alias("row")))
+    sizes = cut(numbered.select(F.col("whole.doc_id").alias("doc_id"), F.col("whole.source").alias("source"), word_count(F.col("whole.text")).alias("size"), "row"))
+    taken = sampled(sizes, max_epochs, seed).filter("repeats > 0").select("row", "repeats")
+    joined = numbered.join(taken, "row")
+    return joined.select("whole", F.explode(F.sequence(F.lit(1), F.col("repeats").cast("int"))).alias("repeat")).select("whole.*")

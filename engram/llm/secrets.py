@@ -7,6 +7,9 @@ constants it has seen so that ``password = KEY`` finds the literal behind
 how random it looks.  Three fixed patterns (kinds ``assign``, ``access`` and
 ``hex``) run beside it and always stay.
 
+A constant keeps references to the constants it is made of and a profile of its
+whole text, so ``x = x + x`` on every line costs no more than any other line.
+
 Positions are code points, end exclusive.  A null or empty text has no spans;
 repeated rows are scanned alike; columns besides the two named are not read.
 """
@@ -17,6 +20,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -36,6 +40,8 @@ NAME_WEIGHTS = {
 #: Literals that stand for a secret without being one.
 PLACEHOLDERS = re.compile(r"(?i)^(true|false|null|none|nil|undefined|changeme|change_me|example|placeholder|todo|xxx+|\*+|\.+|-+|your[_-].*|<.*>|\$\{.*\}|%.*%)$")
 THRESHOLD = 1.0
+#: Characters up to which a whole value may be a placeholder, and where lengths stop growing.
+SHORT, LONGEST = 200, 1e15
 _PAIR = re.compile(r"""(?<![\w$])(?:"(?P<dq>[^"\n]{1,80})"|'(?P<sq>[^'\n]{1,80})'|(?P<id>[A-Za-z_$][\w$.\-]{0,80}))[ \t]*(?::=|=>|=(?![=>])|:(?![:/=]))[ \t]*""", re.ASCII)
 _OPERAND = re.compile(r'''"(?P<dq>(?:[^"\\\n]|\\.)*)"|'(?P<sq>(?:[^'\\\n]|\\.)*)'|(?P<name>[A-Za-z_$][\w$.]*)(?![\w+/=-])|(?P<bare>[^\s,;"'(){}\[\]]+)''', re.ASCII)
 _JOIN = re.compile(r"[ \t]*(?:\+|\.\.|\|\||&)[ \t]*|[ \t]+(?=[\"'])")
@@ -47,65 +53,110 @@ def sensitivity(name: str) -> float:
     return sum(NAME_WEIGHTS.get(p.lower(), 0.0) for p in _NAME_PART.findall(name))
 
 
-def entropy(value: str) -> float:
-    """Bits a character of ``value`` carries under its own letter frequencies."""
-    n = len(value)
-    return -sum(c / n * math.log2(c / n) for c in Counter(value).values()) if n else 0.0
+@dataclass(slots=True)
+class Value:
+    """What a name stands for: literals of its own, values it is made of, and a profile of the whole text.
+
+    Only references to earlier values are kept, never their literals, so a text of
+    ``n`` operands needs O(n) memory however its constants refer to each other."""
+
+    name: str
+    literals: list[tuple[int, int]]
+    parts: list[Value]
+    length: float = 0.0
+    #: Share of each character in the whole.
+    shares: dict[str, float] = field(default_factory=dict)
+    #: The whole itself, as long as it is short enough to stand for a placeholder.
+    whole: str | None = ""
+
+    def add(self, length: float, shares: dict[str, float], whole: str | None) -> None:
+        total = self.length + length
+        if not length:
+            return
+        mixed = {c: s * (self.length / total) for c, s in self.shares.items()}
+        for c, s in shares.items():
+            mixed[c] = mixed.get(c, 0.0) + s * (length / total)
+        self.length, self.shares = min(total, LONGEST), mixed
+        self.whole = self.whole + whole if self.whole is not None and whole is not None and len(self.whole) + len(whole) <= SHORT else None
+
+    def add_literal(self, start: int, end: int, value: str) -> None:
+        self.literals.append((start, end))
+        self.add(len(value), {c: k / len(value) for c, k in Counter(value).items()}, value)
+
+    def add_value(self, value: Value) -> None:
+        self.parts.append(value)
+        self.add(value.length, value.shares, value.whole)
+
+
+def entropy(shares: dict[str, float]) -> float:
+    """Bits a character carries under the letter frequencies ``shares``."""
+    return -sum(s * math.log2(s) for s in shares.values() if s > 0)
 
 
-def randomness(value: str) -> float:
+def randomness(length: float, shares: dict[str, float]) -> float:
     """0 for a plain word, about 1 for a long mixed literal."""
-    classes = sum(bool(re.search(p, value)) for p in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
-    return min(1.0, len(value) / 20) * 0.3 + min(1.0, entropy(value) / 4) * 0.4 + (classes - 1) * 0.1
+    classes = len({0 if "a" <= c <= "z" else 1 if "A" <= c <= "Z" else 2 if "0" <= c <= "9" else 3 for c in shares})
+    return min(1.0, length / 20) * 0.3 + min(1.0, entropy(shares) / 4) * 0.4 + (classes - 1) * 0.1
 
 
-def pairs(text: str) -> Iterator[tuple[str, list[tuple[int, int, str]]]]:
-    """(name, literals of its value) in order of the text; each literal is
-    (start, end, value).  Names that stand for earlier constants are resolved."""
-    constants: dict[str, list[tuple[int, int, str]]] = {}
+def pairs(text: str) -> Iterator[Value]:
+    """The assignments of a text in order; names that stand for earlier constants are resolved."""
+    constants: dict[str, Value] = {}
     at = 0
     while found := _PAIR.search(text, at):
-        name = found["id"] or found["dq"] or found["sq"]
+        made = Value(found["id"] or found["dq"] or found["sq"], [], [])
         at = found.end()
-        parts: list[tuple[int, int, str]] = []
+        pieces: list[Value | tuple[int, int, str]] = []
         while operand := _OPERAND.match(text, at):
             kind = operand.lastgroup
             value = operand[kind]
             if kind == "name" and value in constants:
-                parts += constants[value]
+                pieces.append(constants[value])
             elif kind in ("dq", "sq") and value.startswith("${") and value[2:-1] in constants:
-                parts += constants[value[2:-1]]
-            elif value and not (kind == "name" and parts):
-                parts.append((operand.start(kind), operand.end(kind), value))
+                pieces.append(constants[value[2:-1]])
+            elif value and not (kind == "name" and pieces):
+                pieces.append((operand.start(kind), operand.end(kind), value))
             if kind in ("name", "bare") and _PAIR.match(text, operand.start()):
-                parts = parts[:-1]  # the next pair begins here
+                pieces = pieces[:-1]  # the next pair begins here
                 break
             at = operand.end()
             joined = _JOIN.match(text, at)
             if not joined:
                 break
             at = joined.end()
-        if parts:
+        for piece in pieces:
+            made.add_value(piece) if isinstance(piece, Value) else made.add_literal(*piece)
+        if pieces:
             if found["id"]:
-                constants[name] = parts
-            yield name, parts
+                constants[made.name] = made
+            yield made
         at = max(at, found.end())
 
 
 def lexed(text: str, threshold: float = THRESHOLD) -> list[tuple[int, int, str, float]]:
-    """(start, end, name, score) of the literals that score at least ``threshold``."""
-    best: dict[tuple[int, int], tuple[str, float]] = {}
-    for name, parts in pairs(text):
-        weight = sensitivity(name)
-        whole = "".join(value for _, _, value in parts)
-        if not weight or len(whole) < 6 or PLACEHOLDERS.match(whole):
+    """(start, end, name, score) of the literals that score at least ``threshold``.
+
+    A literal takes the best score of all sensitive targets that it reaches; values
+    refer to earlier ones alone, so one walk backwards hands the scores down."""
+    values = list(pairs(text))
+    best: dict[int, tuple[float, int, str]] = {}
+    for i, value in enumerate(values):
+        weight = sensitivity(value.name)
+        if weight and value.length >= 6 and not (value.whole and PLACEHOLDERS.match(value.whole)):
+            score = weight + randomness(value.length, value.shares) - 0.4
+            if score >= threshold:
+                best[id(value)] = (score, -i, value.name)
+    found: dict[tuple[int, int], tuple[float, int, str]] = {}
+    for value in reversed(values):
+        mark = best.get(id(value))
+        if mark is None:
             continue
-        score = weight + randomness(whole) - 0.4
-        if score >= threshold:
-            for start, end, _ in parts:
-                if end > start and best.get((start, end), ("", 0.0))[1] < score:
-                    best[start, end] = (name, score)
-    return [(*span, *named) for span, named in sorted(best.items())]
+        for part in value.parts:
+            best[id(part)] = max(best.get(id(part), mark), mark)
+        for span in value.literals:
+            if span[1] > span[0]:
+                found[span] = max(found.get(span, mark), mark)
+    return [(start, end, name, score) for (start, end), (score, _, name) in sorted(found.items())]
 
 
 def scan(text: str | None, threshold: float = THRESHOLD) -> list[tuple[str, int, int, str, float]]:

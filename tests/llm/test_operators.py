@@ -4,6 +4,7 @@ import collections
 import hashlib
 import math
 import random
+import time
 import zlib
 
 import duckdb
@@ -355,6 +356,33 @@ def test_assignment_lexing():
     assert secrets.scan(None) == secrets.scan("") == []
 
 
+@pytest.mark.parametrize(
+    "text",
+    [
+        "password = password + password\n" * 10_000,
+        'password = "a8F3kd92Lsd0"\n' + "password = password + password\n" * 10_000,
+        'a0 = "a8F3kd92Lsd0"\n' + "".join(f'a{i + 1} = a{i} + "l{i}"\n' for i in range(10_000)) + "password = a10000\n",
+        "".join(f'password = password + "x{i}"\n' for i in range(10_000)),
+    ],
+)
+def test_constants_that_grow_stay_cheap(text):
+    began = time.perf_counter()
+    found = secrets.lexed(text)
+    assert time.perf_counter() - began < 5 and len(found) in (1, 10_000, 10_001)
+    assert len({f[:2] for f in found}) == len(found)
+
+
+def test_constants_refer_to_what_they_were():
+    def values(text):
+        return [text[a:b] for a, b, _, _ in secrets.lexed(text)]
+
+    assert values('x = "a8F3kd92Lsd0"\nx = x + x\npassword = x') == ["a8F3kd92Lsd0"]
+    assert values('x = "a8F3kd92Lsd0"\ny = x\nx = "plain1"\nsecret = y') == ["a8F3kd92Lsd0"]
+    assert values('x = x\npassword = x + x') == []
+    # A literal takes the best of the targets that it reaches, the first of equals.
+    assert [f[2] for f in secrets.lexed('k = "a8F3kd92Lsd0"\nauth_key = k\npassword = k\nsecret = k')] == ["password"]
+
+
 def test_redaction(spark):
     docs = odd_documents(spark)
     out = secrets.redact(docs)
@@ -392,6 +420,16 @@ def test_targets(spark, seed):
         assert math.isclose(found[s], t, rel_tol=1e-9, abs_tol=1e-9)
 
 
+def test_mixture_of_equal_rows(spark):
+    rows = [(i % 3, "one two three four", "a", str(i)) for i in range(9)] + [(None, "x " * k, "b", "n") for k in range(1, 30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, row string")
+    plan = mixing.mix_sources(docs)
+    mixed = mixing.mixture(docs)
+    assert mixed.columns == docs.columns and mixed.count() == plan.agg(F.sum("repeats")).first()[0]
+    taken = {r.source: r.n for r in plan.groupBy("source").agg(F.sum("taken").alias("n")).collect()}
+    assert {r.source: r.n for r in mixed.groupBy("source").agg(F.sum(mixing.word_count(F.col("text"))).alias("n")).collect()} == taken
+
+
 def test_mixture(spark):
     docs = documents(spark, "/root/testdata/sf0.01").withColumn("source", F.when(F.col("source") != "src4", F.col("source")))
     rows = mixing.mix_sources(docs).collect()
