@@ -4,9 +4,10 @@ Words are counted over all training texts; the most frequent become the
 model's vocabulary, everything else its unknown word.  The network is one GRU
 layer with a class-factored softmax: classes of ``CLASS`` words by frequency,
 P(word) = P(class) P(word | class).  Training is truncated backpropagation over
-windows of ``WINDOW`` tokens with the state carried from window to window; tasks
-train replicas on their own documents, and replicas are averaged by tokens.  The
-rounds together pass over every training text once.
+windows of ``WINDOW`` tokens with the state carried from window to window; long
+texts train as several such stretches; tasks train replicas on their own documents, and replicas are averaged by tokens.  The
+rounds together pass over every training text once, after a first replica on a
+few texts that they all start from.
 Scoring carries the state over the whole document, so a text of any length gets
 its complete log-likelihood.
 
@@ -16,7 +17,8 @@ outside the vocabulary and one unseen word, so texts keep a proper probability.
 Tokens are words (maximal runs of bytes other than ASCII white space, A-Z
 lower-cased), identified by 64-bit hashes, then one end.  Defined results: a
 null or empty text is its end alone; a null id is a training row; repeated rows
-count and score each; without training rows counts are 0 and the model is the
+count and score each, and which round learns from a text follows from its id and
+text, so equal ids do no harm; without training rows counts are 0 and the model is the
 untrained network; an empty table gives an empty result.
 """
 
@@ -26,27 +28,33 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from engram.llm.session import cut
 from engram.llm.textops import slices, words
 
-UNKNOWN, END = 0, 1
-CLASS, CLASSES = 32, 32
-VOCABULARY = CLASS * CLASSES
-HIDDEN, WINDOW = 32, 24
-LANES, SCORE_LANES = 128, 1024
+CLASS, CLASSES = 64, 17
+#: The unknown word is a class of its own; the end and the words fill the other classes.
+UNKNOWN, END = 0, CLASS
+VOCABULARY = CLASS * (CLASSES - 1)
+EMBEDDING, HIDDEN, WINDOW = 24, 24, 24
+LANES, SCORE_LANES = 256, 1024
+#: Tokens that a lane trains on at most; state runs through all its windows.
+SEGMENT = 1008
 #: Frequent words whose counts travel to the tasks; the counts of all other words are joined.
 FREQUENT = 1 << 18
 #: Texts of the first, single replica; then rounds of all tasks, each over its part of all training texts.
 FIRST_TEXTS, ROUNDS = 2_000, 2
+#: Groups of replicas that are added up first.
+GROUPS = 32
 RATE = 0.008
 _LN10 = float(np.log(10))
 
 Params = dict[str, np.ndarray]
 SHAPES = {
-    "x": (VOCABULARY, 3 * HIDDEN), "u": (HIDDEN, 3 * HIDDEN), "b": (3 * HIDDEN,),
+    "e": (CLASSES * CLASS, EMBEDDING), "x": (EMBEDDING, 3 * HIDDEN), "u": (HIDDEN, 3 * HIDDEN), "b": (3 * HIDDEN,),
     "c": (HIDDEN, CLASSES), "cb": (CLASSES,), "w": (CLASSES, HIDDEN, CLASS), "wb": (CLASSES, CLASS),
 }
 
@@ -54,8 +62,9 @@ SHAPES = {
 def start(n_words: int, seed: int = 11) -> Params:
     rng = np.random.default_rng(seed)
     p = {k: (rng.standard_normal(s) * (0.1 if len(s) > 1 else 0.0)).astype(np.float32) for k, s in SHAPES.items()}
-    p["wb"] = np.where(np.arange(VOCABULARY).reshape(CLASSES, CLASS) < n_words, 0, -1e9).astype(np.float32)
-    p["cb"] = np.where(np.arange(CLASSES) * CLASS < n_words, 0, -1e9).astype(np.float32)
+    used = CLASS + n_words  # after the unknown word's own class
+    p["wb"] = np.where(np.arange(CLASSES * CLASS).reshape(CLASSES, CLASS) < used, 0, -1e9).astype(np.float32)
+    p["cb"] = np.where(np.arange(CLASSES) * CLASS < used, 0, -1e9).astype(np.float32)
     return p
 
 
@@ -72,59 +81,75 @@ def unpack(flat: np.ndarray) -> Params:
     return out
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    np.negative(x, out=x)
-    with np.errstate(over="ignore"):  # exp may reach infinity, whose reciprocal is the right 0
-        np.exp(x, out=x)
-    x += 1
-    return np.reciprocal(x, out=x)
-
-
 def run_window(p: Params, ids: np.ndarray, h: np.ndarray, keep: list | None = None) -> np.ndarray:
-    """States after each step of ``ids`` (steps x lanes); ``keep`` gathers what the way back needs."""
-    out = np.empty((*ids.shape, HIDDEN), dtype=np.float32)
+    """States (steps x HIDDEN x lanes) after each step of ``ids`` (steps x lanes) from ``h``
+    (HIDDEN x lanes); ``keep`` gathers the gates and products that the way back needs.
+
+    Lanes are the last axis everywhere, so that each gate is one contiguous block."""
     n = 2 * HIDDEN
-    inputs = p["x"] + p["b"]
-    for t, row in enumerate(ids):
-        a = h @ p["u"]
-        x = inputs[row]
-        zr = _sigmoid(x[:, :n] + a[:, :n])
-        z, r = zr[:, :HIDDEN], zr[:, HIDDEN:]
-        c = np.tanh(x[:, n:] + r * a[:, n:])
-        new = c + z * (h - c)
-        if keep is not None:
-            keep.append((h, z, r, c, a[:, n:]))
-        out[t] = h = new
+    # Every word's input to the gates: a product for the whole vocabulary, then a look-up.
+    x = np.ascontiguousarray((p["e"] @ p["x"] + p["b"])[ids].transpose(0, 2, 1))
+    u = np.ascontiguousarray(p["u"].T)
+    out = np.empty((len(ids), *h.shape), dtype=x.dtype)
+    products = np.empty((len(ids), len(u), h.shape[1]), dtype=x.dtype) if keep is not None else None
+    for t in range(len(ids)):
+        a = np.matmul(u, h, out=products[t]) if keep is not None else u @ h
+        gates, c, new = x[t, :n], x[t, n:], out[t]
+        gates += a[:n]
+        np.negative(gates, out=gates)
+        np.minimum(gates, 60, out=gates)
+        np.exp(gates, out=gates)
+        gates += 1
+        np.reciprocal(gates, out=gates)
+        c += gates[HIDDEN:] * a[n:]
+        np.tanh(c, out=c)
+        np.subtract(h, c, out=new)
+        new *= gates[:HIDDEN]
+        new += c
+        h = new
+    if keep is not None:
+        keep += [x[:, :HIDDEN], x[:, HIDDEN:n], x[:, n:], products[:, n:]]
     return out
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
-
-
-def _log_of(x: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Log softmax of ``x`` at one column of each row; ``x`` is used up."""
-    x -= x.max(axis=1, keepdims=True)
-    found = x[np.arange(len(at)), at]
+def _away(x: np.ndarray, at: np.ndarray, many: int) -> tuple[float, np.ndarray]:
+    """Loss of the softmax over the first axis at one row of each column, and its gradient
+    divided by ``many``; ``x`` is used up."""
+    each = np.arange(len(at))
+    x -= x.max(axis=0)
+    found = x[at, each]
     np.exp(x, out=x)
-    return found - np.log(x.sum(axis=1))
+    total = x.sum(axis=0)
+    x *= 1 / (total * many)
+    x[at, each] -= 1 / many
+    return float(np.log(total).sum() - found.sum()), x
 
 
-def by_class(target: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+def by_class(target: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """The order of the targets by class, and (class, from, to) in that order of
+    the classes with more than one word."""
     of = (target // CLASS).astype(np.uint8)
-    order = np.argsort(of, kind="stable")
     edges = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=CLASSES))])
-    for c in range(CLASSES):
-        if edges[c + 1] > edges[c]:
-            yield c, order[edges[c] : edges[c + 1]]
+    return np.argsort(of, kind="stable"), [(c, int(edges[c]), int(edges[c + 1])) for c in range(1, CLASSES) if edges[c + 1] > edges[c]]
+
+
+def _of_target(x: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Log softmax over the first axis at one row of each column; ``x`` is used up."""
+    x -= x.max(axis=0)
+    found = x[at, np.arange(len(at))]
+    np.exp(x, out=x)
+    return found - np.log(x.sum(axis=0))
 
 
 def log_probability(p: Params, state: np.ndarray, target: np.ndarray) -> np.ndarray:
-    """Natural log probability of each target after each state."""
-    out = _log_of(state @ p["c"] + p["cb"], target // CLASS)
-    for c, at in by_class(target):
-        out[at] += _log_of(state[at] @ p["w"][c] + p["wb"][c], target[at] % CLASS)
+    """Natural log probability of each target after each state (HIDDEN x targets)."""
+    order, segments = by_class(target)
+    state, target = np.take(state, order, axis=1), target[order]
+    found = _of_target(p["c"].T @ state + p["cb"][:, None], target // CLASS)
+    for c, a, b in segments:
+        found[a:b] += _of_target(p["w"][c].T @ state[:, a:b] + p["wb"][c][:, None], target[a:b] % CLASS)
+    out = np.empty_like(found)
+    out[order] = found
     return out
 
 
@@ -132,77 +157,98 @@ def gradients(p: Params, ids: np.ndarray, target: np.ndarray, mask: np.ndarray,
     """Gradients of a window's mean loss, the last state, the loss."""
     keep: list = []
     states = run_window(p, ids, h, keep)
-    g = {k: np.zeros_like(v) for k, v in p.items()}
+    steps, lanes = ids.shape
+    g: Params = {"w": np.zeros_like(p["w"]), "wb": np.zeros_like(p["wb"]), "e": np.zeros_like(p["e"])}
+
+    # The softmax, over the targets in the order of their classes.
     rows = np.flatnonzero(mask.ravel())
-    s, y = states.reshape(-1, HIDDEN)[rows], target.ravel()[rows]
-    n = np.float32(len(rows))
-    logp = _log_softmax(s @ p["c"] + p["cb"])
-    loss = -logp[np.arange(len(y)), y // CLASS].sum()
-    off = np.exp(logp)
-    off[np.arange(len(y)), y // CLASS] -= 1
-    off /= n
-    g["c"], g["cb"] = s.T @ off, off.sum(axis=0)
-    back = off @ p["c"].T
-    for c, at in by_class(y):
-        logp = _log_softmax(s[at] @ p["w"][c] + p["wb"][c])
-        loss -= logp[np.arange(len(at)), y[at] % CLASS].sum()
-        off = np.exp(logp)
-        off[np.arange(len(at)), y[at] % CLASS] -= 1
-        off /= n
-        g["w"][c], g["wb"][c] = s[at].T @ off, off.sum(axis=0)
-        back[at] += off @ p["w"][c].T
-    to_state = np.zeros((ids.size, HIDDEN), dtype=np.float32)
-    to_state[rows] = back
-    to_state = to_state.reshape(states.shape)
+    order, segments = by_class(target.ravel()[rows])
+    rows = rows[order]
+    y = target.ravel()[rows]
+    s = np.take(states.transpose(1, 0, 2).reshape(HIDDEN, -1), rows, axis=1)
+    loss, off = _away(p["c"].T @ s + p["cb"][:, None], y // CLASS, len(y))
+    g["c"], g["cb"] = s @ off.T, off.sum(axis=1)
+    back = p["c"] @ off
+    for c, a, b in segments:
+        more, off = _away(p["w"][c].T @ s[:, a:b] + p["wb"][c][:, None], y[a:b] % CLASS, len(y))
+        loss += more
+        g["w"][c], g["wb"][c] = s[:, a:b] @ off.T, off.sum(axis=1)
+        back[:, a:b] += p["w"][c] @ off
+
+    # Back through the window.
+    place = np.full(steps * lanes, len(rows))
+    place[rows] = np.arange(len(rows))
+    to_state = np.take(np.concatenate([back, np.zeros((HIDDEN, 1), dtype=back.dtype)], axis=1), place, axis=1)  # 0 where nothing is predicted
+    to_state = np.ascontiguousarray(to_state.reshape(HIDDEN, steps, lanes).transpose(1, 0, 2))
+    z, r, c, a = keep
+    before = np.concatenate([h[None], states[:-1]])
+    of_c = (1 - z) * (1 - c * c)
+    of_z = (before - c) * z * (1 - z)
+    of_r = a * r * (1 - r)
+    to_x = np.empty((steps, 3 * HIDDEN, lanes), dtype=states.dtype)
+    to_a = np.empty_like(to_x)
     later = np.zeros_like(h)
-    to_x = np.empty((*ids.shape, 3 * HIDDEN), dtype=np.float32)
-    for t in range(len(ids) - 1, -1, -1):
-        before, z, r, c, a = keep[t]
-        d = to_state[t] + later
-        dc = d * (1 - z) * (1 - c * c)
-        dz = d * (before - c) * z * (1 - z)
-        dr = dc * a * r * (1 - r)
-        x = to_x[t]
-        x[:, :HIDDEN], x[:, HIDDEN : 2 * HIDDEN], x[:, 2 * HIDDEN :] = dz, dr, dc
-        da = x.copy()
-        da[:, 2 * HIDDEN :] *= r
-        g["u"] += before.T @ da
-        later = d * z + da @ p["u"].T
-    flat = to_x.reshape(-1, 3 * HIDDEN)
-    g["b"] = flat.sum(axis=0)
-    order = np.argsort(ids.ravel(), kind="stable")
-    seen, heads = np.unique(ids.ravel()[order], return_index=True)
-    g["x"][seen] = np.add.reduceat(flat[order], heads, axis=0)
-    return g, states[-1], float(loss)
-
-
-def lane_windows(tokens: np.ndarray, first: np.ndarray, lanes: int) -> Iterator[tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]]:
+    n = 2 * HIDDEN
+    for t in range(steps - 1, -1, -1):
+        later += to_state[t]
+        x, u = to_x[t], to_a[t]
+        np.multiply(later, of_z[t], out=x[:HIDDEN])
+        np.multiply(later, of_c[t], out=x[n:])
+        np.multiply(x[n:], of_r[t], out=x[HIDDEN:n])
+        u[:n] = x[:n]
+        np.multiply(x[n:], r[t], out=u[n:])
+        later *= z[t]
+        later += p["u"] @ u
+    g["u"] = np.matmul(before, to_a.transpose(0, 2, 1)).sum(axis=0)
+    to_x = to_x.transpose(1, 0, 2).reshape(3 * HIDDEN, -1)
+    g["b"] = to_x.sum(axis=1)
+    flat = ids.ravel()
+    order = np.argsort(flat, kind="stable")
+    heads = np.flatnonzero(np.diff(flat[order], prepend=-1))
+    seen = flat[order[heads]]
+    to_e = np.add.reduceat(np.take(to_x.T @ p["x"].T, order, axis=0), heads, axis=0)
+    g["x"] = np.take(p["e"], flat, axis=0).T @ to_x.T
+    g["e"][seen] = to_e
+    return {k: g[k] for k in SHAPES}, states[-1], float(loss)
+
+
+def lane_windows(tokens: np.ndarray, first: np.ndarray, lanes: int, places: int = 0) -> Iterator[tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]]:
     """Documents side by side, longest first: (rows, windows), each window with
-    its inputs, targets and mask (steps x lanes still running)."""
+    its inputs, targets and mask (steps x lanes still running).  Windows are of WINDOW
+    steps, or longer ones where fewer lanes than would fill ``places`` still run."""
     length = np.diff(first)
     order = np.argsort(-length, kind="stable")
+    before = np.concatenate([[END], tokens[:-1]])  # a text follows the end of another
     for at in range(0, len(order), lanes):
         rows = order[at : at + lanes]
 
         def windows(rows: np.ndarray = rows) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
             begin, size = first[rows], length[rows]
-            for s in range(0, int(size[0]), WINDOW):
+            s = 0
+            while s < int(size[0]):
                 alive = int(np.searchsorted(-size, -s, side="left"))
-                step = np.arange(s, min(s + WINDOW, int(size[0])))[:, None]
-                mask = step < size[:alive]
-                target = tokens[begin[:alive] + np.minimum(step, size[:alive] - 1)]
-                source = np.where(step > 0, tokens[begin[:alive] + np.clip(step - 1, 0, size[:alive] - 1)], END)
-                yield source, target, mask
+                step = np.arange(s, min(s + max(WINDOW, places // alive), int(size[0])))[:, None]
+                at = begin[:alive] + np.minimum(step, size[:alive] - 1)
+                yield before[at], tokens[at], step < size[:alive]
+                s += len(step)
 
         yield rows, windows()
 
 
+def segments_of(first: np.ndarray, most: int) -> np.ndarray:
+    """Edges of documents and, in long ones, of segments of ``most`` tokens."""
+    many = -(-np.diff(first) // most)
+    nth = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+    return np.append(np.repeat(first[:-1], many) + nth * most, first[-1])
+
+
 def train_replica(p: Params, tokens: np.ndarray, first: np.ndarray, adam: dict) -> None:
-    """One pass of truncated backpropagation over the documents, in place."""
-    for _, windows in lane_windows(tokens, first, LANES):
-        h = np.zeros((LANES, HIDDEN), dtype=np.float32)
+    """One pass of truncated backpropagation over the documents, in place.  A long
+    document is several lanes, so that no window runs for a few long ones alone."""
+    for _, windows in lane_windows(tokens, segments_of(first, SEGMENT), LANES):
+        h = np.zeros((HIDDEN, LANES), dtype=np.float32)
         for source, target, mask in windows:
-            g, h, _ = gradients(p, source, target, mask, h[: source.shape[1]])
+            g, h, _ = gradients(p, source, target, mask, h[:, : source.shape[1]])
             adam["t"] = t = adam.get("t", 0) + 1
             norm = np.sqrt(sum(float((v * v).sum()) for v in g.values()))
             scale = np.float32(min(1.0, 1.0 / (norm + 1e-9)))
@@ -226,13 +272,13 @@ def train_replica(p: Params, tokens: np.ndarray, first: np.ndarray, adam: dict)
 def score_documents(p: Params, tokens: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Natural log probability of each whole document."""
     out = np.zeros(len(first) - 1)
-    for rows, windows in lane_windows(tokens, first, SCORE_LANES):
-        h = np.zeros((len(rows), HIDDEN), dtype=np.float32)
+    for rows, windows in lane_windows(tokens, first, SCORE_LANES, SCORE_LANES * WINDOW):
+        h = np.zeros((HIDDEN, len(rows)), dtype=np.float32)
         for source, target, mask in windows:
-            states = run_window(p, source, h[: source.shape[1]])
+            states = run_window(p, source, h[:, : source.shape[1]])
             h = states[-1]
             at = np.flatnonzero(mask.ravel())
-            lp = log_probability(p, states.reshape(-1, HIDDEN)[at], target.ravel()[at])
+            lp = log_probability(p, np.take(states.transpose(1, 0, 2).reshape(HIDDEN, -1), at, axis=1), target.ravel()[at])
             out[rows] += np.bincount(at % source.shape[1], weights=lp, minlength=len(rows))
     return out
 
@@ -249,8 +295,8 @@ class Vocabulary:
         order = np.argsort(hashes)
         rank = np.arange(len(hashes))
         self.hashes, self.counts = hashes[order], counts[order]
-        self.ids = np.where(rank < VOCABULARY - 2, rank + 2, UNKNOWN)[order].astype(np.int32)
-        self.n_words = min(len(hashes), VOCABULARY - 2) + 2
+        self.ids = np.where(rank < VOCABULARY - 1, END + 1 + rank, UNKNOWN)[order].astype(np.int32)
+        self.n_words = min(len(hashes), VOCABULARY - 1) + 1
 
     def look_up(self, hashes: np.ndarray) -> np.ndarray:
         """Index of each word, -1 where it isn't among the frequent."""
@@ -306,11 +352,17 @@ def _replicas(flat: np.ndarray, vocabulary: Vocabulary, chunks: int):
                 n += len(tokens)
         if n:
             parts = np.array_split(pack(p).astype(np.float64) * n, chunks)
-            yield pa.RecordBatch.from_arrays([pa.array(range(chunks), pa.int32()), pa.array([n] * chunks, pa.int64()), pa.array([x.tolist() for x in parts], pa.list_(pa.float64()))], names=["chunk", "n", "part"])
+            replica = TaskContext.get().partitionId() % GROUPS
+            yield _sums({k: [n, x] for k, x in enumerate(parts)}, replica)
 
     return run
 
 
+def _sums(total: dict[int, list], replica: int = 0) -> pa.RecordBatch:
+    columns = [pa.array(list(total), pa.int32()), pa.array([replica] * len(total), pa.int32()), pa.array([v[0] for v in total.values()], pa.int64()), pa.array([v[1].tolist() for v in total.values()], pa.list_(pa.float64()))]
+    return pa.RecordBatch.from_arrays(columns, names=["chunk", "replica", "n", "part"])
+
+
 def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sums of the chunks that come to a task."""
     total: dict[int, list] = {}
@@ -323,19 +375,39 @@ def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             else:
                 total[chunk] = [n, value]
     if total:
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([v[0] for v in total.values()], pa.int64()), pa.array([v[1].tolist() for v in total.values()], pa.list_(pa.float64()))], names=["chunk", "n", "part"])
+        yield _sums(total)
 
 
-_SUMS = "chunk int, n long, part array<double>"
+_SUMS = "chunk int, replica int, n long, part array<double>"
 
 
 def train_round(flat: np.ndarray, texts: DataFrame, vocabulary: Vocabulary, chunks: int = 16) -> np.ndarray:
     """The average of the tasks' replicas, weighted by their tokens."""
     replicas = texts.mapInArrow(_replicas(flat, vocabulary, chunks), _SUMS)
-    sums = replicas.repartition(chunks, "chunk").mapInArrow(_add, _SUMS).orderBy("chunk").collect()  # as long as the network, whatever the corpus
+    # Added up in two steps, so that no task's load grows with the number of replicas by more than a root of it.
+    groups = replicas.repartition("chunk", "replica").mapInArrow(_add, _SUMS)
+    sums = groups.repartition("chunk").mapInArrow(_add, _SUMS).orderBy("chunk").collect()  # as long as the network, whatever the corpus
     return np.concatenate([np.array(r.part) / r.n for r in sums]).astype(np.float32) if sums else flat
 
 
+def frequent_words(counts: DataFrame, most: int | None = None) -> Vocabulary:
+    """The words of ``counts`` (h, n) from the least count on that leaves at most ``most`` (FREQUENT) of them.
+
+    Words are counted by their own count first, in steps of a sixteenth of an octave (a
+    thousand rows at most), so that no word is sorted but the few that travel."""
+    most = FREQUENT if most is None else most
+    step = F.floor(F.log2("n") * 16).cast("int")
+    levels = counts.groupBy(step.alias("step")).agg(F.count("*").alias("words")).orderBy(F.col("step").desc()).collect()
+    words, least = 0, None
+    for level in levels:
+        words += level.words
+        if words > most:
+            break
+        least = level.step
+    top = counts.filter(step >= (1 << 30 if least is None else least)).toArrow().sort_by([("n", "descending"), ("h", "ascending")])
+    return Vocabulary(top.column("h").to_numpy().view(np.uint64), top.column("n").to_numpy())
+
+
 def held_out(key: Column) -> Column:
     return F.coalesce(F.crc32(key.cast("string")) % 7 == 2, F.lit(False))
 
@@ -344,22 +416,21 @@ def lm_score(docs: DataFrame) -> DataFrame:
     """The digest that query op10 returns."""
     rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
     texts = rows.filter("not held_out").select("doc_id", "text")
-    spread = F.xxhash64(F.lit(3), "doc_id")
-    part = F.pmod(spread, F.lit(ROUNDS))
+    part = F.pmod(F.xxhash64(F.lit(3), "doc_id", "text"), F.lit(ROUNDS))
 
     counts = cut(texts.select("text").mapInArrow(_count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")))
     n_texts = texts.count()
     said = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     total, distinct = said.n + n_texts, said.v + (n_texts > 0)
-    top = counts.orderBy(F.col("n").desc(), "h").limit(FREQUENT).toArrow()  # FREQUENT rows at most
-    vocabulary = Vocabulary(top.column("h").to_numpy().view(np.uint64), top.column("n").to_numpy())
+    vocabulary = frequent_words(counts)
     named = vocabulary.ids != UNKNOWN
     rest = float(said.n + said.v - vocabulary.counts[named].sum() - named.sum() + 1)
 
     flat = pack(start(vocabulary.n_words))
-    # About FIRST_TEXTS rows, drawn by hash, train the replica that the rounds start from.
-    drawn = F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, FIRST_TEXTS / max(1, n_texts)))
-    first = texts.filter(drawn).select("text").repartition(1)
+    # About FIRST_TEXTS rows, drawn by hash, train the replica that the rounds start from; a text that
+    # repeats very often is drawn as a whole or not at all, so the draw has a bound of its own.
+    drawn = F.pmod(F.xxhash64(F.lit(5), "doc_id", "text"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, FIRST_TEXTS / max(1, n_texts)))
+    first = texts.filter(drawn).select("text").limit(2 * FIRST_TEXTS)
     flat = train_round(flat, first, vocabulary)
     for k in range(ROUNDS):
         flat = train_round(flat, texts.filter(part == k).select("text"), vocabulary)

@@ -524,16 +524,20 @@ def test_later_links_see_earlier_probabilities():
 # 10 Language model
 
 
+#: The unknown word, the end, and the words of a full vocabulary.
+ALL_IDS = np.concatenate([[gru.UNKNOWN], gru.END + np.arange(gru.VOCABULARY)])
+
+
 def test_gradients():
     rng = np.random.default_rng(0)
     p = {k: v.astype(np.float64) for k, v in gru.start(gru.VOCABULARY).items()}
-    ids, target = rng.integers(0, gru.VOCABULARY, (2, 5, 3))
+    ids, target = rng.choice(ALL_IDS, (2, 5, 3))
     mask = np.array([[1, 1, 1], [1, 1, 1], [1, 1, 0], [1, 0, 0], [1, 0, 0]], dtype=bool)
-    h = rng.standard_normal((3, gru.HIDDEN)) * 0.3
+    h = rng.standard_normal((gru.HIDDEN, 3)) * 0.3
     at = np.flatnonzero(mask.ravel())
 
     def loss(p):
-        states = gru.run_window(p, ids, h).reshape(-1, gru.HIDDEN).astype(np.float64)[at]
+        states = gru.run_window(p, ids, h).transpose(1, 0, 2).reshape(gru.HIDDEN, -1)[:, at]
         return -gru.log_probability(p, states, target.ravel()[at]).sum() / len(at)
 
     g, _, _ = gru.gradients(p, ids, target, mask, h)
@@ -548,14 +552,14 @@ def test_gradients():
 def test_state_runs_through_windows_and_probabilities_sum_to_one(monkeypatch):
     p = gru.start(gru.VOCABULARY)
     rng = np.random.default_rng(1)
-    tokens = rng.integers(0, gru.VOCABULARY, 200).astype(np.int32)
+    tokens = rng.choice(ALL_IDS, 200).astype(np.int32)
     first = np.array([0, 120, 121, 200])
     whole = gru.score_documents(p, tokens, first)
     monkeypatch.setattr(gru, "WINDOW", 7)
     monkeypatch.setattr(gru, "SCORE_LANES", 2)
     assert np.allclose(gru.score_documents(p, tokens, first), whole, rtol=1e-4)
-    state = rng.standard_normal((1, gru.HIDDEN)).astype(np.float32).repeat(gru.VOCABULARY, axis=0)
-    assert math.isclose(np.exp(gru.log_probability(p, state, np.arange(gru.VOCABULARY))).sum(), 1, rel_tol=1e-4)
+    state = rng.standard_normal((gru.HIDDEN, 1)).astype(np.float32).repeat(len(ALL_IDS), axis=1)
+    assert math.isclose(np.exp(gru.log_probability(p, state, ALL_IDS)).sum(), 1, rel_tol=1e-4)
 
 
 def test_lm_score(spark):
