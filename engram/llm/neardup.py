@@ -2,19 +2,24 @@
 
 1. Each text becomes its set of distinct word shingles, a fingerprint of that
    set, and a MinHash signature.  Equal sets are one node from here on.
-2. The forest: ``TREES`` sorted orders of the signatures, order t beginning with
-   the hash functions of tree t.  Neighbours in an order that share a prefix of
-   the least depth or more, and whose signatures agree well enough to be a link
-   at all, are candidates.  The least depth follows from the threshold: a pair
-   at the threshold shares it in some tree but for a chance of 2e-5.
-   In a crowded region neighbours share long prefixes and in a sparse one short
-   ones, so the depth adapts to the region by itself.
-3. Candidates are joined into regions.  A region is confirmed on the full sets,
-   in one task: everything is compared with the region's hub, and what the hub
-   does not link with everything.  That finds every component of the exact link
-   graph of the region without listing its pairs.  A region too large for a
-   task is confirmed in blocks, by the same two steps: all members against the
-   hub, then those it leaves over, block by block, against all members.
+2. The forest: trees of sorted orders, each beginning with hash functions of its
+   own.  A bucket is the rows that share an order's first ``depth`` values, so its
+   neighbours have a longest common prefix of at least that depth.  The first
+   level's depth follows from the threshold: a pair at the threshold shares a
+   bucket in some tree but for a chance of ``MISS``.  In a bucket of up to ``CROWD``
+   rows all that agree well enough to be a link are candidates.  A crowded bucket
+   whose rows agree with its hub, but for ``CROWD`` of them, is taken whole.  The
+   rows of all other crowded buckets go on to the next level, twice and then three
+   times as deep, with as many trees as keep the chance at ``MISS``.  So the depth
+   adapts to each region, and a pair at the threshold is missed with a chance of
+   at most ``MISS`` a level.  Buckets still crowded at the last level are taken
+   whole: their rows are confirmed on full sets, exactly.
+3. Candidates are joined into regions.  A region is confirmed on the full sets:
+   everything is compared with the region's hub, and what the hub does not link
+   with everything.  That finds every component of the exact link graph of the
+   region without listing its pairs.  Small regions take one task; larger ones are
+   confirmed in blocks, by the same two steps: all members against the hub, then
+   those it leaves over, block by block, against all members.
 
 A link is ``100 * intersection >= percent * union`` of the sets.
 
@@ -28,6 +33,7 @@ empty result; other columns are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -39,20 +45,35 @@ from engram.llm.session import cut
 from engram.llm.textops import mix, shingle_hashes, slices, words
 
 TREES, HASHES = 16, 64
-#: Neighbours that a row is compared with in each sorted order.
-REACH = 4
+#: Rows of a bucket that are compared with each other.
+CROWD = 16
+#: Chance that a pair at the threshold shares no bucket of a level.
+MISS = 2e-5
+LEVELS = 3
+#: Parts that a crowded bucket is dealt into.
+SALTS = 16
 #: Shingles and rows of a region that one task confirms.
-REGION_SHINGLES, REGION_ROWS = 12_000_000, 20_000
+REGION_SHINGLES, REGION_ROWS = 4_000_000, 500
 _A = mix(np.arange(1, HASHES + 1, dtype=np.uint64)) | np.uint64(1)
 _B = mix(np.arange(1001, 1001 + HASHES, dtype=np.uint64))
 
 
-def least_depth(percent: int, trees: int = TREES, miss: float = 2e-5) -> int:
+def least_depth(percent: int, trees: int = TREES, miss: float = MISS) -> int:
     """The deepest prefix at which a pair at the threshold is missed by all trees with a chance of at most ``miss``."""
     t = percent / 100
     return max([d for d in range(1, 9) if (1 - t**d) ** trees <= miss], default=1)
 
 
+def orders(percent: int, level: int) -> np.ndarray:
+    """The hash functions (trees x depth) that the orders of a level begin with."""
+    depth = least_depth(percent) * (level + 1)
+    if level == 0:  # no function in two trees
+        return (np.arange(TREES)[:, None] * (HASHES // TREES) + np.arange(depth)) % HASHES
+    trees = int(np.ceil(np.log(MISS) / np.log1p(-((percent / 100) ** depth))))
+    rng = np.random.default_rng(level)
+    return np.stack([rng.permutation(HASHES)[:depth] for _ in range(trees)])
+
+
 def signature(shingles: np.ndarray) -> np.ndarray:
     """The least value of each hash function over a set, 32 bits each."""
     out = np.full(HASHES, np.iinfo(np.uint64).max, dtype=np.uint64)
@@ -75,63 +96,113 @@ def shingle_sets(column: pa.Array, n: int) -> Iterator[np.ndarray]:
         yield np.unique(shingle_hashes(w.hash[a:b], n))
 
 
-def _sketcher(n: int, depth: int):
+def _sketcher(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                one, two, size, sigs, buckets = [], [], [], [], []
+                one, two, size, sigs = [], [], [], []
                 for s in shingle_sets(part.column("text"), n):
                     size.append(len(s))
-                    if not len(s):
-                        one.append(None), two.append(None), sigs.append(None), buckets.append(None)
-                        continue
-                    f, g = fingerprint(s)
-                    sig = signature(s)
-                    one.append(f), two.append(g), sigs.append(sig.tobytes()), buckets.append(tree_keys(sig, depth))
-                columns = [part.column("doc_id"), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(size, pa.int64()), pa.array(sigs, pa.binary()), pa.array(buckets, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "f1", "f2", "n_shingles", "sig", "buckets"])
+                    f, g = fingerprint(s) if len(s) else (None, None)
+                    one.append(f), two.append(g), sigs.append(signature(s).tobytes() if len(s) else None)
+                columns = [part.column("doc_id"), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(size, pa.int64()), pa.array(sigs, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "f1", "f2", "n_shingles", "sig"])
 
     return run
 
 
-def tree_keys(sig: np.ndarray, depth: int) -> np.ndarray:
-    """For each tree, a hash of the first ``depth`` values of its order."""
-    per_tree = HASHES // TREES
-    at = (np.arange(TREES)[:, None] * per_tree + np.arange(depth)) % HASHES
-    key = np.arange(1, TREES + 1, dtype=np.uint64)
-    values = sig.astype(np.uint64)[at]
-    for i in range(depth):
-        key = mix(key * np.uint64(31) ^ values[:, i])
+def _signatures(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=">u4").astype(np.uint32).reshape(-1, HASHES)
+
+
+def prefix_keys(sigs: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """For each signature and tree (rows x trees) a hash of the first values of the tree's order."""
+    key = np.broadcast_to(mix(np.arange(1, len(order) + 1, dtype=np.uint64) * np.uint64(1 + order.shape[1])), (len(sigs), len(order))).copy()
+    for at in order.T:
+        key = mix(key * np.uint64(31) ^ sigs[:, at].astype(np.uint64))
     return key.view(np.int64)
 
 
+def _prefixes(order: np.ndarray):
+    """A row (rep, bucket) for each row and tree."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                keys = prefix_keys(_signatures(batch.column("sig")), order)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column("rep").to_numpy(), len(order))), pa.array(keys.ravel())], names=["rep", "bucket"])
+
+    return run
+
+
 def _neighbours(agree: int):
-    """Candidate pairs of rows (bucket, rep, sig) in sorted order."""
+    """Candidate pairs of rows (bucket, rep, sig) in sorted order, all rows of a bucket against each other."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, reps, sigs = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, HASHES), np.uint32)
         for batch in batches:
             if not batch.num_rows:
                 continue
-            values = np.frombuffer(b"".join(batch.column("sig").to_pylist()), dtype=">u4").astype(np.uint32).reshape(-1, HASHES)
+            new = len(keys)
             keys = np.concatenate([keys, batch.column("bucket").to_numpy()])
             reps = np.concatenate([reps, batch.column("rep").to_numpy()])
-            sigs = np.concatenate([sigs, values])
-            a, b = [], []
-            for off in range(1, REACH + 1):
-                near = np.flatnonzero(keys[off:] == keys[:-off]) if len(keys) > off else np.zeros(0, np.int64)
-                near = near[(sigs[near] == sigs[near + off]).sum(axis=1) >= agree] if len(near) else near
+            sigs = np.concatenate([sigs, _signatures(batch.column("sig"))])
+            a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for off in range(1, min(CROWD, len(keys))):
+                near = np.flatnonzero(keys[off:] == keys[:-off])
+                if not len(near):
+                    break
+                near = near[near + off >= new]  # earlier pairs were met with the batch before
+                near = near[(sigs[near] == sigs[near + off]).sum(axis=1) >= agree]
                 a.append(reps[near + off])
                 b.append(reps[near])
             a, b = np.concatenate(a), np.concatenate(b)
             if len(a):
                 pairs = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)], axis=1), axis=0)
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
-            keys, reps, sigs = keys[-REACH:], reps[-REACH:], sigs[-REACH:]
+            keys, reps, sigs = keys[-CROWD:], reps[-CROWD:], sigs[-CROWD:]
+
+    return run
+
+
+def _agreement(agree: int):
+    """Whether each row (rep, bucket, hub, sig, hub_sig) agrees with the hub of its bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                same = (_signatures(batch.column("sig")) == _signatures(batch.column("hub_sig"))).sum(axis=1) >= agree
+                yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("rep", "bucket", "hub")], pa.array(same)], names=["rep", "bucket", "hub", "agrees"])
 
     return run
 
 
+def candidates(nodes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of ``nodes`` (rep, sig) that may be links, from the levels of the forest."""
+    agree = int(HASHES * (percent / 100 - 0.3))
+    rows, found = nodes.select("rep", "sig"), []
+    for level in range(LEVELS):
+        keyed = rows.mapInArrow(_prefixes(orders(percent, level)), "rep long, bucket long")
+        buckets = keyed.groupBy("bucket").agg(F.count("*").alias("n"), F.min("rep").alias("hub")).filter("n > 1")
+        shared = cut(keyed.join(buckets, "bucket"))
+        small = shared.filter(F.col("n") <= CROWD).select("rep", "bucket").join(rows, "rep")
+        found.append(small.repartition("bucket").sortWithinPartitions("bucket", "sig", "rep").select("bucket", "rep", "sig").mapInArrow(_neighbours(agree), "a long, b long"))
+        crowded = shared.filter(F.col("n") > CROWD)
+        if crowded.isEmpty():
+            break
+        # A bucket may hold a third of all rows: it is dealt into parts, and its hub goes to each of them.
+        hubs = crowded.select("bucket", F.col("hub").alias("rep")).distinct().join(rows, "rep").select("bucket", F.col("sig").alias("hub_sig"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+        salted = crowded.join(rows, "rep").withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(SALTS)).cast("int"))
+        judged = cut(salted.join(hubs, ["bucket", "salt"]).select("rep", "bucket", "hub", "sig", "hub_sig").mapInArrow(_agreement(agree), "rep long, bucket long, hub long, agrees boolean"))
+        last = level == LEVELS - 1
+        closed = judged.groupBy("bucket").agg(F.count(F.when(~F.col("agrees"), 1)).alias("left")).filter(F.lit(last) | (F.col("left") <= CROWD)).select("bucket")
+        found.append(judged.join(closed, "bucket", "left_semi").select(F.col("rep").alias("a"), F.col("hub").alias("b")))
+        if last:
+            break
+        rows = cut(rows.join(judged.join(closed, "bucket", "left_anti").select("rep").distinct(), "rep", "left_semi"))
+    return reduce(DataFrame.unionByName, found)
+
+
 def linked_to(sets: list[np.ndarray], percent: int, queries: np.ndarray | None = None, same: np.ndarray | None = None) -> np.ndarray:
     """For each set the index of a representative of its component in the exact link graph.
 
@@ -213,15 +284,8 @@ def _block_links(n: int, percent: int):
 
 def _confirm_large(large: DataFrame, slim: DataFrame, n: int, percent: int) -> DataFrame:
     """Links (a, b) of the regions of ``large`` (region, rep, n, sig), in blocks."""
-    depth = least_depth(percent)
-
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [tree_keys(np.frombuffer(s, dtype=">u4"), depth) for s in batch.column("sig").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("region"), batch.column("rep"), pa.array(found, pa.list_(pa.int64()))], names=["region", "rep", "keys"])
-
     # The hub shares its prefixes with the most members.
-    prefixes = large.select("region", "rep", "sig").mapInArrow(keys, "region long, rep long, keys array<long>").select("region", "rep", F.explode("keys").alias("key"))
+    prefixes = large.select("rep", "sig").mapInArrow(_prefixes(orders(percent, 0)), "rep long, bucket long").join(large.select("rep", "region"), "rep").select("region", "rep", F.col("bucket").alias("key"))
     weight = prefixes.join(prefixes.groupBy("region", "key").agg(F.count("*").alias("w")), ["region", "key"]).groupBy("region", "rep").agg(F.sum("w").alias("w"))
     plan = weight.groupBy("region").agg(F.max_by("rep", F.struct("w", -F.col("rep"))).alias("hub"))
     blocks = lambda rows, shingles: F.ceil(F.greatest(2 * rows / REGION_ROWS, 2 * shingles / REGION_SHINGLES)).cast("int")
@@ -249,20 +313,11 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     """(doc_id, n_shingles, component_id, kept): for each row of ``docs`` its
     class in the graph of links, named by the smallest id, and whether it is the
     row that stays."""
-    depth = least_depth(percent)
-    agree = int(HASHES * (percent / 100 - 0.3))
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sketch = cut(slim.mapInArrow(_sketcher(n, depth), "doc_id long, f1 long, f2 long, n_shingles long, sig binary, buckets array<long>"))
+    sketch = cut(slim.mapInArrow(_sketcher(n), "doc_id long, f1 long, f2 long, n_shingles long, sig binary"))
     named = sketch.filter("doc_id is not null and f1 is not null")
-    nodes = cut(named.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("buckets").alias("buckets"), F.first("n_shingles").alias("n")))
-
-    # A row for each tree, then only prefixes that two nodes share.
-    rows = nodes.select("rep", F.posexplode("buckets").alias("tree", "bucket"))
-    shared = rows.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
-    order = F.concat(F.expr(f"substring(sig, tree * {4 * HASHES // TREES} + 1)"), F.expr(f"substring(sig, 1, tree * {4 * HASHES // TREES})"))
-    forest = rows.join(shared, "bucket").join(nodes.select("rep", "sig"), "rep").select("bucket", order.alias("in_order"), "rep", "sig")
-    candidates = forest.repartitionByRange("bucket", "in_order").sortWithinPartitions("bucket", "in_order", "rep").select("bucket", "rep", "sig").mapInArrow(_neighbours(agree), "a long, b long")
-    regions = components(candidates).select(F.col("node").alias("rep"), F.col("component").alias("region"))
+    nodes = cut(named.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n")))
+    regions = components(candidates(nodes, percent)).select(F.col("node").alias("rep"), F.col("component").alias("region"))
 
     # Confirmation on whole sets, made anew from the texts of one row of each node.
     sized = cut(regions.join(nodes.select("rep", "n", "sig"), "rep"))
@@ -278,7 +333,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     else:
         found = components(links.unionByName(_confirm_large(large, slim, n, percent)))
     of_set = nodes.join(found, F.col("rep") == F.col("node"), "left").select("f1", "f2", F.coalesce("component", "rep").alias("of"))
-    out = sketch.drop("sig", "buckets").join(of_set, ["f1", "f2"], "left")
+    out = sketch.drop("sig").join(of_set, ["f1", "f2"], "left")
     component = F.when(F.col("n_shingles") > 0, F.col("of")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 

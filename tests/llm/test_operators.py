@@ -489,6 +489,43 @@ def test_star_and_split_regions(spark, monkeypatch, rows):
     assert len(set(expected.values())) == 1
 
 
+def family(rng, m, planted):
+    """Texts on a common page, at about 0.43 of each other, and pairs among them near 0.88."""
+    page = [f"p{i}" for i in range(240)]
+    texts = [page + [str(rng.randrange(10**9)) for _ in range(160)] for _ in range(m)]
+    for i in range(planted):
+        copy = list(texts[i])
+        for at in rng.sample(range(240, 400), 8):
+            copy[at] = str(rng.randrange(10**9))
+        texts.append(copy)
+    order = rng.sample(range(len(texts)), len(texts))
+    return [(k, " ".join(texts[i])) for k, i in enumerate(order)], {i: k for k, i in enumerate(order)}
+
+
+def test_pairs_in_a_crowded_family(spark):
+    """Every planted pair is found where all texts share a page, and nothing else is linked."""
+    rows, place = family(random.Random(4), 1500, 120)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = by_id(neardup.near_dup_groups(docs))
+    pairs = {frozenset((place[i], place[1500 + i])) for i in range(120)}
+    linked = collections.defaultdict(set)
+    for k, r in found.items():
+        linked[r.component_id].add(k)
+    assert {frozenset(v) for v in linked.values() if len(v) > 1} == pairs
+    # The family is crowded at the first level: its rows were decided deeper.
+    nodes = spark.createDataFrame([(k, neardup.signature(np.unique(textops.shingle_hashes(textops.words(pa.array([t])).hash, 3))).tobytes()) for k, t in rows], "rep long, sig binary")
+    met = {frozenset((r.a, r.b)) for r in neardup.candidates(nodes, 85).collect()}
+    assert pairs <= met and len(met) < 20 * len(rows)
+
+
+def test_orders_miss_no_pair_at_the_threshold():
+    for percent in (80, 85):
+        for level in range(neardup.LEVELS):
+            o = neardup.orders(percent, level)
+            assert (1 - (percent / 100) ** o.shape[1]) ** len(o) <= neardup.MISS * 1.001
+            assert all(len(set(row)) == o.shape[1] for row in o.tolist())
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 99), (101, 99), (7, 7)]
     found = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
