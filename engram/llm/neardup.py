@@ -9,8 +9,8 @@
    bucket in some tree but for a chance of ``MISS``.  In a bucket of up to ``CROWD``
    rows all that agree well enough to be a link are candidates.  A crowded bucket
    whose rows agree with its hub, but for ``CROWD`` of them, is taken whole.  The
-   rows of all other crowded buckets go on to the next level, twice and then three
-   times as deep, with as many trees as keep the chance at ``MISS``.  So the depth
+   rows of all other crowded buckets go on to the next level, two and a half times
+   as deep, with as many trees as keep the chance at ``MISS``.  So the depth
    adapts to each region, and a pair at the threshold is missed with a chance of
    at most ``MISS`` a level.  Buckets still crowded at the last level are taken
    whole: their rows are confirmed on full sets, exactly.
@@ -49,11 +49,11 @@ TREES, HASHES = 16, 64
 CROWD = 16
 #: Chance that a pair at the threshold shares no bucket of a level.
 MISS = 2e-5
-LEVELS = 3
+LEVELS = 2
 #: Parts that a crowded bucket is dealt into.
 SALTS = 16
 #: Shingles and rows of a region that one task confirms.
-REGION_SHINGLES, REGION_ROWS = 4_000_000, 500
+REGION_SHINGLES, REGION_ROWS = 4_000_000, 4_000
 _A = mix(np.arange(1, HASHES + 1, dtype=np.uint64)) | np.uint64(1)
 _B = mix(np.arange(1001, 1001 + HASHES, dtype=np.uint64))
 
@@ -66,7 +66,7 @@ def least_depth(percent: int, trees: int = TREES, miss: float = MISS) -> int:
 
 def orders(percent: int, level: int) -> np.ndarray:
     """The hash functions (trees x depth) that the orders of a level begin with."""
-    depth = least_depth(percent) * (level + 1)
+    depth = int(least_depth(percent) * (1 + 1.5 * level))
     if level == 0:  # no function in two trees
         return (np.arange(TREES)[:, None] * (HASHES // TREES) + np.arange(depth)) % HASHES
     trees = int(np.ceil(np.log(MISS) / np.log1p(-((percent / 100) ** depth))))
@@ -115,6 +115,23 @@ def _signatures(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=">u4").astype(np.uint32).reshape(-1, HASHES)
 
 
+def _shorts(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(-1, HASHES)
+
+
+def with_short(nodes: DataFrame) -> DataFrame:
+    """``nodes`` plus ``short``: a byte of each value of the signature, enough to tell whether two agree."""
+    last = [F.substring("sig", 4 * i + 4, 1) for i in range(HASHES)]
+    return nodes.withColumn("short", F.concat(*last))
+
+
+def salted(rows: DataFrame, few: DataFrame, key: str) -> DataFrame:
+    """``rows`` (rep, key) joined with ``few``, which has one row for each key; a key
+    may hold a third of all rows, so it is dealt into parts and ``few`` goes to each."""
+    parts = few.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(SALTS)).cast("int")).join(parts, [key, "salt"]).drop("salt")
+
+
 def prefix_keys(sigs: np.ndarray, order: np.ndarray) -> np.ndarray:
     """For each signature and tree (rows x trees) a hash of the first values of the tree's order."""
     key = np.broadcast_to(mix(np.arange(1, len(order) + 1, dtype=np.uint64) * np.uint64(1 + order.shape[1])), (len(sigs), len(order))).copy()
@@ -136,17 +153,17 @@ def _prefixes(order: np.ndarray):
 
 
 def _neighbours(agree: int):
-    """Candidate pairs of rows (bucket, rep, sig) in sorted order, all rows of a bucket against each other."""
+    """Candidate pairs of rows (bucket, rep, short) in sorted order, all rows of a bucket against each other."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, reps, sigs = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, HASHES), np.uint32)
+        keys, reps, sigs = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, HASHES), np.uint8)
         for batch in batches:
             if not batch.num_rows:
                 continue
             new = len(keys)
             keys = np.concatenate([keys, batch.column("bucket").to_numpy()])
             reps = np.concatenate([reps, batch.column("rep").to_numpy()])
-            sigs = np.concatenate([sigs, _signatures(batch.column("sig"))])
+            sigs = np.concatenate([sigs, _shorts(batch.column("short"))])
             a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for off in range(1, min(CROWD, len(keys))):
                 near = np.flatnonzero(keys[off:] == keys[:-off])
@@ -166,12 +183,12 @@ def _neighbours(agree: int):
 
 
 def _agreement(agree: int):
-    """Whether each row (rep, bucket, hub, sig, hub_sig) agrees with the hub of its bucket."""
+    """Whether each row (rep, bucket, hub, short, hub_short) agrees with the hub of its bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                same = (_signatures(batch.column("sig")) == _signatures(batch.column("hub_sig"))).sum(axis=1) >= agree
+                same = (_shorts(batch.column("short")) == _shorts(batch.column("hub_short"))).sum(axis=1) >= agree
                 yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("rep", "bucket", "hub")], pa.array(same)], names=["rep", "bucket", "hub", "agrees"])
 
     return run
@@ -180,20 +197,18 @@ def _agreement(agree: int):
 def candidates(nodes: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of ``nodes`` (rep, sig) that may be links, from the levels of the forest."""
     agree = int(HASHES * (percent / 100 - 0.3))
-    rows, found = nodes.select("rep", "sig"), []
+    rows, short, found = nodes.select("rep", "sig"), with_short(nodes).select("rep", "short"), []
     for level in range(LEVELS):
         keyed = rows.mapInArrow(_prefixes(orders(percent, level)), "rep long, bucket long")
         buckets = keyed.groupBy("bucket").agg(F.count("*").alias("n"), F.min("rep").alias("hub")).filter("n > 1")
         shared = cut(keyed.join(buckets, "bucket"))
-        small = shared.filter(F.col("n") <= CROWD).select("rep", "bucket").join(rows, "rep")
-        found.append(small.repartition("bucket").sortWithinPartitions("bucket", "sig", "rep").select("bucket", "rep", "sig").mapInArrow(_neighbours(agree), "a long, b long"))
+        small = shared.filter(F.col("n") <= CROWD).select("rep", "bucket").join(short, "rep")
+        found.append(small.repartition("bucket").sortWithinPartitions("bucket", "short", "rep").select("bucket", "rep", "short").mapInArrow(_neighbours(agree), "a long, b long"))
         crowded = shared.filter(F.col("n") > CROWD)
         if crowded.isEmpty():
             break
-        # A bucket may hold a third of all rows: it is dealt into parts, and its hub goes to each of them.
-        hubs = crowded.select("bucket", F.col("hub").alias("rep")).distinct().join(rows, "rep").select("bucket", F.col("sig").alias("hub_sig"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-        salted = crowded.join(rows, "rep").withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(SALTS)).cast("int"))
-        judged = cut(salted.join(hubs, ["bucket", "salt"]).select("rep", "bucket", "hub", "sig", "hub_sig").mapInArrow(_agreement(agree), "rep long, bucket long, hub long, agrees boolean"))
+        hubs = crowded.select("bucket", F.col("hub").alias("rep")).distinct().join(short, "rep").select("bucket", F.col("short").alias("hub_short"))
+        judged = cut(salted(crowded.join(short, "rep"), hubs, "bucket").select("rep", "bucket", "hub", "short", "hub_short").mapInArrow(_agreement(agree), "rep long, bucket long, hub long, agrees boolean"))
         last = level == LEVELS - 1
         closed = judged.groupBy("bucket").agg(F.count(F.when(~F.col("agrees"), 1)).alias("left")).filter(F.lit(last) | (F.col("left") <= CROWD)).select("bucket")
         found.append(judged.join(closed, "bucket", "left_semi").select(F.col("rep").alias("a"), F.col("hub").alias("b")))
@@ -290,7 +305,7 @@ def _confirm_large(large: DataFrame, slim: DataFrame, n: int, percent: int) -> D
     plan = weight.groupBy("region").agg(F.max_by("rep", F.struct("w", -F.col("rep"))).alias("hub"))
     blocks = lambda rows, shingles: F.ceil(F.greatest(2 * rows / REGION_ROWS, 2 * shingles / REGION_SHINGLES)).cast("int")
     plan = cut(plan.join(large.groupBy("region").agg(blocks(F.count("*"), F.sum("n")).alias("nb")), "region"))
-    named = large.join(plan, "region").select("region", "rep", "n", "hub", "nb")
+    named = salted(large, plan, "region").select("region", "rep", "n", "hub", "nb")
     rows = cut(slim.join(named, slim["doc_id"] == named["rep"]).select("region", "rep", "n", "hub", "nb", "text").dropDuplicates(["region", "rep"]))
     block = F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int")
 
@@ -300,7 +315,7 @@ def _confirm_large(large: DataFrame, slim: DataFrame, n: int, percent: int) -> D
 
     rows = rows.join(near, "rep")
     left = rows.filter("not linked").groupBy("region").agg(blocks(F.count("*"), F.sum("n")).alias("nr"))
-    rows = rows.join(left, "region")  # regions that the hub links whole are done
+    rows = salted(rows, left, "region")  # regions that the hub links whole are done
     ask = F.pmod(F.xxhash64(F.lit(1), "rep"), F.col("nr")).cast("int")
     asking = rows.filter("not linked").select("region", "rep", "text", "linked", ask.alias("ask"), F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("block"), F.lit(True).alias("asks"), block.alias("own"))
     all_rows = rows.select("region", "rep", "text", "linked", F.explode(F.sequence(F.lit(0), F.col("nr") - 1)).alias("ask"), block.alias("block"), F.lit(False).alias("asks"), ask.alias("own"))
@@ -320,13 +335,13 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     regions = components(candidates(nodes, percent)).select(F.col("node").alias("rep"), F.col("component").alias("region"))
 
     # Confirmation on whole sets, made anew from the texts of one row of each node.
-    sized = cut(regions.join(nodes.select("rep", "n", "sig"), "rep"))
+    sized = cut(regions.join(nodes.select("rep", "n"), "rep"))
     size = sized.groupBy("region").agg(((F.sum("n") <= REGION_SHINGLES) & (F.count("*") <= REGION_ROWS)).alias("fits"))
-    parted = sized.join(size, "region")
-    whole = parted.filter("fits").select("region", "rep")
+    parted = salted(sized, size.filter("not fits"), "region")
+    large = parted.join(nodes.select("rep", "sig"), "rep").select("region", "rep", "n", "sig")
+    whole = sized.join(parted.select("rep"), "rep", "left_anti").select("region", "rep")
     texts = slim.join(whole, slim["doc_id"] == whole["rep"]).select("region", "rep", "text").dropDuplicates(["region", "rep"])
     links = texts.groupBy("region").applyInArrow(_confirmer(n, percent), "a long, b long")
-    large = parted.filter("not fits").drop("fits")
     if large.isEmpty():
         links = cut(links)
         found = links.select(F.col("a").alias("node"), F.col("b").alias("root")).join(links.groupBy(F.col("b").alias("root")).agg(F.min("a").alias("component")), "root").select("node", "component")
