@@ -8,13 +8,15 @@ and format, and put back into the text:
   country code and a card's first digit stay, and a card number that passes the
   Luhn check still passes it;
 * IP address: octets change, private ranges stay private;
-* names after a title or with a known given name: a given name of the same
-  gender and script, a made-up family name of the same script.
+* names after a title, with a known given name, or of two parts after a cue such as
+  "my name is": a given name of the same gender and script, a made-up family name
+  of the same script.
 
 Equal entities (compared without format: digits only, lower case) get equal
 surrogates everywhere, so coreference survives.  Distinct entities get distinct
-surrogates, and none that is itself an entity of the corpus: the table of
-entities is checked after each draw, and losers draw again until there are none.
+surrogates, and none that is itself an entity of the corpus (a given name may become
+another one that occurs, never itself): the table of entities is checked after each
+draw, and losers draw again until there are none.
 Each draw gives family names one syllable more, every third one given name more;
 after ``DRAWS`` draws, numbers get one more digit and addresses one more letter
 a draw, and private ranges that are full go on in the next larger range.
@@ -38,11 +40,21 @@ DRAWS, LIMIT = 8, 48
 TITLES = {"Mr": "m", "Mrs": "f", "Ms": "f", "Miss": "f", "Herr": "m", "Frau": "f", "Monsieur": "m", "Madame": "f", "Mme": "f", "Señor": "m", "Señora": "f", "Sr": "m", "Sra": "f", "Господин": "m", "Госпожа": "f"}
 #: Given names by script and gender.
 GIVEN = {
-    ("latin", "m"): "James John Robert Michael William David Thomas Daniel Peter Paul Hans Klaus Stefan Jürgen Pierre Jean Michel Luc Carlos José Juan Miguel Luis Pedro".split(),
-    ("latin", "f"): "Mary Anna Elizabeth Susan Sarah Karen Linda Emma Julia Laura Petra Ursula Heike Sabine Marie Claire Sophie Camille María Carmen Ana Lucía Elena Isabel".split(),
-    ("cyrillic", "m"): "Иван Пётр Алексей Сергей Дмитрий Николай Андрей Михаил".split(),
-    ("cyrillic", "f"): "Анна Мария Елена Ольга Наталья Ирина Татьяна Светлана".split(),
+    ("latin", "m"): (
+        "James John Robert Michael William David Thomas Daniel Peter Paul Hans Klaus Stefan Jürgen Pierre Jean Michel Luc Carlos José Juan Miguel Luis Pedro"
+        " Noah Liam Oliver Henry Lucas Benjamin Matthew Andrew Joseph Charles Christopher Anthony Steven Kevin Brian George Edward Ronald Timothy Jason Jeffrey Ryan Jacob Nicholas Jonathan Stephen"
+        " Alexander Markus Wolfgang Florian Tobias Matthias Sebastian François Philippe Antoine Julien Nicolas Thierry Diego Javier Antonio Manuel Fernando Pablo Sergio Rafael"
+    ).split(),
+    ("latin", "f"): (
+        "Mary Anna Elizabeth Susan Sarah Karen Linda Emma Julia Laura Petra Ursula Heike Sabine Marie Claire Sophie Camille María Carmen Ana Lucía Elena Isabel"
+        " Olivia Sophia Isabella Charlotte Amelia Emily Jessica Jennifer Patricia Barbara Margaret Lisa Nancy Betty Sandra Ashley Kimberly Donna Michelle Amanda Melissa Deborah Stephanie Rebecca Rachel"
+        " Katharina Monika Birgit Stefanie Anja Nathalie Isabelle Hélène Chloé Manon Élodie Sofía Marta Paula Cristina Beatriz Teresa"
+    ).split(),
+    ("cyrillic", "m"): "Иван Пётр Алексей Сергей Дмитрий Николай Андрей Михаил Александр Владимир Павел Виктор".split(),
+    ("cyrillic", "f"): "Анна Мария Елена Ольга Наталья Ирина Татьяна Светлана Екатерина Юлия Людмила Галина".split(),
 }
+#: Words before a name of two parts that need not be in any list.
+CUES = ["name is ", "Name: ", "Dear ", "Signed, ", "signed by ", "Contact: ", "Patient: ", "Customer: ", "heiße ", "Sehr geehrte ", "Nom : ", "appelle ", "llamo ", "Nombre: ", "зовут ", "Имя: "]
 #: Syllables that family names are made of, by script.
 SYLLABLES = {
     "latin": "ba be bo da de do ka ke ko la le lo ma me mo ra".split(),
@@ -59,13 +71,15 @@ PATTERNS = {
 }
 _NAMES = "|".join(n for names in GIVEN.values() for n in names)
 _TITLE = "|".join(TITLES)
-PATTERNS["name"] = f"(?<![\\p{{L}}])(?:(?:{_TITLE})\\.? \\p{{Lu}}\\p{{Ll}}{{1,30}}(?: \\p{{Lu}}\\p{{Ll}}{{1,30}})?|(?:{_NAMES}) \\p{{Lu}}\\p{{Ll}}{{1,30}})(?![\\p{{L}}])"
+_PART = "\\p{Lu}\\p{Ll}{1,30}"
+_CUED = f"(?<=(?:{'|'.join(CUES)})){_PART} {_PART}(?![\\p{{L}}])"
+PATTERNS["name"] = f"(?<![\\p{{L}}])(?:(?:{_TITLE})\\.? {_PART}(?: {_PART})?|(?:{_NAMES}) {_PART})(?![\\p{{L}}])"
 #: A look at the next characters, before a pattern is tried at all.
 _CAPITALS = "".join(sorted({n[0] for n in [*TITLES, *_NAMES.split("|")]}))
 AHEAD = {"email": "", "iban": "(?=[A-Z]{2}\\d)", "name": f"(?=[{_CAPITALS}])"}
-PATTERN = "|".join(f"{AHEAD.get(k, '(?=[0-9(+])')}(?:{p})" for k, p in PATTERNS.items())
+PATTERN = "|".join([*(f"{AHEAD.get(k, '(?=[0-9(+])')}(?:{p})" for k, p in PATTERNS.items()), f"(?=\\p{{Lu}})(?:{_CUED})"])
 #: A text without any of these holds no entity.
-GATE = f"[@0-9]|(?=[{_CAPITALS}])(?:(?:{_TITLE})\\.? |(?:{_NAMES}) )"
+GATE = f"[@0-9]|(?=[{_CAPITALS}])(?:(?:{_TITLE})\\.? |(?:{_NAMES}) )|(?=[{''.join(sorted({c[0] for c in CUES}))}])(?:{'|'.join(CUES)})\\p{{Lu}}"
 NUMBERS = ("phone", "ssn", "card", "iban")
 
 
@@ -192,8 +206,8 @@ def surrogates(entities: DataFrame, key: str = KEY, draws: int = DRAWS) -> DataF
         drawn = table.withColumn("kind", kind).withColumn("surrogate", draw(F.col("entity"), F.col("attempt"), key, draws)).withColumn("same", F.lower("surrogate"))
         real = taken.select("kind", F.lower("surrogate").alias("same"), "real").distinct()
         ranked = drawn.join(real, ["kind", "same"], "left").withColumn("rank", F.row_number().over(rank))
-        # A known given name may stand for another person of that name: only equal draws collide there.
-        lost = (F.col("rank") > 1) | (F.coalesce("real", F.lit(False)) & (F.col("kind") != "given"))
+        # A known given name may stand for another person of that name: only equal draws, and the name itself, collide there.
+        lost = (F.col("rank") > 1) | (F.coalesce("real", F.lit(False)) & ((F.col("kind") != "given") | (F.col("same") == F.lower(own))))
         now = cut(ranked.select("entity", "attempt", "surrogate", lost.alias("lost")))
         if now.filter("lost").isEmpty():
             return now.select("entity", "surrogate")
@@ -218,8 +232,11 @@ def _rendered(mention: Column, table: Column) -> Column:
 
 
 def anonymise(docs: DataFrame, text: str = "text", key: str = KEY) -> DataFrame:
-    """``docs`` with every entity of ``text`` replaced, plus ``n_entities`` (in place of a column of that name)."""
-    docs = docs.drop("n_entities")
+    """``docs`` with every entity of ``text`` replaced, plus the number of entities as
+    ``n_entities`` (with underscores more where ``docs`` has a column of that name)."""
+    count = "n_entities"
+    while count in docs.columns:
+        count += "_"
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text}`").alias("body"))
     has_some = F.coalesce(F.col("body").rlike(GATE) & F.col("body").rlike(PATTERN), F.lit(False))
     plain = rows.filter(~has_some)
@@ -233,8 +250,8 @@ def anonymise(docs: DataFrame, text: str = "text", key: str = KEY) -> DataFrame:
     keyed = hit.join(tables, "list")
     pieces = F.split("body", PATTERN, -1)
     new = F.concat(F.array_join(F.transform("found", lambda m, i: F.concat(F.get(pieces, i), _rendered(m, F.col("table")))), ""), F.get(pieces, F.size("found")))
-    done = keyed.select("row", new.alias("body"), F.size("found").cast("long").alias("n_entities")).unionByName(plain.select("row", "body", F.lit(0).cast("long").alias("n_entities")))
-    return done.select(*[F.col("body").alias(c) if c == text else F.col(f"row.`{c}`").alias(c) for c in docs.columns], "n_entities")
+    done = keyed.select("row", new.alias("body"), F.size("found").cast("long").alias("n")).unionByName(plain.select("row", "body", F.lit(0).cast("long").alias("n")))
+    return done.select(*[F.col("body").alias(c) if c == text else F.col(f"row.`{c}`").alias(c) for c in docs.columns], F.col("n").alias(count))
 
 
 def private_texts(docs: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import ipaddress
 import math
 import random
 import time
@@ -238,7 +239,7 @@ def test_surrogates_of_the_table(spark):
 
 def test_surrogates_outgrow_a_full_space(spark):
     """More family names than three syllables spell, all numbers of a small format, an address without letters."""
-    family = [f"family||Name{i}" for i in range(6000)]
+    family = [f"family||Name{i}" for i in range(10_000)]
     phones = [f"phone|+1{i:04d}" for i in range(0, 10_000, 2)] + [f"phone|+7{i:04d}" for i in range(10_000)]
     rows = pii.surrogates(spark.createDataFrame([(e,) for e in [*family, *phones, "email|_@-.com"]], "entity string")).collect()
     made = {r.entity: r.surrogate for r in rows}
@@ -250,6 +251,32 @@ def test_surrogates_outgrow_a_full_space(spark):
     assert [r.x.replace(" ", "") for r in shown] == [made["phone|+71234"], made["phone|+71235"]]
 
 
+def test_addresses_of_a_full_private_range(spark):
+    """60,000 of the 65,536 addresses of a private range: all stay private, valid, distinct and of no other machine."""
+    own = [f"192.168.{i // 250}.{i % 250}" for i in range(60_000)]
+    rows = pii.surrogates(spark.createDataFrame([(f"ip|{a}",) for a in own], "entity string")).collect()
+    made = [r.surrogate for r in rows]
+    assert len(set(made)) == 60_000 and not set(made) & set(own)
+    assert all(ipaddress.ip_address(a).is_private for a in made)
+
+
+def test_no_name_stands_for_itself(spark):
+    entities = [f"given|{g}|{w}" for (_, g), names in pii.GIVEN.items() for w in names]
+    made = {r.entity: r.surrogate for r in pii.surrogates(spark.createDataFrame([(e,) for e in entities], "entity string")).collect()}
+    assert len(made) == len(set(entities)) == len({x.lower() for x in made.values()})
+    assert not [e for e, x in made.items() if e.split("|")[2].lower() == x.lower()]
+
+
+def test_names_after_cues(spark):
+    rows = [(1, "Hello, my name is Quentin Zaworski and I live here.", "n"), (2, "Customer: Quentin Zaworski", "n"), (3, "The Grand Canyon and New York, Old Bridge", "n"), (4, "Olivia Brown lives here", "n"), (5, "Меня зовут Глеб Ветров.", "n")]
+    found = by_id(pii.anonymise(spark.createDataFrame(rows, "doc_id long, text string, n_entities string")))
+    assert found[1].asDict()["n_entities_"] == 1 and found[1].n_entities == "n"
+    given, family = found[2].text.split()[1:]
+    assert f"my name is {given} {family} and" in found[1].text and "Quentin" not in found[1].text + found[2].text
+    assert found[3].text == rows[2][1] and "Olivia" not in found[4].text and "Brown" not in found[4].text
+    assert "Глеб" not in found[5].text and all("а" <= c.lower() <= "я" for c in found[5].text.split()[2])
+
+
 # 5 Language
 
 
