@@ -3,19 +3,23 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 TOKEN = "([\\p{L}\\p{N}]+)"
-#: Letters with diacritics that the index folds.
-FOLD_FROM, FOLD_TO = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"
+#: Latin letters with diacritics and the letters that they are folded to, by their Unicode decompositions.
+_FOLDS = {c: d[0] for c in map(chr, [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]) if c == c.lower() and len(d := unicodedata.normalize("NFD", c)) > 1 and d[0].isascii()}
+FOLD_FROM, FOLD_TO = "".join(_FOLDS), "".join(_FOLDS.values())
+#: Marks that stand after their letter in decomposed text.
+MARKS = "[\\x{0300}-\\x{036F}]"
 
 
 def tokens(text: Column, fold: bool = False) -> Column:
-    """Lower-case runs of letters and digits; ``fold`` drops Latin diacritics."""
+    """Lower-case runs of letters and digits; ``fold`` drops diacritics of Latin letters, composed or not."""
     low = F.lower(F.coalesce(text, F.lit("")))
-    return F.regexp_extract_all(F.translate(low, FOLD_FROM, FOLD_TO) if fold else low, F.lit(TOKEN), F.lit(1))
+    return F.regexp_extract_all(F.regexp_replace(F.translate(low, FOLD_FROM, FOLD_TO), MARKS, "") if fold else low, F.lit(TOKEN), F.lit(1))
 
 
 def clean_query(query: Column) -> Column:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,31 +59,72 @@ def normalised(ranked: DataFrame) -> DataFrame:
     return ranked.withColumn("text_score", F.when(high == low, F.lit(1.0)).otherwise((high - F.col("rank")) / (high - low)))
 
 
-def match(index: DataFrame, query: str) -> DataFrame:
-    """(hash, seq, dl, term, tf, matched) for a query with phrases and AND, OR, NOT: a row for each
-    phrase of the query in each text; ``matched`` says whether the text satisfies the query."""
-    branches = query_terms(query)
-    phrases = sorted({" ".join(p) for b in branches for p in [*b["need"], *[q for group in b["without"] for q in group]]})
-    if not phrases:
-        return index.select("hash", "seq", "dl", F.lit("").alias("term"), F.lit(0).cast("long").alias("tf"), F.lit(False).alias("matched")).limit(0)
-    joined = F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" "))
-    counts = {p: F.regexp_count(joined, F.lit(f"(?= {p} )")).cast("long") for p in phrases}
-    rows = index.select("hash", "seq", "dl", F.map_from_arrays(F.array(*[F.lit(p) for p in phrases]), F.array(*counts.values())).alias("counts"))
-    has = lambda p: F.element_at("counts", F.lit(" ".join(p))) > 0
-    every = lambda conditions: reduce(lambda a, b: a & b, conditions, F.lit(True))
-    some = reduce(lambda a, b: a | b, [every([has(p) for p in b["need"]]) & every([~every([has(p) for p in group]) for group in b["without"]]) for b in branches], F.lit(False))
-    return rows.withColumn("matched", some).select("hash", "seq", "dl", F.explode("counts").alias("term", "tf"), "matched")
-
-
-def bm25_match(index: DataFrame, query: str, k: int, allowed: DataFrame | None = None) -> DataFrame:
-    """(hash, seq, rank) of the best ``k`` texts that satisfy a query; excluded
-    phrases don't score.  ``allowed`` (hash) restricts the texts, not the statistics."""
-    scoring = sorted({" ".join(p) for b in query_terms(query) for p in b["need"]})
-    found = match(index, query).filter("tf > 0")
-    df = found.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.greatest(F.log((F.col("n_texts") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(LEAST_IDF))
-    part = -idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("mean_dl")))
-    rows = found.filter("matched").filter(F.col("term").isin(scoring)).join(df, "term").crossJoin(F.broadcast(corpus_statistics(index)))
+def well_formed(query: str) -> bool:
+    """Whether every operator of a query has its sides."""
+    try:
+        query_terms(query)
+    except ValueError:
+        return False
+    return True
+
+
+def _parsed(index: DataFrame, queries: list[str]) -> tuple[list[list[str]], DataFrame]:
+    """The distinct phrases of ``queries``, and a row (query_id, branches, scoring) for each
+    query: its alternatives and the phrases that score, by number."""
+    branches = [query_terms(q) for q in queries]
+    numbers: dict[tuple[str, ...], int] = {}
+    number = lambda phrase: numbers.setdefault(tuple(phrase), len(numbers))
+    rows = []
+    for i, alternatives in enumerate(branches):
+        told = [{"need": [number(p) for p in b["need"]], "without": [[number(p) for p in group] for group in b["without"]]} for b in alternatives]
+        rows.append((i, told, sorted({p for b in told for p in b["need"]})))
+    schema = "query_id long, branches array<struct<need:array<int>,without:array<array<int>>>>, scoring array<int>"
+    return [list(p) for p in numbers], index.sparkSession.createDataFrame(rows, schema)
+
+
+def occurrences(index: DataFrame, phrases: list[list[str]]) -> DataFrame:
+    """(hash, seq, dl, phrase, tf): how often each of ``phrases`` stands in each text, for all
+    phrases in one pass.  Tokens meet the phrases' words before anything is shuffled."""
+    rows = [(k, i, word, len(words)) for k, words in enumerate(phrases) for i, word in enumerate(words)]
+    wanted = index.sparkSession.createDataFrame(rows, "phrase int, at int, term string, size int")
+    placed = index.select("hash", "seq", "dl", F.posexplode("words").alias("pos", "term")).join(F.broadcast(wanted), "term")  # the words of the queries at hand
+    single = placed.filter("size = 1").select("hash", "seq", "dl", "phrase")
+    longer = placed.filter("size > 1").groupBy("hash", "seq", "dl", "phrase", "size", (F.col("pos") - F.col("at")).alias("begin")).agg(F.count("*").alias("n")).filter("n = size")
+    return single.unionByName(longer.select("hash", "seq", "dl", "phrase")).groupBy("hash", "seq", "dl", "phrase").agg(F.count("*").alias("tf"))
+
+
+def matching(index: DataFrame, queries: list[str]) -> DataFrame:
+    """(query_id, hash, seq, dl, hits) of the texts that satisfy each query with phrases and
+    AND, OR, NOT; ``hits``: the scoring phrases of the query that the text holds, with their
+    frequency in the text and the texts that hold them."""
+    phrases, parsed = _parsed(index, queries)
+    found = occurrences(index, phrases)
+    df = found.groupBy("phrase").agg(F.count("*").alias("df"))
+    asked = parsed.select("query_id", F.explode(F.array_distinct(F.flatten(F.transform("branches", lambda b: F.concat(b["need"], F.flatten(b["without"])))))).alias("phrase"))
+    held = found.join(F.broadcast(df), "phrase").join(F.broadcast(asked), "phrase")  # a row for each phrase of the queries at hand
+    texts = held.groupBy("query_id", "hash", "seq", "dl").agg(F.collect_list(F.struct("phrase", "tf", "df")).alias("hits"))  # as many as a query has phrases
+    present = F.transform("hits", lambda h: h["phrase"])
+    holds = lambda p: F.array_contains(present, p)
+    satisfied = F.exists("branches", lambda b: F.forall(b["need"], holds) & ~F.exists(b["without"], lambda group: F.forall(group, holds)))
+    judged = texts.join(F.broadcast(parsed), "query_id").filter(satisfied)
+    return judged.select("query_id", "hash", "seq", "dl", F.filter("hits", lambda h: F.array_contains(F.col("scoring"), h["phrase"])).alias("hits"))
+
+
+def bm25_search(index: DataFrame, queries: list[str], k: int, allowed: DataFrame | None = None) -> DataFrame:
+    """(query_id, hash, seq, rank) of the best ``k`` texts that satisfy each of ``queries``, as
+    one plan over the index; excluded phrases don't score.  ``allowed`` (hash) restricts the
+    texts, not the statistics."""
+    n, mean = F.col("n_texts"), F.col("mean_dl")
+
+    def part(h):
+        idf = F.greatest(F.log((n - h["df"] + 0.5) / (h["df"] + 0.5)), F.lit(LEAST_IDF))
+        return -idf * h["tf"] * (K1 + 1) / (h["tf"] + K1 * (1 - B + B * F.col("dl") / mean))
+
+    rows = matching(index, queries).filter(F.size("hits") > 0)
     if allowed is not None:
         rows = rows.join(allowed.select("hash").distinct(), "hash", "left_semi")
-    return rows.groupBy("hash", "seq").agg(F.round(F.sum(part), 9).alias("rank")).orderBy("rank", "hash", "seq").limit(k)
+    rows = rows.crossJoin(F.broadcast(corpus_statistics(index)))  # one row of statistics
+    rank = F.round(F.aggregate(F.transform("hits", part), F.lit(0.0), lambda a, x: a + x), 9)
+    order = Window.partitionBy("query_id").orderBy("rank", "hash", "seq")
+    ranked = rows.select("query_id", "hash", "seq", rank.alias("rank"))
+    return ranked.withColumn("position", F.row_number().over(order)).filter(F.col("position") <= k).drop("position")

@@ -127,14 +127,14 @@ def cosine_of_neighbours(spark: SparkSession, sf: str) -> DataFrame:
 # Text
 
 _WORDS = "(select doc_id as hash, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') as words from documents)"
-_TERMS = "(select d.doc_id as query_id, unnest(list_distinct(regexp_extract_all(lower(d.text), '[\\p{L}\\p{N}]+')[1:3])) as term from documents d join embeddings e on e.vec_id = d.doc_id where d.doc_id % 50 = 0)"
+_TERMS = "(select d.doc_id as query_id, unnest(list_distinct(regexp_extract_all(lower(d.text), '[\\p{L}\\p{N}]+')[1:8])) as term from documents d where d.doc_id % 50 = 0)"
 
 
 def text_queries(spark: SparkSession, sf: str) -> DataFrame:
-    """The first three words of the documents that are vector queries too."""
+    """A query for each document whose id is divisible by 50: its first eight words,
+    as many as a question has (the definition of these queries)."""
     docs = table(spark, sf, "documents").filter("doc_id % 50 = 0")
-    docs = docs.join(vector_queries(spark, sf), docs["doc_id"] == F.col("query_id"), "left_semi")
-    return docs.select(F.col("doc_id").alias("query_id"), F.explode(F.array_distinct(F.slice(tokens(F.col("text")), 1, 3))).alias("term"))
+    return docs.select(F.col("doc_id").alias("query_id"), F.explode(F.array_distinct(F.slice(tokens(F.col("text")), 1, 8))).alias("term"))
 
 
 def _bm25_sql(require_all: bool, terms: str = _TERMS) -> str:
@@ -189,7 +189,7 @@ def bm25_normalised(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"""select hash from (select hash, ' ' || array_to_string(words, ' ') || ' ' as j from {_WORDS} w) x
   where (contains(j, ' the ') and contains(j, ' and ') and not contains(j, ' was ')) or contains(j, ' of the ')""")
 def boolean_match(spark: SparkSession, sf: str) -> DataFrame:
-    return fulltext.match(fulltext.indexed(fts(spark, sf)), "the and NOT was OR of_the").filter("matched").select("hash").distinct()
+    return fulltext.matching(fulltext.indexed(fts(spark, sf)), ["the and NOT was OR of_the"]).select("hash")
 
 
 @query(f"""with w as {_WORDS}, c as (select hash, len(words) as dl, len(list_filter(words, lambda x: x = 'the')) as a, len(list_filter(words, lambda x: x = 'and')) as b,
@@ -199,7 +199,7 @@ def boolean_match(spark: SparkSession, sf: str) -> DataFrame:
   select hash, 0 as seq, round(sum(-greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * u.tf * 2.2 / (u.tf + 1.2 * (0.25 + 0.75 * dl / mean))), 9) as rank
   from t join df on df.p = t.u.p, stats where matched and u.tf > 0 group by hash order by rank, hash limit {K}""")
 def boolean_ranked(spark: SparkSession, sf: str) -> DataFrame:
-    return fulltext.bm25_match(fulltext.indexed(fts(spark, sf)), "the and NOT was OR of_the", K)
+    return fulltext.bm25_search(fulltext.indexed(fts(spark, sf)), ["the and NOT was OR of_the"], K).select("hash", "seq", "rank")
 
 
 # Hybrid search
