@@ -3,6 +3,8 @@ same in DuckDB SQL where SQL can say it."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,7 +17,9 @@ from engram.functions.vectors import cosine_distance, l2_normalize, norm
 from engram.operators import fulltext, hybrid, maintenance
 from engram.operators.sync import sync_plan as make_sync_plan
 from engram.operators.vector import vector_topk as nearest
+from engram.memory import Memory
 from engram.plans.catalog import CACHE_SQL, CONTENT_SQL, cache, content, fts, table, vault, vector_queries
+from engram.session import shared_folder
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -278,7 +282,7 @@ def sync_plan(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"select path from {CONTENT_SQL} c where hash % 5 = 0")
 def delete_missing(spark: SparkSession, sf: str) -> DataFrame:
     stored = content(spark, sf)
-    return stored.join(stored.filter("hash % 5 <> 0").select("path"), "path", "left_anti").select("path")
+    return make_sync_plan(stored, stored.filter("hash % 5 <> 0").select("path", "hash"), "/").filter("action = 'delete'").select("path")
 
 
 @query("select min(doc_id) as hash, count(*) as copies from documents where text is not null group by text")
@@ -343,6 +347,51 @@ def strip_pages(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "pages").select("page_id", strip_markdown(F.col("html")).alias("stripped"))
 
 
+#: A markdown text for each line and inline rule, made of a document's words, and what is left of it.
+STRIP_RULES = [
+    ("open tag", "x <b\n{a}\n> {b}", "x\n{b}"),
+    ("fence", "~~~~ info\n{a}\n~~~~", "{a}"),
+    ("fenced lines", "```\n# {a}  *{b}*\n``\n````\n{c}", "# {a}  *{b}*\n``\n{c}"),
+    ("blank lines", "{a}\n\n \t\n{b}", "{a}\n\n\n{b}"),
+    ("rules", "{a}\n---\n* * *\n{b}", "{a}\n{b}"),
+    ("table", "|{a}|{b}|\n|:-:|---|\n|{c}|{d}|", "{a}{b}\n{c}{d}"),
+    ("quotes", "  > > {a}\n   {b}", "{a}\n{b}"),
+    ("headings", "## {a} ##\n# C#\n###### {b}  #  ", "{a}\nC\n{b}"),
+    ("lists", "- {a}\n12) {b}\n+\t{c}", "{a}\n{b}\n{c}"),
+    ("tags", "{a}<i class='x'>{b}</i> {c}", "{a}{b} {c}"),
+    ("links", "[{a}](http://u) ![{b}][ref] [{c}] [{d} [x]](y) [open", "{a} {b} {c} {d} [x] [open"),
+    ("code", "`{a} *x*` ``{b} ` {c}`` `open", "{a} *x* {b} ` {c} `open"),
+    ("emphasis", "**{a}** _{b}_ ***{c}*** ****{d}", "{a} {b} {c} ****{d}"),
+    ("strikes and bars", "~~{a}~~ {b}|{c} ~", "{a} {b}{c} ~"),
+    ("line ends", "{a}   \n{b} <x\ny>", "{a}\n{b}"),
+    ("text end", "{a}\n\n \n\n", "{a}"),
+]
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+_RULES_SQL = "values " + ", ".join(f"({_quoted(n)}, {_quoted(left)})" for n, _, left in STRIP_RULES)
+_FILLED = "replace(replace(replace(replace(r.left_over, '{a}', coalesce(w[1], 'none')), '{b}', coalesce(w[2], 'none')), '{c}', coalesce(w[3], 'none')), '{d}', coalesce(w[4], 'none'))"
+
+
+@query(f"select doc_id as hash, r.rule, {_FILLED} as stripped from (select doc_id, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+') as w from documents) d, ({_RULES_SQL}) r(rule, left_over)")
+def strip_rules(spark: SparkSession, sf: str) -> DataFrame:
+    """Every markdown rule on texts made of each document's words."""
+    words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("[A-Za-z]+"), F.lit(0))
+    rows = table(spark, sf, "documents").select(F.col("doc_id").alias("hash"), words.alias("w"))
+
+    def filled(markdown: str):
+        out = F.lit(markdown)
+        for i, name in enumerate("abcd"):
+            out = F.replace(out, F.lit(f"{{{name}}}"), F.coalesce(F.get("w", F.lit(i)), F.lit("none")))
+        return out
+
+    made = rows.select("hash", F.explode(F.array(*[F.struct(F.lit(n).alias("rule"), filled(m).alias("text")) for n, m, _ in STRIP_RULES])).alias("r"))
+    return made.select("hash", "r.rule", strip_markdown(F.col("r.text")).alias("stripped"))
+
+
 def _chunks(spark: SparkSession, sf: str, **settings) -> DataFrame:
     rows = content(spark, sf).select("hash", "value", F.explode(chunks(F.col("value"), **settings)).alias("c"))
     return rows.select("hash", "value", "c.*")
@@ -431,3 +480,23 @@ def ingest_dedup(spark: SparkSession, sf: str) -> DataFrame:
     counted = rows.groupBy("hash").agg(F.count("*").alias("copies"))
     first = maintenance.first_of_each(rows.withColumn("arrival", F.struct("conv_id", "turn")))
     return first.join(counted, "hash").select(F.md5(F.col("text").cast("binary")).alias("text_md5"), "copies")
+
+
+# The memory itself
+
+
+@query("select coalesce(context, '(none)') as context, count(*) as entries, sum(strlen(body))::bigint as bytes, true as indexed, true as again from (select source as context, text || ' number ' || doc_id as body from documents where text is not null) x where context is distinct from 'src3' group by 1")
+def memory_ingest(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document through the memory's API: added, added again without effect, one
+    context deleted; ``indexed`` tells whether chunks, vectors and index rows agree."""
+    docs = table(spark, sf, "documents").select(F.concat("text", F.lit(" number "), F.col("doc_id").cast("string")).alias("text"), F.col("source").alias("context"))
+    memory = Memory(spark, f"{shared_folder(spark).rstrip('/')}/memory-{uuid.uuid4().hex}")
+    memory.set_model("hashing", "16")
+    memory.add_texts(docs)
+    again = memory.add_texts(docs)["added"] == 0
+    memory.delete_context("src3")
+    tables = memory.tables
+    chunks_of = tables["vault"].groupBy("hash").agg(F.count("*").alias("v")).join(tables["fts"].groupBy("hash").agg(F.count("*").alias("t")), "hash", "full_outer")
+    entries = tables["content"].join(chunks_of, "hash", "full_outer")
+    whole = F.coalesce((F.col("v") == F.col("t")) & F.col("length").isNotNull(), F.lit(False))
+    return entries.groupBy(F.coalesce("context", F.lit("(none)")).alias("context")).agg(F.count("*").alias("entries"), F.sum("length").alias("bytes"), F.min(whole).alias("indexed")).withColumn("again", F.lit(again))

@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_folder(spark: SparkSession) -> str:
     """The checkpoint folder of the session.
 
-    A cluster names it in ``spark.checkpoint.dir``.  Only where that setting
-    is absent (tests, a laptop in local mode) a temporary folder is set.
+    A cluster names it in ``spark.checkpoint.dir``; without it a cluster gets an
+    error.  Only in local mode (tests, a laptop) a temporary folder is set.
     """
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
@@ -20,6 +20,8 @@ def shared_folder(spark: SparkSession) -> str:
             context.setCheckpointDir(named)
         return named
     if context.getCheckpointDir() is None:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return context.getCheckpointDir()
 

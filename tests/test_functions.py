@@ -119,5 +119,5 @@ def test_options():
     assert config.with_option("fts_enabled", 0).fts_enabled is False
     assert config.with_option("cache_max_entries", 0).cache_max_entries == 0
     assert config.with_option("unknown", 1) == config
-    assert config.with_option("search_oversample", 4).candidates == 80
+    assert config.with_option("search_oversample", 4).search_oversample == 4
     assert re.match("md", config.extensions)
