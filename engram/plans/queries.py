@@ -167,6 +167,13 @@ def token_df(spark: SparkSession, sf: str) -> DataFrame:
     return words.groupBy("hash", "term").agg(F.count("*").alias("tf")).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total"))
 
 
+@query("select term, count(*) as df, sum(tf)::bigint as total from (select hash, term, count(*) as tf from (select doc_id as hash, unnest(regexp_extract_all(strip_accents(lower(text)), '[\\p{L}\\p{N}]+')) as term from documents) x group by all) y group by term")
+def token_df_folded(spark: SparkSession, sf: str) -> DataFrame:
+    """Frequencies in the index as the memory stores it: without diacritics."""
+    words = fulltext.indexed(fts(spark, sf), fold=True).select("hash", F.explode("words").alias("term"))
+    return words.groupBy("hash", "term").agg(F.count("*").alias("tf")).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total"))
+
+
 @query("select item_id, regexp_replace(text, '[^A-Za-z0-9_ ]', '', 'g') as cleaned from benchmark")
 def query_normalise(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "benchmark").select("item_id", clean_query(F.col("text")).alias("cleaned"))
