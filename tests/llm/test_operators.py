@@ -626,6 +626,56 @@ def test_state_runs_through_windows_and_probabilities_sum_to_one(monkeypatch):
     assert math.isclose(np.exp(gru.log_probability(p, state, ALL_IDS)).sum(), 1, rel_tol=1e-4)
 
 
+def plain_score(p, tokens):
+    """Log probability of one text, token by token, from the equations."""
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+    n, h, last, total = gru.HIDDEN, np.zeros(gru.HIDDEN), gru.END, 0.0
+    for token in tokens:
+        x, a = p["e"][last] @ p["x"] + p["b"], h @ p["u"]
+        z, r = sigmoid(x[:n] + a[:n]), sigmoid(x[n : 2 * n] + a[n : 2 * n])
+        c = np.tanh(x[2 * n :] + r * a[2 * n :])
+        h = (1 - z) * c + z * h
+        of, at = divmod(int(token), gru.CLASS)
+        out = h @ p["c"] + p["cb"]
+        total += out[of] - np.log(np.exp(out).sum())
+        if of:  # the unknown word is alone in its class
+            out = h @ p["w"][of] + p["wb"][of]
+            total += out[at] - np.log(np.exp(out).sum())
+        last = token
+    return total
+
+
+def test_scores_and_segments_by_brute_force():
+    rng = np.random.default_rng(7)
+    p = {k: (v + rng.standard_normal(v.shape) * 0.3).astype(np.float64) for k, v in gru.start(gru.VOCABULARY).items()}
+    lengths = [1, 3, 400, 26, 25, 24, 1, 90]
+    texts = [np.append(rng.choice(ALL_IDS, m - 1), gru.END) for m in lengths]
+    first = np.concatenate([[0], np.cumsum(lengths)])
+    found = gru.score_documents(p, np.concatenate(texts).astype(np.int32), first)
+    assert np.allclose(found, [plain_score(p, t) for t in texts], rtol=1e-5)
+    # Segments hold every token once, none across texts, and follow the text before their begin.
+    edges = gru.segments_of(first, 50)
+    assert set(first) <= set(edges) and max(np.diff(edges)) <= 50 and edges[-1] == first[-1] and min(np.diff(edges)) > 0
+    seen = collections.Counter()
+    for rows, windows in gru.lane_windows(np.arange(first[-1]), edges, 3):
+        for source, target, mask in windows:
+            seen.update(target[mask].tolist())
+            assert all(s == (gru.END if t == 0 else t - 1) for s, t in zip(source[mask].tolist(), target[mask].tolist(), strict=True))
+    assert seen == collections.Counter(range(first[-1]))
+
+
+def test_frequent_words_by_threshold(spark):
+    counts = {i: 1 + (i * 37) % 90 for i in range(1, 400)}
+    frame = spark.createDataFrame(list(counts.items()), "h long, n long")
+    for most in (0, 1, 50, 200, 399, 1000):
+        found = gru.frequent_words(frame, most)
+        kept = dict(zip(found.hashes.tolist(), found.counts.tolist(), strict=True))
+        assert len(kept) <= most and all(counts[h] == n for h, n in kept.items())
+        left = [n for h, n in counts.items() if h not in kept]
+        assert not kept or not left or min(kept.values()) > max(left)
+    assert len(found.hashes) == 399
+
+
 def test_lm_score(spark):
     docs = documents(spark, "/root/testdata/sf0.01")
     found = by_id(gru.lm_score(docs))
