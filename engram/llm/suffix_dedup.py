@@ -31,6 +31,7 @@ not read.
 from __future__ import annotations
 
 import hashlib
+from array import array
 from bisect import bisect_left
 from collections.abc import Iterator
 from functools import cmp_to_key
@@ -127,7 +128,7 @@ class Suffix:
 
     def __init__(self, text: bytes):
         self.text = text
-        self.hashes = prefix_hashes(np.frombuffer(text, dtype=np.uint8)).tolist()
+        self.hashes = array("Q", prefix_hashes(np.frombuffer(text, dtype=np.uint8)).tobytes())  # eight bytes a prefix
 
 
 def extension(a: Suffix, b: Suffix) -> int:
