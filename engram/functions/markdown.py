@@ -9,6 +9,7 @@ Arrow-batched function; everything around it stays native.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 
 import pandas as pd
 from pyspark.sql import Column
@@ -17,30 +18,40 @@ from pyspark.sql import functions as F
 _OPEN_FENCE = re.compile(r" {0,3}(`{3,}|~{3,})")
 _BLANK = re.compile(r"[ \t]*")
 _RULE = re.compile(r" {0,3}([-*_])[ \t]*(?:\1[ \t]*){2,}")
-_TABLE_RULE = re.compile(r"[-|: \t]*-[-|: \t]*")
 _QUOTE = re.compile(r" {0,3}(?:> ?)*")
 _HEADING = re.compile(r" {0,3}#{1,6}(?:[ \t]+|$)")
-_HEADING_TAIL = re.compile(r"[ \t]*#*[ \t]*$")
 _LIST = re.compile(r" {0,3}(?:[-*+]|[0-9]+[.)])[ \t]+")
 _PLAIN = re.compile(r"[^<!\[`*_~|]+")
 _TICKS = re.compile("`+")
+_BRACKET = re.compile(r"[\[\]]")
 _MARKS = re.compile(r"\*+|_+")
 
 
-def _closing_bracket(text: str, at: int) -> int:
-    """Position of the bracket that closes the one before ``at``, or -1."""
-    depth = 1
-    for found in re.compile(r"[\[\]]").finditer(text, at):
-        depth += 1 if found[0] == "[" else -1
-        if not depth:
-            return found.start()
-    return -1
+def _brackets(text: str) -> dict[int, int]:
+    """Position of each opening bracket that is closed -> that of its closing one."""
+    open_at: list[int] = []
+    pairs: dict[int, int] = {}
+    for found in _BRACKET.finditer(text):
+        if found[0] == "[":
+            open_at.append(found.start())
+        elif open_at:
+            pairs[open_at.pop()] = found.start()
+    return pairs
+
+
+def _tick_runs(text: str) -> dict[int, list[int]]:
+    """Starts of the runs of backticks, by length."""
+    runs: dict[int, list[int]] = {}
+    for found in _TICKS.finditer(text):
+        runs.setdefault(len(found[0]), []).append(found.start())
+    return runs
 
 
 def _inline(text: str, skip_html: bool) -> tuple[str, bool]:
     """Inline text without its marks, and whether a tag is left open."""
     out: list[str] = []
-    at = 0
+    at = ticks_end = 0
+    pairs, runs = _brackets(text), _tick_runs(text)
     while at < len(text):
         if plain := _PLAIN.match(text, at):
             out.append(plain[0])
@@ -53,20 +64,23 @@ def _inline(text: str, skip_html: bool) -> tuple[str, bool]:
                 return "".join(out), True
             at = end + 1
             continue
-        opens = at + 1 if char == "[" else at + 2 if text.startswith("![", at) else 0
-        if opens and (end := _closing_bracket(text, opens)) >= 0:
-            out.append(text[opens:end])
+        opens = at if char == "[" else at + 1 if text.startswith("![", at) else -1
+        if (end := pairs.get(opens, -1)) >= 0:
+            out.append(text[opens + 1 : end])
             at = end + 1
             if text[at : at + 1] in ("(", "["):
                 stop = text.find(")" if text[at] == "(" else "]", at + 1)
                 at = stop + 1 if stop >= 0 else len(text)
             continue
         if char == "`":
-            ticks = _TICKS.match(text, at)
-            close = next((m for m in _TICKS.finditer(text, ticks.end()) if len(m[0]) == len(ticks[0])), None)
-            if close:
-                out.append(text[ticks.end() : close.start()])
-                at = close.end()
+            if at >= ticks_end:
+                ticks_end = _TICKS.match(text, at).end()
+            size = ticks_end - at
+            like = runs.get(size, [])
+            close = bisect_left(like, ticks_end)
+            if close < len(like):
+                out.append(text[ticks_end : like[close]])
+                at = like[close] + size
                 continue
         if marks := _MARKS.match(text, at):
             out.append(marks[0] if len(marks[0]) > 3 else "")
@@ -102,12 +116,12 @@ def strip(text: str, skip_html: bool = True) -> str:
         if _BLANK.fullmatch(line):
             out.append("\n")
             continue
-        if _RULE.fullmatch(line) or _TABLE_RULE.fullmatch(line):
+        if _RULE.fullmatch(line) or ("-" in line and not line.strip("-|: \t")):
             continue
         line = line[_QUOTE.match(line).end() :]
         if heading := _HEADING.match(line):
             line = line[heading.end() :]
-            line = line[: _HEADING_TAIL.search(line).start()]
+            line = line.rstrip(" \t").rstrip("#").rstrip(" \t")
         elif marker := _LIST.match(line):
             line = line[marker.end() :]
         body, in_tag = _inline(line, skip_html)

@@ -118,3 +118,13 @@ def test_options():
     assert config.with_option("unknown", 1) == config
     assert config.with_option("search_oversample", 4).search_oversample == 4
     assert re.match("md", config.extensions)
+
+
+@pytest.mark.parametrize("part", ["[", "![", "`", "[a](", "*", "~~", "<", "- ", "# ", "[x`"])
+def test_long_lines_of_marks(part):
+    import time
+
+    start = time.perf_counter()
+    strip("x " + part * 50_000 + " y\n# " + part * 50_000 + " z")
+    strip("x" + "".join("`" * i + part for i in range(500)))
+    assert time.perf_counter() - start < 5
