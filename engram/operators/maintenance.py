@@ -71,8 +71,26 @@ def first_of_each(docs: DataFrame, key: str = "hash", order: str = "arrival") ->
 
 
 def rebuild_plan(content: DataFrame, files: DataFrame) -> DataFrame:
-    """For each entry where its text comes from when the model changes: the file
-    that is still there, the stored value, or nowhere (the entry goes)."""
-    here = files.select(F.col("path"), F.lit(True).alias("on_disk"))
+    """``content`` plus ``text`` and ``rebuild_from``: where the text of each entry comes
+    from when the model changes - the file (``files``: path, text) that is still there,
+    the stored value, or nowhere (the entry goes)."""
+    here = files.dropDuplicates(["path"]).select("path", F.col("text").alias("file_text"), F.lit(True).alias("on_disk"))
     source = F.when(F.col("on_disk"), "file").when(F.col("value").isNotNull(), "value").otherwise("dropped")
-    return content.join(here, "path", "left").withColumn("rebuild_from", source).drop("on_disk")
+    both = content.join(here, "path", "left").withColumn("rebuild_from", source)
+    return both.withColumn("text", F.coalesce("file_text", "value")).drop("on_disk", "file_text")
+
+
+def topmost_folders(paths: DataFrame) -> DataFrame:
+    """(dir) of the absolute ``paths`` (path), without those that lie below another one."""
+    absolute = paths.filter(F.col("path").rlike("^(/|[A-Za-z][A-Za-z0-9+.-]*:/)"))
+    folders = absolute.select(F.regexp_replace("path", "/[^/]*$", "").alias("dir")).distinct()
+    parts = F.split("dir", "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
+    with_above = folders.filter(F.size(parts) > 1).select("dir", F.explode(above).alias("above"))
+    nested = with_above.join(folders.select(F.col("dir").alias("above")), "above", "left_semi").select("dir").distinct()
+    return folders.join(nested, "dir", "left_anti")
+
+
+def token_statistics(index: DataFrame) -> DataFrame:
+    """(context, chunks, tokens) of the text index."""
+    return index.groupBy("context").agg(F.count("*").alias("chunks"), F.sum("dl").alias("tokens"))

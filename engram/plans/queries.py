@@ -197,6 +197,11 @@ def bm25_normalised(spark: SparkSession, sf: str) -> DataFrame:
     return fulltext.normalised(_ranked(spark, sf, False)).select("query_id", "hash", F.round("text_score", 6).alias("text_score"))
 
 
+@query("select source as context, count(*) as chunks, sum(len(regexp_extract_all(strip_accents(lower(coalesce(text, ''))), '[\\p{L}\\p{N}]+')))::bigint as tokens from documents group by source")
+def token_statistics(spark: SparkSession, sf: str) -> DataFrame:
+    return maintenance.token_statistics(fulltext.indexed(fts(spark, sf), fold=True))
+
+
 @query(f"""select hash from (select hash, ' ' || array_to_string(words, ' ') || ' ' as j from {_WORDS} w) x
   where (contains(j, ' the ') and contains(j, ' and ') and not contains(j, ' was ')) or contains(j, ' of the ')""")
 def boolean_match(spark: SparkSession, sf: str) -> DataFrame:
@@ -330,7 +335,7 @@ def update_access(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"select hash, case when hash % 3 = 0 then 'file' when hash % 4 <> 1 then 'value' else 'dropped' end as rebuild_from from {CONTENT_SQL} c")
 def reindex_plan(spark: SparkSession, sf: str) -> DataFrame:
     stored = content(spark, sf).withColumn("value", F.when(F.col("hash") % 4 != 1, F.col("value")))
-    return maintenance.rebuild_plan(stored, stored.filter("hash % 3 = 0").select("path")).select("hash", "rebuild_from")
+    return maintenance.rebuild_plan(stored, stored.filter("hash % 3 = 0").select("path", F.col("value").alias("text"))).select("hash", "rebuild_from")
 
 
 @query("select window_start, user_id, n from (select time_bucket(interval '1 hour', ts) as window_start, user_id, count(*) as n from events group by all) x")
@@ -404,25 +409,34 @@ def _chunks(spark: SparkSession, sf: str, **settings) -> DataFrame:
     return rows.select("hash", "value", "c.*")
 
 
-def _ascii_chunks(spark: SparkSession, sf: str) -> DataFrame:
-    """Chunks of every text with one ASCII character for each other one: SQL cuts
-    characters, chunks are cut in bytes, and here both are the same."""
-    rows = content(spark, sf).select("hash", F.regexp_replace("value", "[^\\x00-\\x7F]", "?").alias("value"))
-    return rows.select("hash", "value", F.explode(chunks(F.col("value"), overlay_tokens=0, strip_marks=False)).alias("c")).select("hash", "value", "c.*")
+def _raw_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    return _chunks(spark, sf, overlay_tokens=0, strip_marks=False)
+
+
+# SQL cuts characters, chunks are cut in bytes.  So SQL cuts a stand-in of each text with one
+# character a byte: other characters than ASCII begin with chr(1) and go on with chr(2).
+_BYTES = "regexp_replace(text, '[\\x01\\x02]', '?', 'g')"
+for _range, _size in (("\\x{80}-\\x{7FF}", 2), ("\\x{800}-\\x{FFFF}", 3), ("\\x{10000}-\\x{10FFFF}", 4)):
+    _BYTES = f"regexp_replace({_BYTES}, '[{_range}]', chr(1) || repeat(chr(2), {_size - 1}), 'g')"
+
+
+def _cut_sql(at: str) -> str:
+    """Length of the chunk that begins at byte ``at``."""
+    window = f"substr(text, {at} + 1, 1600)"
+    hard = f"case when substr(text, {at} + 1601, 1) = chr(2) then strlen(rtrim({window}, chr(2))) - 1 else 1600 end"
+    return f"case when size - {at} <= 1600 then size - {at} when instr(reverse({window}), chr(10)) > 0 then 1601 - instr(reverse({window}), chr(10)) else {hard} end"
 
 
-_RAW_SQL = """with recursive d as (select hash, text, strlen(text) as size from (select doc_id as hash, regexp_replace(text, '[^\\x00-\\x7F]', '?', 'g') as text from documents where text <> '')),
-  c as (select hash, 0 as seq, 0::bigint as "offset", case when size <= 1600 then size else
-      case when instr(reverse(substr(text, 1, 1600)), chr(10)) > 0 then 1601 - instr(reverse(substr(text, 1, 1600)), chr(10)) else 1600 end end as length, text, size from d
-    union all select hash, seq + 1, "offset" + length, case when size - "offset" - length <= 1600 then size - "offset" - length else
-      case when instr(reverse(substr(text, "offset" + length + 1, 1600)), chr(10)) > 0 then 1601 - instr(reverse(substr(text, "offset" + length + 1, 1600)), chr(10)) else 1600 end end, text, size
-    from c where "offset" + length < size)"""
+_RAW_SQL = f"""with recursive d as (select *, strlen(text) as size from (select doc_id as hash, text as real, {_BYTES} as text from documents where text <> '')),
+  c as (select hash, 0 as seq, 0::bigint as "offset", ({_cut_sql("0")})::bigint as length, real, text, size from d
+    union all select hash, seq + 1, "offset" + length, {_cut_sql('("offset" + length)')}, real, text, size from c where "offset" + length < size)"""
+_CHARACTERS = "length(replace(substr(text, {}), chr(2), ''))"
 
 
 @query(_RAW_SQL + ' select hash, seq::int as seq, "offset"::bigint as start, length::bigint as length from c')
 def chunk_raw(spark: SparkSession, sf: str) -> DataFrame:
     """Spans of unstripped texts: the rule of splitting alone."""
-    return _ascii_chunks(spark, sf).select("hash", "seq", F.col("offset").alias("start"), "length")
+    return _raw_chunks(spark, sf).select("hash", "seq", F.col("offset").alias("start"), "length")
 
 
 @query()
@@ -432,12 +446,12 @@ def chunk_overlay(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(_RAW_SQL + ', t as (select hash, count(*) as n, sum(length)::bigint as total from c group by hash) select hash, n, total from t')
 def chunk_offsets(spark: SparkSession, sf: str) -> DataFrame:
-    return _ascii_chunks(spark, sf).groupBy("hash").agg(F.count("*").alias("n"), F.sum("length").alias("total"))
+    return _raw_chunks(spark, sf).groupBy("hash").agg(F.count("*").alias("n"), F.sum("length").alias("total"))
 
 
-@query(_RAW_SQL + ' select hash, seq::int as seq, md5(substr(text, "offset" + 1, length)) as snippet_md5 from c')
+@query(_RAW_SQL + f' select hash, seq::int as seq, md5(substr(real, 1 + {_CHARACTERS.format('1, "offset"')}, {_CHARACTERS.format('"offset" + 1, length')})) as snippet_md5 from c')
 def chunk_snippet(spark: SparkSession, sf: str) -> DataFrame:
-    return _ascii_chunks(spark, sf).select("hash", "seq", F.md5(byte_slice(F.col("value"), F.col("offset"), F.col("length")).cast("binary")).alias("snippet_md5"))
+    return _raw_chunks(spark, sf).select("hash", "seq", F.md5(byte_slice(F.col("value"), F.col("offset"), F.col("length")).cast("binary")).alias("snippet_md5"))
 
 
 @query("select c.hash, v.vec_id is not null as has_vector from (select doc_id as hash from documents where text <> '') c left join embeddings v on v.vec_id = c.hash")

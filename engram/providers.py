@@ -19,7 +19,10 @@ class ProviderError(ValueError):
 class EmbeddingProvider:
     """One instance serves a Python worker.  Subclasses give ``compute``; a
     constructor that raises means the model can't be used.  Keys for remote
-    services are constructor arguments and are never stored."""
+    services are constructor arguments and are never stored; ``needs_key`` tells
+    that a model can't be chosen without ``api_key``."""
+
+    needs_key = False
 
     def __init__(self, model: str, **settings: object):
         self.model = model
