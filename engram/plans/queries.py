@@ -444,6 +444,22 @@ def chunk_overlay(spark: SparkSession, sf: str) -> DataFrame:
     return _chunks(spark, sf).select("hash", "seq", "text", "offset", "length")
 
 
+_TAIL = "(case when instr(right({0}, 320), chr(10)) > 0 then substr(right({0}, 320), instr(right({0}, 320), chr(10)) + 1) else '' end)"
+_OVERLAID_SQL = f"""{_RAW_SQL}, p as (select hash, seq, "offset", length, substr(text, "offset" + 1, length) as piece,
+    substr(real, 1 + {_CHARACTERS.format('1, "offset"')}, {_CHARACTERS.format('"offset" + 1, length')}) as real_piece from c),
+  o as (select hash, seq, "offset", length, piece as body, real_piece as real_body from p where seq = 0
+    union all select hash, seq, "offset", length, case when tail = '' then piece else tail || chr(10) || piece end,
+      case when tail = '' then real_piece else right(real_body, length(replace(tail, chr(2), ''))) || chr(10) || real_piece end
+    from (select p.*, o.real_body, {_TAIL.format("o.body")} as tail from o join p on p.hash = o.hash and p.seq = o.seq + 1) x)"""
+
+
+@query(_OVERLAID_SQL + ' select hash, seq::int as seq, "offset"::bigint as start, length::bigint as length, md5(real_body) as text_md5 from o')
+def chunk_overlay_raw(spark: SparkSession, sf: str) -> DataFrame:
+    """Chunks of unstripped texts, each with the last whole lines of the one before it."""
+    rows = _chunks(spark, sf, strip_marks=False)
+    return rows.select("hash", "seq", F.col("offset").alias("start"), "length", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
 @query(_RAW_SQL + ', t as (select hash, count(*) as n, sum(length)::bigint as total from c group by hash) select hash, n, total from t')
 def chunk_offsets(spark: SparkSession, sf: str) -> DataFrame:
     return _raw_chunks(spark, sf).groupBy("hash").agg(F.count("*").alias("n"), F.sum("length").alias("total"))
@@ -521,3 +537,28 @@ def memory_ingest(spark: SparkSession, sf: str) -> DataFrame:
     entries = tables["content"].join(chunks_of, "hash", "full_outer")
     whole = F.coalesce((F.col("v") == F.col("t")) & F.col("length").isNotNull(), F.lit(False))
     return entries.groupBy(F.coalesce("context", F.lit("(none)")).alias("context")).agg(F.count("*").alias("entries"), F.sum("length").alias("bytes"), F.min(whole).alias("indexed")).withColumn("again", F.lit(again))
+
+
+_NOTES = "(select coalesce(source, 'none') as context, coalesce(source, 'none') || ' note ' || doc_id as body from documents)"
+
+
+@query(f"""with n as (select count(distinct body) as added, count(distinct case when context = 'src3' then body end) as of_context, least(500, count(distinct body)) as cached from {_NOTES} x)
+  select unnest(['added', 'cached', 'searched', 'of context', 'of hash', 'left', 'forgotten', 'cleared']) as step, unnest([added, cached, least(3, added), of_context, 1, added - of_context - 1, cached, 0])::bigint as n from n""")
+def memory_upkeep(spark: SparkSession, sf: str) -> DataFrame:
+    """A note for each document through the memory's upkeep: a bounded cache, a bounded
+    search, deletes by context and by hash, cached vectors forgotten, all cleared."""
+    context = F.coalesce("source", F.lit("none"))
+    notes = table(spark, sf, "documents").select(F.concat(context, F.lit(" note "), F.col("doc_id").cast("string")).alias("text"), context.alias("context"))
+    memory = Memory(spark, f"{shared_folder(spark).rstrip('/')}/memory-{uuid.uuid4().hex}")
+    memory.set_model("hashing", "16")
+    for name, value in (("cache_max_entries", 500), ("min_score", 1e-6)):
+        memory.set_option(name, value)
+    steps = {"added": memory.add_texts(notes)["added"], "cached": memory.tables["cache"].count()}
+    steps["searched"] = memory.search("note", max_entries=3, record_access=False).count()
+    steps["of context"] = memory.delete_context("src3")
+    steps["of hash"] = memory.delete(memory.tables["content"].agg(F.min("hash")).first()[0])
+    steps["left"] = memory.tables["content"].count()
+    steps["forgotten"] = memory.cache_clear("hashing", "16")
+    memory.clear()
+    steps["cleared"] = sum(memory.tables[t].count() for t in ("content", "vault", "fts", "cache"))
+    return spark.createDataFrame(list(steps.items()), "step string, n long")
