@@ -16,6 +16,7 @@ from engram.llm.quality import quality_rules
 from engram.llm.secrets import secret_scan
 from engram.llm.suffix_dedup import substring_dedup
 from engram.llm.toxicity import toxic_documents
+from engram.llm.whitening import whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,6 +63,10 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score(_table(spark, sf_dir, "documents"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening(_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
