@@ -16,6 +16,8 @@ from engram.llm.quality import quality_rules
 from engram.llm.secrets import secret_scan
 from engram.llm.suffix_dedup import substring_dedup
 from engram.llm.toxicity import toxic_documents
+from engram.llm.warc import ORACLE_SQL as WARC_SQL
+from engram.llm.warc import archive_round_trip
 from engram.llm.whitening import whitening
 
 
@@ -67,9 +69,13 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening(_table(spark, sf_dir, "embeddings"))
 
 
+def op13_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_round_trip(_table(spark, sf_dir, "pages"), spark)
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": QUALITY_SQL, "op8_near_duplicates": NEAR_SQL}
+    return {"op2_quality_rules": QUALITY_SQL, "op8_near_duplicates": NEAR_SQL, "op13_warc_archives": WARC_SQL}
