@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from engram.llm.collocations import ORACLE_SQL as PHRASE_SQL
+from engram.llm.collocations import collocations
 from engram.llm.decontam import benchmark_leaks
 from engram.llm.gru import lm_score
 from engram.llm.langid import language_id
@@ -69,6 +71,10 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening(_table(spark, sf_dir, "embeddings"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(_table(spark, sf_dir, "documents"))
+
+
 def op13_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_round_trip(_table(spark, sf_dir, "pages"), spark)
 
@@ -78,4 +84,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": QUALITY_SQL, "op8_near_duplicates": NEAR_SQL, "op13_warc_archives": WARC_SQL}
+    return {"op2_quality_rules": QUALITY_SQL, "op8_near_duplicates": NEAR_SQL, "op12_collocations": PHRASE_SQL, "op13_warc_archives": WARC_SQL}

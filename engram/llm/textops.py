@@ -8,6 +8,7 @@ an empty one.  Words are maximal runs of bytes other than space and
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -16,6 +17,8 @@ import pyarrow as pa
 
 U64 = np.uint64
 SEGMENT = 1 << 20
+#: Bytes of a word from which on it is hashed on its own.
+LONG_WORD = 256
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
 
@@ -94,6 +97,28 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = 4 << 20) -> Iterator
         at = to
 
 
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the spans [start, end): eight bytes at a time through ``mix``, all
+    spans together; a span of more than ``LONG_WORD`` bytes through a digest."""
+    size = end - start
+    out = mix(size.astype(U64) + U64(_BASE))
+    padded = np.concatenate([data, np.zeros(8, dtype=np.uint8)])
+    eight = np.ndarray(len(data) + 1, dtype="<u8", buffer=padded, strides=(1,))  # the eight bytes at each place
+    long = size > LONG_WORD
+    live = np.flatnonzero((size > 0) & ~long) if long.any() else np.flatnonzero(size > 0)
+    done = 0
+    while len(live):
+        left = size[live] - done
+        part = eight[start[live] + done]
+        short = left < 8
+        part[short] &= (U64(1) << (left[short] * 8).astype(U64)) - U64(1)
+        out[live] = mix((out[live] ^ part) + U64(_BASE))
+        live, done = live[left > 8], done + 8
+    for i in np.flatnonzero(long):
+        out[i] = int.from_bytes(hashlib.blake2b(data[start[i] : end[i]].tobytes(), digest_size=8).digest(), "little")
+    return out
+
+
 class Words(NamedTuple):
     start: np.ndarray
     end: np.ndarray
@@ -120,16 +145,7 @@ def words(column: pa.Array, lower: bool = True, table: np.ndarray = IS_WORD, hea
     start, end = np.flatnonzero(begins[:-1]), np.flatnonzero(ends)
     if head:
         end = np.minimum(end, start + head)
-    if lower:
-        data = LOWER[data]
-    hashes = np.empty(len(start), dtype=U64)
-    at = 0
-    while at < len(start):
-        to = max(at + 1, int(np.searchsorted(end, start[at] + SEGMENT, side="right")))
-        base = start[at]
-        prefix = prefix_hashes(data[base : end[to - 1]])
-        hashes[at:to] = span_hashes(prefix, start[at:to] - base, end[at:to] - base)
-        at = to
+    hashes = word_hashes(LOWER[data] if lower else data, start, end)
     return Words(start, end, hashes, np.searchsorted(start, offsets))
 
 

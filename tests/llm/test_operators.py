@@ -38,11 +38,24 @@ def test_words_match_the_pattern():
     assert all((found.hash[i] == found.hash[j]) == (flat[i] == flat[j]) for i in range(len(flat)) for j in range(len(flat)))
 
 
-def test_long_text_is_cut_into_segments_without_effect(monkeypatch):
-    text = " ".join(str(i * 7919) for i in range(20_000))
-    whole = textops.words(pa.array([text])).hash
-    monkeypatch.setattr(textops, "SEGMENT", 1000)
-    assert (textops.words(pa.array([text])).hash == whole).all()
+def thue_morse(n):
+    return "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+
+
+def test_hashes_tell_words_apart_that_polynomials_mix_up():
+    swapped = {97: 98, 98: 97}
+    for n in (16, 200, 1024, 4096):
+        one = thue_morse(n)
+        assert len(set(textops.words(pa.array([f"{one} {one.translate(swapped)} {one}"])).hash.tolist())) == 2
+
+
+def test_hashes_do_not_depend_on_place_or_neighbours():
+    rng = random.Random(2)
+    texts = ["".join(rng.choices("abcxyz", k=k)) for k in [*range(1, 40), 255, 256, 257, 600]]
+    alone = [textops.words(pa.array([t])).hash[0] for t in texts]
+    assert textops.words(pa.array([" " + "  ".join(texts)])).hash.tolist() == alone
+    assert len(set(alone)) == len(set(texts))
+    assert textops.words(pa.array(["a\0", "a"])).hash.tolist() != textops.words(pa.array(["a", "a"])).hash.tolist()
 
 
 # 1 Suffix dedup
