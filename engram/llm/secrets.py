@@ -7,8 +7,9 @@ constants it has seen so that ``password = KEY`` finds the literal behind
 how random it looks.  Three fixed patterns (kinds ``assign``, ``access`` and
 ``hex``) run beside it and always stay.
 
-A constant keeps references to the constants it is made of and a profile of its
-whole text, so ``x = x + x`` on every line costs no more than any other line.
+A constant keeps references to the constants it is made of and a profile of fixed
+size of its whole text, so ``x = x + x`` on every line costs no more than any other
+line, however many different characters ``x`` holds.
 
 Positions are code points, end exclusive.  A null or empty text has no spans;
 repeated rows are scanned alike; columns besides the two named are not read.
@@ -42,6 +43,8 @@ PLACEHOLDERS = re.compile(r"(?i)^(true|false|null|none|nil|undefined|changeme|ch
 THRESHOLD = 1.0
 #: Characters up to which a whole value may be a placeholder, and where lengths stop growing.
 SHORT, LONGEST = 200, 1e15
+#: Kinds that a profile tells apart besides the ASCII characters.
+OTHERS = 32
 _PAIR = re.compile(r"""(?<![\w$])(?:"(?P<dq>[^"\n]{1,80})"|'(?P<sq>[^'\n]{1,80})'|(?P<id>[A-Za-z_$][\w$.\-]{0,80}))[ \t]*(?::=|=>|=(?![=>])|:(?![:/=]))[ \t]*""", re.ASCII)
 _OPERAND = re.compile(r'''"(?P<dq>(?:[^"\\\n]|\\.)*)"|'(?P<sq>(?:[^'\\\n]|\\.)*)'|(?P<name>[A-Za-z_$][\w$.]*)(?![\w+/=-])|(?P<bare>[^\s,;"'(){}\[\]]+)''', re.ASCII)
 _JOIN = re.compile(r"[ \t]*(?:\+|\.\.|\|\||&)[ \t]*|[ \t]+(?=[\"'])")
@@ -64,7 +67,7 @@ class Value:
     literals: list[tuple[int, int]]
     parts: list[Value]
     length: float = 0.0
-    #: Share of each character in the whole.
+    #: Share of each kind of character in the whole; never changed in place, so values may share one.
     shares: dict[str, float] = field(default_factory=dict)
     #: The whole itself, as long as it is short enough to stand for a placeholder.
     whole: str | None = ""
@@ -73,21 +76,35 @@ class Value:
         total = self.length + length
         if not length:
             return
-        mixed = {c: s * (self.length / total) for c, s in self.shares.items()}
-        for c, s in shares.items():
-            mixed[c] = mixed.get(c, 0.0) + s * (length / total)
-        self.length, self.shares = min(total, LONGEST), mixed
+        if not self.length:
+            self.shares = shares
+        elif shares is not self.shares:
+            mixed = {c: s * (self.length / total) for c, s in self.shares.items()}
+            for c, s in shares.items():
+                mixed[c] = mixed.get(c, 0.0) + s * (length / total)
+            self.shares = mixed
+        self.length = min(total, LONGEST)
         self.whole = self.whole + whole if self.whole is not None and whole is not None and len(self.whole) + len(whole) <= SHORT else None
 
     def add_literal(self, start: int, end: int, value: str) -> None:
         self.literals.append((start, end))
-        self.add(len(value), {c: k / len(value) for c, k in Counter(value).items()}, value)
+        self.add(len(value), profile(value), value)
 
     def add_value(self, value: Value) -> None:
         self.parts.append(value)
         self.add(value.length, value.shares, value.whole)
 
 
+def profile(value: str) -> dict[str, float]:
+    """Share of each character; other characters than ASCII fall into ``OTHERS`` kinds."""
+    counts = Counter(value)
+    if not value.isascii():
+        counts, of = Counter(), counts
+        for c, k in of.items():
+            counts[c if c < "\x80" else chr(256 + ord(c) % OTHERS)] += k
+    return {c: k / len(value) for c, k in counts.items()}
+
+
 def entropy(shares: dict[str, float]) -> float:
     """Bits a character carries under the letter frequencies ``shares``."""
     return -sum(s * math.log2(s) for s in shares.values() if s > 0)
