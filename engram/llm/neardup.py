@@ -26,7 +26,8 @@ A link is ``100 * intersection >= percent * union`` of the sets.
 Defined results: a text without words, or null, has the empty set and is linked
 with nothing; fewer words than a shingle needs make one shingle; a null id is no
 node, so such a row forms no class of its own (component null unless its text
-equals another's); rows that repeat an id are one node; an empty table gives an
+equals another's); rows that repeat an id are of one class, whatever
+their texts, and each of these texts has its links; an empty table gives an
 empty result; other columns are not read.
 """
 
@@ -96,6 +97,11 @@ def shingle_sets(column: pa.Array, n: int) -> Iterator[np.ndarray]:
         yield np.unique(shingle_hashes(w.hash[a:b], n))
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """(doc_id, text_key, text) of ``docs``: with the hash of its text a row is known even where ids repeat."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"), "text")
+
+
 def _sketcher(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -105,8 +111,8 @@ def _sketcher(n: int):
                     size.append(len(s))
                     f, g = fingerprint(s) if len(s) else (None, None)
                     one.append(f), two.append(g), sigs.append(signature(s).tobytes() if len(s) else None)
-                columns = [part.column("doc_id"), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(size, pa.int64()), pa.array(sigs, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "f1", "f2", "n_shingles", "sig"])
+                columns = [part.column("doc_id"), part.column("text_key"), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(size, pa.int64()), pa.array(sigs, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_key", "f1", "f2", "n_shingles", "sig"])
 
     return run
 
@@ -298,15 +304,15 @@ def _block_links(n: int, percent: int):
 
 
 def _confirm_large(large: DataFrame, slim: DataFrame, n: int, percent: int) -> DataFrame:
-    """Links (a, b) of the regions of ``large`` (region, rep, n, sig), in blocks."""
+    """Links (a, b) of the regions of ``large`` (region, rep, doc_id, text_key, n, sig), in blocks; ``slim``: (doc_id, text_key, text)."""
     # The hub shares its prefixes with the most members.
     prefixes = large.select("rep", "sig").mapInArrow(_prefixes(orders(percent, 0)), "rep long, bucket long").join(large.select("rep", "region"), "rep").select("region", "rep", F.col("bucket").alias("key"))
     weight = prefixes.join(prefixes.groupBy("region", "key").agg(F.count("*").alias("w")), ["region", "key"]).groupBy("region", "rep").agg(F.sum("w").alias("w"))
     plan = weight.groupBy("region").agg(F.max_by("rep", F.struct("w", -F.col("rep"))).alias("hub"))
     blocks = lambda rows, shingles: F.ceil(F.greatest(2 * rows / REGION_ROWS, 2 * shingles / REGION_SHINGLES)).cast("int")
     plan = cut(plan.join(large.groupBy("region").agg(blocks(F.count("*"), F.sum("n")).alias("nb")), "region"))
-    named = salted(large, plan, "region").select("region", "rep", "n", "hub", "nb")
-    rows = cut(slim.join(named, slim["doc_id"] == named["rep"]).select("region", "rep", "n", "hub", "nb", "text").dropDuplicates(["region", "rep"]))
+    named = salted(large, plan, "region").select("region", "rep", "doc_id", "text_key", "n", "hub", "nb")
+    rows = cut(slim.join(named, ["doc_id", "text_key"]).select("region", "rep", "n", "hub", "nb", "text").dropDuplicates(["region", "rep"]))
     block = F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int")
 
     members = rows.select("region", "rep", "text", block.alias("block"), F.lit(False).alias("is_hub"))
@@ -324,33 +330,47 @@ def _confirm_large(large: DataFrame, slim: DataFrame, n: int, percent: int) -> D
     return pairs.unionByName(near.filter("linked").join(named.select("rep", "hub"), "rep").select(F.col("rep").alias("a"), F.col("hub").alias("b")))
 
 
-def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept): for each row of ``docs`` its
-    class in the graph of links, named by the smallest id, and whether it is the
-    row that stays."""
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sketch = cut(slim.mapInArrow(_sketcher(n), "doc_id long, f1 long, f2 long, n_shingles long, sig binary"))
+def _classes(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """(doc_id, text_key, f1, f2, n_shingles, class, component_id) of each row of ``docs``: a number
+    for its class, and the class's smallest id; both null without words or id."""
+    slim = keyed(docs)
+    sketch = cut(slim.mapInArrow(_sketcher(n), "doc_id long, text_key long, f1 long, f2 long, n_shingles long, sig binary"))
     named = sketch.filter("doc_id is not null and f1 is not null")
-    nodes = cut(named.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n")))
+    # A node is a set, known by its fingerprint; its text is that of the row of the smallest (id, hash).
+    nodes = named.groupBy("f1", "f2").agg(F.min(F.struct("doc_id", "text_key")).alias("row"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n"))
+    nodes = cut(nodes.select(F.col("f1").alias("rep"), "f2", "row.doc_id", "row.text_key", "sig", "n"))
     regions = components(candidates(nodes, percent)).select(F.col("node").alias("rep"), F.col("component").alias("region"))
 
     # Confirmation on whole sets, made anew from the texts of one row of each node.
-    sized = cut(regions.join(nodes.select("rep", "n"), "rep"))
+    sized = cut(regions.join(nodes.select("rep", "doc_id", "text_key", "n"), "rep"))
     size = sized.groupBy("region").agg(((F.sum("n") <= REGION_SHINGLES) & (F.count("*") <= REGION_ROWS)).alias("fits"))
     parted = salted(sized, size.filter("not fits"), "region")
-    large = parted.join(nodes.select("rep", "sig"), "rep").select("region", "rep", "n", "sig")
-    whole = sized.join(parted.select("rep"), "rep", "left_anti").select("region", "rep")
-    texts = slim.join(whole, slim["doc_id"] == whole["rep"]).select("region", "rep", "text").dropDuplicates(["region", "rep"])
+    large = parted.join(nodes.select("rep", "sig"), "rep").select("region", "rep", "doc_id", "text_key", "n", "sig")
+    whole = sized.join(parted.select("rep"), "rep", "left_anti").select("region", "rep", "doc_id", "text_key")
+    texts = slim.join(whole, ["doc_id", "text_key"]).select("region", "rep", "text").dropDuplicates(["region", "rep"])
     links = texts.groupBy("region").applyInArrow(_confirmer(n, percent), "a long, b long")
-    if large.isEmpty():
+    # Rows that share an id belong together, whatever their texts.
+    sets_of = named.groupBy("doc_id").agg(F.min("f1").alias("low"), F.max("f1").alias("high")).filter("low <> high")
+    twins = cut(named.join(sets_of, "doc_id").filter("f1 <> low").select(F.col("f1").alias("a"), F.col("low").alias("b")).distinct())
+    more = [x for x in (None if large.isEmpty() else _confirm_large(large, slim, n, percent), None if twins.isEmpty() else twins) if x is not None]
+    if more:
+        found = components(reduce(DataFrame.unionByName, more, links))
+    else:
         links = cut(links)
         found = links.select(F.col("a").alias("node"), F.col("b").alias("root")).join(links.groupBy(F.col("b").alias("root")).agg(F.min("a").alias("component")), "root").select("node", "component")
-    else:
-        found = components(links.unionByName(_confirm_large(large, slim, n, percent)))
-    of_set = nodes.join(found, F.col("rep") == F.col("node"), "left").select("f1", "f2", F.coalesce("component", "rep").alias("of"))
-    out = sketch.drop("sig").join(of_set, ["f1", "f2"], "left")
-    component = F.when(F.col("n_shingles") > 0, F.col("of")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+    placed = cut(nodes.select("rep", "f2", "doc_id").join(found, F.col("rep") == F.col("node"), "left").select("rep", "f2", "doc_id", F.coalesce("component", "rep").alias("class")))
+    least = placed.groupBy("class").agg(F.min("doc_id").alias("component_id"))
+    of_set = placed.join(least, "class").select(F.col("rep").alias("f1"), "f2", "class", "component_id")
+    return sketch.drop("sig").join(of_set, ["f1", "f2"], "left")
+
+
+def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept): for each row of ``docs`` its
+    class in the graph of links, named by the smallest id, and whether it is the
+    row that stays."""
+    component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
+    out = _classes(docs, n, percent).select("doc_id", "n_shingles", component.alias("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
 def near_dup_groups(docs: DataFrame) -> DataFrame:
@@ -359,12 +379,15 @@ def near_dup_groups(docs: DataFrame) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with one row of each class: the one of the smallest id (of rows
-    that repeat this id, one).  Rows without words or without an id stay."""
-    kept = near_duplicates(docs, n, percent).filter("kept and n_shingles > 0").select(F.col("doc_id").alias("_kept")).distinct()
+    """``docs`` with one row of each class: the one of the smallest id (of rows that
+    repeat this id, the one whose set has the smallest fingerprint; of rows that
+    agree in id and text, any one).  Rows without words or without an id stay."""
+    first = F.min(F.struct("doc_id", "f1", "f2", "text_key")).alias("row")
+    kept = _classes(docs, n, percent).filter("class is not null and doc_id is not null").groupBy("class").agg(first).select(F.col("row.doc_id").alias("_near_id"), F.col("row.text_key").alias("_near_key"))
+    key = F.xxhash64(F.coalesce("text", F.lit("")))
     has_words = F.coalesce(F.col("text"), F.lit("")).rlike("[^\\x20\\x09-\\x0D]")
     named = docs.filter(has_words & F.col("doc_id").isNotNull())
-    stay = named.join(kept, named["doc_id"] == kept["_kept"], "left_semi").dropDuplicates(["doc_id"])
+    stay = named.join(kept, (named["doc_id"] == kept["_near_id"]) & (key == kept["_near_key"])).dropDuplicates(["_near_id", "_near_key"]).drop("_near_id", "_near_key")
     return stay.unionByName(docs.filter(~has_words | F.col("doc_id").isNull()))
 
 
