@@ -111,11 +111,11 @@ def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(list(known)).take(pa.array(t.lang[first])), pa.array(t.hash[first].view(np.int64)), text, pa.array(count)], names=["lang", "h", "word", "f"])
 
 
-def _bit(phrase: np.ndarray) -> np.ndarray:
-    return (phrase >> U64(64 - BITS.bit_length() + 1)).astype(np.int64)
+def _bit(phrase: np.ndarray, bits: int) -> np.ndarray:
+    return (phrase >> U64(64 - bits.bit_length() + 1)).astype(np.int64)
 
 
-def _bits_of(m: int):
+def _bits_of(m: int, bits: int):
     """The bits (slot, bits) that phrases (lang, p1 .. p{m}, next) set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,7 +126,7 @@ def _bits_of(m: int):
             phrase = np.array([_seed(x) for x in coded.dictionary.to_pylist()], dtype=U64)[coded.indices.to_numpy()]
             for c in [*(f"p{i}" for i in range(1, m + 1)), "next"]:
                 phrase = _grown(phrase, batch.column(c).to_numpy().view(U64))
-            bit = np.sort(_bit(phrase))
+            bit = np.sort(_bit(phrase, bits))
             head = _heads([bit >> 6])
             ored = np.bitwise_or.reduceat(np.left_shift(np.int64(1), bit & 63), head)
             yield pa.RecordBatch.from_arrays([pa.array((bit[head] >> 6).astype(np.int32)), pa.array(ored)], names=["slot", "bits"])
@@ -136,27 +136,27 @@ def _bits_of(m: int):
 
 def _filter(frequent: DataFrame, m: int) -> np.ndarray:
     """The filter of the frequent phrases of ``m + 1`` words: ``BITS`` bits, in longs."""
-    set_bits = frequent.mapInArrow(_bits_of(m), "slot int, bits long").groupBy("slot").agg(F.bit_or("bits").alias("bits")).toArrow()
+    set_bits = frequent.mapInArrow(_bits_of(m, BITS), "slot int, bits long").groupBy("slot").agg(F.bit_or("bits").alias("bits")).toArrow()
     out = np.zeros(BITS >> 6, dtype=np.int64)
     out[set_bits.column("slot").to_numpy()] = set_bits.column("bits").to_numpy()
     return out
 
 
 def _passes(filter_bits: np.ndarray, phrase: np.ndarray) -> np.ndarray:
-    bit = _bit(phrase)
+    bit = _bit(phrase, len(filter_bits) << 6)
     return (filter_bits[bit >> 6] >> (bit & 63)) & 1 == 1
 
 
 class _Stripes:
     """Counters of (lang, prefix, next), added up as they come."""
 
-    def __init__(self, m: int):
-        self.m, self.parts, self.held = m, [], 0
+    def __init__(self, m: int, most: int = HELD):
+        self.m, self.most, self.parts, self.held = m, most, [], 0
 
     def add(self, columns: list[np.ndarray]) -> None:
         self.parts.append(columns)
         self.held += len(columns[0])
-        if self.held > HELD:
+        if self.held > self.most:
             self.merge()
 
     def merge(self) -> None:
@@ -189,13 +189,13 @@ def _in(names: np.ndarray, values: np.ndarray) -> np.ndarray:
     return names[np.minimum(np.searchsorted(names, values), len(names) - 1)] == values
 
 
-def _stripes_of(m: int, shared):
+def _stripes_of(m: int, shared, most: int):
     """Stripes of the prefixes of ``m`` words that may be part of a frequent phrase."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filters, wide = shared.value
         known: dict[str, int] = {}
-        stripes = _Stripes(m)
+        stripes = _Stripes(m, most)
         for batch in batches:
             for part in slices(batch, "text", SLICE):
                 t = _Text(part, known)
@@ -216,7 +216,7 @@ def _stripes_of(m: int, shared):
                 follows[: n - m] = t.same[m - 1 : n - 1] & good[1 : n - m + 1]
                 nexts = np.where(follows[at], t.hash[np.minimum(at + m, n - 1)], U64(0))
                 stripes.add([phrase[at], t.lang[at], *(t.hash[at + i] for i in range(m)), nexts, np.ones(len(at), dtype=np.int64)])
-                if stripes.held > HELD // 2:
+                if stripes.held > most // 2:
                     yield from stripes.batches(list(known), wide)
         yield from stripes.batches(list(known), wide)
 
@@ -258,7 +258,7 @@ def mined(docs: DataFrame, least: int = LEAST, percent: int = PERCENT, longest:
         filters.append(_filter(frequent, m - 1))
         shared = spark.sparkContext.broadcast((list(filters), _wide(frequent.withColumnRenamed("next", f"p{m}"), m, n)))
         kinds = "".join(f"p{i} long, " for i in range(1, m + 1))
-        stripes = slim.mapInArrow(_stripes_of(m, shared), f"lang string, {kinds}part int, nexts array<long>, counts array<long>")
+        stripes = slim.mapInArrow(_stripes_of(m, shared, HELD), f"lang string, {kinds}part int, nexts array<long>, counts array<long>")
         level = cut(merged(stripes, m, least))
         prefix = [f"p{i}" for i in range(1, m + 1)]
         frequent = level.filter("next <> 0")

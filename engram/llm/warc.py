@@ -41,8 +41,8 @@ from engram.llm.session import cut, shared_folder
 ARCHIVE_BYTES = 1 << 30
 #: Records that are read at once lie at most ``GAP`` bytes apart and fill at most ``RANGE`` bytes.
 GAP, RANGE = 64 << 10, 8 << 20
-#: Bytes of an archive that one unit of reading deals with.
-STRETCH = 64 << 20
+#: Bytes of an archive that one task of reading is meant to get.
+STRETCH = 16 << 20
 #: Rows that a task turns into Python objects at once.
 ROWS = 64
 #: A page has no time of its own.
@@ -161,7 +161,7 @@ def planned(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     return both.unionByName(small) if least_bytes > 0 else both
 
 
-def _writer(folder: str):
+def _writer(folder: str, most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, root = opened(folder)
         stream, name, at = None, "", 0
@@ -169,7 +169,7 @@ def _writer(folder: str):
             for batch in batches:
                 rows = []
                 for row in (r for k in range(0, batch.num_rows, ROWS) for r in batch.slice(k, ROWS).to_pylist()):
-                    if stream is None or at >= ARCHIVE_BYTES:
+                    if stream is None or at >= most:
                         if stream is not None:
                             stream.close()
                         name, at = f"{uuid.uuid4().hex}.warc.gz", 0
@@ -195,7 +195,7 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0) -> DataF
     folder = folder.rstrip("/")
     files, root = opened(folder)
     files.create_dir(f"{root}/archives", recursive=True)
-    index = planned(pages, least_bytes).mapInArrow(_writer(f"{folder}/archives"), INDEX)
+    index = planned(pages, least_bytes).mapInArrow(_writer(f"{folder}/archives", ARCHIVE_BYTES), INDEX)
     index.write.parquet(f"{folder}/index")
     return pages.sparkSession.read.schema(INDEX).parquet(f"{folder}/index")
 
@@ -247,7 +247,8 @@ def read_records(index: DataFrame, with_payload: bool = True) -> DataFrame:
     """The records that the rows of ``index`` name (page_id, url, payload_bytes, payload_digest,
     record_type, refers_to, payload; a revisit's payload is null)."""
     stretch = F.floor(F.col("offset") / STRETCH)
-    dealt = index.select("file", "offset", "length", stretch.alias("stretch")).repartition("file", "stretch").sortWithinPartitions("file", "offset")
+    total = index.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]  # an index is small, what it points to is not
+    dealt = index.select("file", "offset", "length", stretch.alias("stretch")).repartition(total // STRETCH + 1, "file", "stretch").sortWithinPartitions("file", "offset")
     return dealt.select("file", "offset", "length").mapInArrow(_reader(with_payload), RECORDS)
 
 
