@@ -15,8 +15,8 @@ A phrase that is frequent enough has frequent parts only.  So a task leaves a pr
 a next word, that can't be part of one to the common counter: frequent phrases of a
 level set a bit of a filter of fixed size (``BITS``), which travels to the tasks of the next one.
 The filter lets some others through, never the other way round, so counts are exact.
-Where prefixes are wide (at most ``WIDE`` of them, by their share of all words) the
-stripe is dealt into parts by its next words, so no task gets all of it.
+Stripes whose prefixes begin alike travel as one row.  Where these occur more than ``QUOTA``
+times, they are dealt into parts by their next words, so what a task adds up at once is bounded.
 
 Scores are integers of exact decimals.  Words are known by 64-bit hashes until the
 phrases that are returned get their words back.
@@ -45,10 +45,10 @@ LONGEST = 4
 LEAST, PERCENT, TOP, FACTOR = 30, 80, 2000, 2_000_000
 #: Bits of the filter of a level: 8 MB, however many phrases are frequent.
 BITS = 1 << 26
-#: A prefix that makes up this part of all words is dealt into ``PARTS``; there are at most ``WIDE`` of them.
-WIDE, PARTS = 10_000, 64
+#: Occurrences of a key from which on its stripes are dealt into parts by their next words.
+QUOTA = 4_000_000
 #: Bytes of text and entries of stripes that a task holds at once.
-SLICE, HELD = 8 << 20, 1_500_000
+SLICE, HELD = 4 << 20, 2_000_000
 #: Where pieces end, and what words are made of.
 IS_BREAK = np.zeros(256, dtype=bool)
 IS_BREAK[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
@@ -148,49 +148,65 @@ def _passes(filter_bits: np.ndarray, phrase: np.ndarray) -> np.ndarray:
 
 
 class _Stripes:
-    """Counters of (lang, prefix, next), added up as they come."""
+    """Counters of (lang, prefix, next), added up as they come.  Prefixes that differ in their last
+    word alone share a row, so what they begin with (``key``) is sent once."""
 
     def __init__(self, m: int, most: int = HELD):
         self.m, self.most, self.parts, self.held = m, most, [], 0
 
     def add(self, columns: list[np.ndarray]) -> None:
+        """Columns: hash of the key, lang, p1 .. p{m}, next, count."""
         self.parts.append(columns)
         self.held += len(columns[0])
         if self.held > self.most:
             self.merge()
 
     def merge(self) -> None:
-        """Equal entries become one.  Rows sort by prefix, then by part and next word; a clash of
-        sort keys leaves an entry in two pieces, which meet later."""
-        prefix, *columns, count = (np.concatenate(c) for c in zip(*self.parts, strict=True))
-        order = np.argsort(prefix & ~U64(0xFFFFFF) | columns[-1] & U64(0xFFFFFF))
+        """Equal entries become one.  Rows sort by key, then by the bits of the next word that make up
+        parts; a clash of sort keys leaves an entry in two pieces, which meet later."""
+        key, *columns, count = (np.concatenate(c) for c in zip(*self.parts, strict=True))
+        last, nexts = columns[-2], columns[-1]
+        order = np.argsort(key & ~U64(0xFFFFFF) | nexts & U64(0xFFFF00) | (mix(last) ^ nexts) & U64(0xFF))
         head = _heads([c[order] for c in columns])
-        self.parts = [[prefix[order[head]], *(c[order[head]] for c in columns), np.add.reduceat(count[order], head)]]
+        self.parts = [[key[order[head]], *(c[order[head]] for c in columns), np.add.reduceat(count[order], head)]]
         self.held = len(head)
 
-    def batches(self, langs: list[str], wide: np.ndarray) -> Iterator[pa.RecordBatch]:
-        """A row for each prefix and part."""
+    def batches(self, langs: list[str], wide: tuple[np.ndarray, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        """A row for each key and part."""
         if not self.held:
             return
         self.merge()
-        (prefix, lang, *ps, nexts, count), self.parts, self.held = self.parts[0], [], 0
-        part = np.where(_in(wide, prefix), (nexts >> U64(18)) & U64(PARTS - 1), U64(0)).astype(np.int32)  # the bits that rows are sorted by
-        head = _heads([lang, *ps, part])
+        (key, lang, *ps, nexts, count), self.parts, self.held = self.parts[0], [], 0
+        part = ((nexts & U64(0xFFFFFF)) >> (U64(24) - _bits(wide, key))).astype(np.int32)  # the bits that rows are sorted by
+        keys, last = (ps, None) if self.m == 1 else (ps[:-1], ps[-1])
+        head = _heads([lang, *keys, part])
         offsets = pa.array(np.append(head, len(lang)).astype(np.int32))
-        names = ["lang", *(f"p{i}" for i in range(1, self.m + 1)), "part", "nexts", "counts"]
-        columns = [pa.array(langs).take(pa.array(lang[head])), *(pa.array(p[head].view(np.int64)) for p in ps), pa.array(part[head])]
-        lists = [pa.ListArray.from_arrays(offsets, pa.array(v)) for v in (nexts.view(np.int64), count)]
-        yield from pa.Table.from_arrays([*columns, *lists], names=names).to_batches(max_chunksize=20_000)
+        columns = [pa.array(langs).take(pa.array(lang[head])), *(pa.array(p[head].view(np.int64)) for p in keys), pa.array(part[head])]
+        lists = [pa.ListArray.from_arrays(offsets, pa.array(v)) for v in (*([] if last is None else [last.view(np.int64)]), nexts.view(np.int64), count.astype(np.int32))]
+        yield from pa.Table.from_arrays([*columns, *lists], names=["lang", *_keys(self.m), "part", *_lists(self.m)]).to_batches(max_chunksize=20_000)
 
 
-def _in(names: np.ndarray, values: np.ndarray) -> np.ndarray:
+def _keys(m: int) -> list[str]:
+    """The columns of a row's key: the prefix without its last word, or the only word."""
+    return [f"p{i}" for i in range(1, max(m, 2))]
+
+
+def _lists(m: int) -> list[str]:
+    return ["nexts", "counts"] if m == 1 else ["lasts", "nexts", "counts"]
+
+
+def _bits(wide: tuple[np.ndarray, np.ndarray], key: np.ndarray) -> np.ndarray:
+    """The bits that tell the parts of each key."""
+    names, bits = wide
     if not len(names):
-        return np.zeros(len(values), dtype=bool)
-    return names[np.minimum(np.searchsorted(names, values), len(names) - 1)] == values
+        return np.zeros(len(key), dtype=U64)
+    at = np.minimum(np.searchsorted(names, key), len(names) - 1)
+    return np.where(names[at] == key, bits[at], U64(0))
 
 
-def _stripes_of(m: int, shared, most: int):
-    """Stripes of the prefixes of ``m`` words that may be part of a frequent phrase."""
+def _stripes_of(m: int, shared, most: int, sums: bool):
+    """Stripes of the prefixes of ``m`` words that may be part of a frequent phrase; without
+    ``sums`` only their entries, as the prefix's own count is known."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filters, wide = shared.value
@@ -203,19 +219,23 @@ def _stripes_of(m: int, shared, most: int):
                 if not n:
                     continue
                 phrase, fits = _grown(t.seed, t.hash), np.ones(n, dtype=bool)
+                key = phrase
                 good = _passes(filters[0], phrase)
                 for i in range(1, m):  # the phrase that begins here, one word longer
+                    key = phrase
                     fits[: n - i] &= t.same[i - 1 : n - 1]
                     fits[n - i :] = False
-                    phrase[: n - i] = _grown(phrase[: n - i], t.hash[i:])
+                    phrase = np.concatenate([_grown(phrase[: n - i], t.hash[i:]), phrase[n - i :]])
                     good = good & fits & _passes(filters[i], phrase)
                 at = np.flatnonzero(good)
+                follows = np.zeros(n, dtype=bool)
+                follows[: max(n - m, 0)] = t.same[m - 1 : n - 1] & good[1 : n - m + 1]
+                if not sums:
+                    at = at[follows[at]]
                 if not len(at):
                     continue
-                follows = np.zeros(n, dtype=bool)
-                follows[: n - m] = t.same[m - 1 : n - 1] & good[1 : n - m + 1]
                 nexts = np.where(follows[at], t.hash[np.minimum(at + m, n - 1)], U64(0))
-                stripes.add([phrase[at], t.lang[at], *(t.hash[at + i] for i in range(m)), nexts, np.ones(len(at), dtype=np.int64)])
+                stripes.add([key[at], t.lang[at], *(t.hash[at + i] for i in range(m)), nexts, np.ones(len(at), dtype=np.int64)])
                 if stripes.held > most // 2:
                     yield from stripes.batches(list(known), wide)
         yield from stripes.batches(list(known), wide)
@@ -223,24 +243,77 @@ def _stripes_of(m: int, shared, most: int):
     return run
 
 
-def _wide(totals: DataFrame, m: int, n: int) -> np.ndarray:
-    """Hashes of the prefixes (lang, p1 .. p{m}, f) that make up a ``WIDE``-th of all ``n`` words: at most ``WIDE``."""
-    rows = totals.filter(F.col("f") * WIDE >= n).drop("f").toArrow()
-    out = np.array([_seed(x) for x in rows.column("lang").to_pylist()], dtype=U64)
-    for i in range(1, m + 1):
-        out = _grown(out, rows.column(f"p{i}").to_numpy().view(U64))
-    return np.unique(out)
+def _wide(totals: DataFrame, words: int, quota: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the keys (lang, p1 .. p{words}, f) that occur more than ``quota`` times, and the bits that
+    tell their parts, so that no part of a key is much more.  At most one key for each ``quota`` words of the corpus."""
+    rows = totals.filter(F.col("f") > quota).toArrow()
+    key = np.array([_seed(x) for x in rows.column("lang").to_pylist()], dtype=U64)
+    for i in range(1, words + 1):
+        key = _grown(key, rows.column(f"p{i}").to_numpy().view(U64))
+    order = np.argsort(key)
+    bits = np.ceil(np.log2(np.maximum(rows.column("f").to_numpy() / quota, 1))).clip(0, 16)
+    return key[order], bits[order].astype(U64)
+
+
+def _adder(m: int, least: int, most: int):
+    """Adds up stripes, which come sorted by key and part, element by element: the entries of at
+    least ``least``, and what is left of each prefix as one with ``next`` 0."""
+    keys, lists = _keys(m), _lists(m)
+    names = ["lang", *(f"p{i}" for i in range(1, m + 1)), "next", "f"]
+
+    def added(columns: list[np.ndarray]) -> list[np.ndarray]:
+        """Equal entries (run of equal keys, last, next) as one; sorted by them."""
+        *ids, count = columns
+        order = np.lexsort(ids[::-1])
+        head = _heads([c[order] for c in ids])
+        return [*(c[order[head]] for c in ids), np.add.reduceat(count[order], head)]
+
+    def told(held: list[np.ndarray], rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        run, *lasts, nexts, count = held
+        often = (count >= least) & (nexts != 0)
+        nexts = np.where(often, nexts, 0)
+        run, *lasts, nexts, count = added([run, *lasts, nexts, count])
+        of = pa.array(run)
+        columns = [rows.column("lang").take(of), *(rows.column(k).take(of) for k in keys), *(pa.array(x) for x in lasts), pa.array(nexts), pa.array(count)]
+        yield from pa.Table.from_arrays(columns, names=names).to_batches()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: pa.Table | None = None  # the keys of the runs that are held
+        held: list[np.ndarray] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            new = pa.Table.from_batches([batch.select(["lang", *keys, "part"])])
+            rows = new if rows is None else pa.concat_tables([rows, new]).combine_chunks()
+            coded = [rows.column("lang").combine_chunks().dictionary_encode().indices.to_numpy(), *(rows.column(c).to_numpy() for c in (*keys, "part"))]
+            head = _heads(coded)
+            number = np.zeros(len(rows), dtype=np.int64)
+            number[head] = 1
+            number = np.cumsum(number) - 1
+            size = np.diff(batch.column(lists[0]).offsets.to_numpy())
+            flat = [np.repeat(number[-batch.num_rows :], size), *(batch.column(c).flatten().to_numpy().astype(np.int64) for c in lists)]
+            held = [np.concatenate(c) for c in zip(held, flat, strict=True)] if held else flat
+            rows = rows.take(pa.array(head))
+            if len(held[0]) > most:
+                held = added(held)
+                done = held[0] < len(rows) - 1  # the last key may go on
+                if done.any():
+                    yield from told([c[done] for c in held], rows)
+                    held = [c[~done] for c in held]
+                    held[0] = held[0] * 0
+                    rows = rows.slice(len(rows) - 1)
+        if rows is not None:
+            yield from told(added(held), rows)
+
+    return run
 
 
 def merged(stripes: DataFrame, m: int, least: int) -> DataFrame:
     """Stripes added up element by element: (lang, p1 .. p{m}, next, f), with the entries below
-    ``least`` as one for each prefix and part, ``next`` 0.  One shuffle, by prefix and part."""
-    prefix = ["lang", *(f"p{i}" for i in range(1, m + 1))]
-    met = stripes.repartition(*prefix, "part")
-    entries = met.select(*prefix, "part", F.explode(F.arrays_zip("nexts", "counts")).alias("e"))
-    entries = entries.groupBy(*prefix, "part", F.col("e.nexts").alias("next")).agg(F.sum("e.counts").alias("f"))
-    kept = F.when(F.col("f") >= least, F.col("next")).otherwise(F.lit(0))
-    return entries.groupBy(*prefix, "part", kept.alias("next")).agg(F.sum("f").alias("f")).drop("part")
+    ``least`` as one for each prefix and part, ``next`` 0.  One shuffle, by key and part."""
+    by = ["lang", *_keys(m), "part"]
+    kinds = "".join(f"p{i} long, " for i in range(1, m + 1))
+    return stripes.repartition(*by).sortWithinPartitions(*by).mapInArrow(_adder(m, least, HELD), f"lang string, {kinds}next long, f long")
 
 
 def mined(docs: DataFrame, least: int = LEAST, percent: int = PERCENT, longest: int = LONGEST) -> tuple[DataFrame, DataFrame]:
@@ -251,19 +324,22 @@ def mined(docs: DataFrame, least: int = LEAST, percent: int = PERCENT, longest:
     counted = slim.mapInArrow(_vocabulary, "lang string, h long, word string, f long").groupBy("lang", "h", "word").agg(F.sum("f").alias("f"))
     often = F.col("f") >= least
     vocabulary = cut(counted.groupBy("lang", F.when(often, F.col("h")).otherwise(0).alias("h"), F.when(often, F.col("word")).alias("word")).agg(F.sum("f").alias("f")))
-    n = vocabulary.agg(F.coalesce(F.sum("f"), F.lit(0))).first()[0]
     frequent = vocabulary.filter("h <> 0").select("lang", F.col("h").alias("next"), "f")
     filters, phrases, totals = [], [], []
+    keyed = frequent.withColumnRenamed("next", "p1")
     for m in range(1, longest):
         filters.append(_filter(frequent, m - 1))
-        shared = spark.sparkContext.broadcast((list(filters), _wide(frequent.withColumnRenamed("next", f"p{m}"), m, n)))
-        kinds = "".join(f"p{i} long, " for i in range(1, m + 1))
-        stripes = slim.mapInArrow(_stripes_of(m, shared, HELD), f"lang string, {kinds}part int, nexts array<long>, counts array<long>")
+        shared = spark.sparkContext.broadcast((list(filters), _wide(keyed, max(m - 1, 1), QUOTA)))
+        last = m == longest - 1  # prefixes of this size are phrases of the level before, counted there
+        words_of = "".join(f"{p} long, " for p in _keys(m))
+        stripes = slim.mapInArrow(_stripes_of(m, shared, HELD, not last), f"lang string, {words_of}part int, {', '.join(f'{c} array<{'int' if c == 'counts' else 'long'}>' for c in _lists(m))}")
         level = cut(merged(stripes, m, least))
         prefix = [f"p{i}" for i in range(1, m + 1)]
         frequent = level.filter("next <> 0")
+        keyed = keyed if m == 1 else frequent_before
+        frequent_before = frequent.withColumnRenamed("next", f"p{m + 1}")
         phrases.append(frequent.select("lang", F.array(*prefix, "next").alias("w"), F.col("f").alias("a")))
-        totals.append(level.groupBy("lang", F.array(*prefix).alias("w")).agg(F.sum("f").alias("f")))
+        totals.append(level.groupBy("lang", F.array(*prefix).alias("w")).agg(F.sum("f").alias("f")) if not last else phrases[-2].withColumnRenamed("a", "f") if m > 1 else vocabulary.filter("h <> 0").select("lang", F.array("h").alias("w"), "f"))
     candidates, total = reduce(DataFrame.unionByName, phrases), cut(reduce(DataFrame.unionByName, totals).filter(F.col("f") >= least))
 
     # What a phrase of one word more says of the two phrases in it; longer ones are never more frequent.
