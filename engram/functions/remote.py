@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from engram.providers import EmbeddingProvider, ProviderError
+from engram.providers import EmbeddingProvider, ProviderError, Reply
 
 REPLY = "struct<data:array<struct<embedding:array<double>>>,output_dimension:int,prompt_tokens:int,estimated_prompt_tokens:int,error:struct<message:string>>"
 UNKNOWN = "Unknown API error"
@@ -44,12 +44,16 @@ class JsonProvider(EmbeddingProvider):
             raise ProviderError("a remote provider needs a transport")
         self.transport, self.service = transport, service
 
-    def compute(self, texts: list[str]) -> list[list[float]]:
+    def compute(self, texts: list[str]) -> list[Reply]:
+        """A reply for each text.  A transport that raises is tried again by the caller; what the
+        service refuses is a reason of that text alone."""
         out = []
         for text in texts:
             request = {"provider": self.service, "model": self.model, "input": text, "strategy": {"type": "truncate"}}
-            reply = json.loads(self.transport(json.dumps(request, ensure_ascii=False)))
-            if not reply.get("data"):
-                raise ProviderError((reply.get("error") or {}).get("message", UNKNOWN))
-            out.append(reply["data"][0]["embedding"])
+            said = json.loads(self.transport(json.dumps(request, ensure_ascii=False)))
+            used, asked = said.get("prompt_tokens") or 0, said.get("estimated_prompt_tokens") or 0
+            if said.get("data"):
+                out.append(Reply(said["data"][0]["embedding"], used, max(asked - used, 0)))
+            else:
+                out.append(Reply(None, reason=(said.get("error") or {}).get("message", UNKNOWN)))
         return out

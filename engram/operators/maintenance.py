@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from engram.schemas import OF_ENTRY
+
 Tables = dict[str, DataFrame]
 
 
@@ -23,12 +25,12 @@ def under_directory(path: Column, directory: str, legacy_like: bool = False) ->
 def without(tables: Tables, hashes: DataFrame) -> Tables:
     """The tables without the entries of ``hashes`` (hash) and all that belongs to them."""
     gone = hashes.select("hash").distinct()
-    return tables | {name: tables[name].join(gone, "hash", "left_anti") for name in ("fts", "vault", "content")}
+    return tables | {name: tables[name].join(gone, "hash", "left_anti") for name in OF_ENTRY if name in tables}
 
 
 def cleared(tables: Tables) -> Tables:
     """Empty content, chunks and index; settings and cache stay."""
-    return tables | {name: tables[name].limit(0) for name in ("fts", "vault", "content")}
+    return tables | {name: tables[name].limit(0) for name in (*OF_ENTRY, "totals") if name in tables}
 
 
 def upserted(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
@@ -80,17 +82,6 @@ def rebuild_plan(content: DataFrame, files: DataFrame) -> DataFrame:
     return both.withColumn("text", F.coalesce("file_text", "value")).drop("on_disk", "file_text")
 
 
-def topmost_folders(paths: DataFrame) -> DataFrame:
-    """(dir) of the absolute ``paths`` (path), without those that lie below another one."""
-    absolute = paths.filter(F.col("path").rlike("^(/|[A-Za-z][A-Za-z0-9+.-]*:/)"))
-    folders = absolute.select(F.regexp_replace("path", "/[^/]*$", "").alias("dir")).distinct()
-    parts = F.split("dir", "/")
-    above = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
-    with_above = folders.filter(F.size(parts) > 1).select("dir", F.explode(above).alias("above"))
-    nested = with_above.join(folders.select(F.col("dir").alias("above")), "above", "left_semi").select("dir").distinct()
-    return folders.join(nested, "dir", "left_anti")
-
-
 def token_statistics(index: DataFrame) -> DataFrame:
     """(context, chunks, tokens) of the text index."""
     return index.groupBy("context").agg(F.count("*").alias("chunks"), F.sum("dl").alias("tokens"))
