@@ -15,7 +15,7 @@ A phrase that is frequent enough has frequent parts only.  So a task leaves a pr
 a next word, that can't be part of one to the common counter: frequent phrases of a
 level set a bit of a filter of fixed size (``BITS``), which travels to the tasks of the next one.
 The filter lets some others through, never the other way round, so counts are exact.
-Stripes whose prefixes begin alike travel as one row.  Where these occur more than ``QUOTA``
+Stripes whose prefixes begin with the same word travel as one row.  Where this word occurs more than ``QUOTA``
 times, they are dealt into parts by their next words, so what a task adds up at once is bounded.
 
 Scores are integers of exact decimals.  Words are known by 64-bit hashes until the
@@ -148,8 +148,8 @@ def _passes(filter_bits: np.ndarray, phrase: np.ndarray) -> np.ndarray:
 
 
 class _Stripes:
-    """Counters of (lang, prefix, next), added up as they come.  Prefixes that differ in their last
-    word alone share a row, so what they begin with (``key``) is sent once."""
+    """Counters of (lang, prefix, next), added up as they come.  Prefixes of the same first word,
+    the key, share a row."""
 
     def __init__(self, m: int, most: int = HELD):
         self.m, self.most, self.parts, self.held = m, most, [], 0
@@ -165,8 +165,9 @@ class _Stripes:
         """Equal entries become one.  Rows sort by key, then by the bits of the next word that make up
         parts; a clash of sort keys leaves an entry in two pieces, which meet later."""
         key, *columns, count = (np.concatenate(c) for c in zip(*self.parts, strict=True))
-        last, nexts = columns[-2], columns[-1]
-        order = np.argsort(key & ~U64(0xFFFFFF) | nexts & U64(0xFFFF00) | (mix(last) ^ nexts) & U64(0xFF))
+        *inner, nexts = columns[2:]
+        told = reduce(_grown, inner, nexts)
+        order = np.argsort(key & ~U64(0xFFFFFF) | nexts & U64(0xFFFF00) | told & U64(0xFF))
         head = _heads([c[order] for c in columns])
         self.parts = [[key[order[head]], *(c[order[head]] for c in columns), np.add.reduceat(count[order], head)]]
         self.held = len(head)
@@ -178,21 +179,17 @@ class _Stripes:
         self.merge()
         (key, lang, *ps, nexts, count), self.parts, self.held = self.parts[0], [], 0
         part = ((nexts & U64(0xFFFFFF)) >> (U64(24) - _bits(wide, key))).astype(np.int32)  # the bits that rows are sorted by
-        keys, last = (ps, None) if self.m == 1 else (ps[:-1], ps[-1])
-        head = _heads([lang, *keys, part])
+        first, *inner = ps
+        head = _heads([lang, first, part])
         offsets = pa.array(np.append(head, len(lang)).astype(np.int32))
-        columns = [pa.array(langs).take(pa.array(lang[head])), *(pa.array(p[head].view(np.int64)) for p in keys), pa.array(part[head])]
-        lists = [pa.ListArray.from_arrays(offsets, pa.array(v)) for v in (*([] if last is None else [last.view(np.int64)]), nexts.view(np.int64), count.astype(np.int32))]
-        yield from pa.Table.from_arrays([*columns, *lists], names=["lang", *_keys(self.m), "part", *_lists(self.m)]).to_batches(max_chunksize=20_000)
-
-
-def _keys(m: int) -> list[str]:
-    """The columns of a row's key: the prefix without its last word, or the only word."""
-    return [f"p{i}" for i in range(1, max(m, 2))]
+        columns = [pa.array(langs).take(pa.array(lang[head])), pa.array(first[head].view(np.int64)), pa.array(part[head])]
+        lists = [pa.ListArray.from_arrays(offsets, pa.array(v)) for v in (*(p.view(np.int64) for p in inner), nexts.view(np.int64), count.astype(np.int32))]
+        yield from pa.Table.from_arrays([*columns, *lists], names=["lang", "p1", "part", *_lists(self.m)]).to_batches(max_chunksize=20_000)
 
 
 def _lists(m: int) -> list[str]:
-    return ["nexts", "counts"] if m == 1 else ["lasts", "nexts", "counts"]
+    """The columns of a row of stripes that hold a list, with an element for each entry."""
+    return [*(f"p{i}s" for i in range(2, m + 1)), "nexts", "counts"]
 
 
 def _bits(wide: tuple[np.ndarray, np.ndarray], key: np.ndarray) -> np.ndarray:
@@ -222,7 +219,6 @@ def _stripes_of(m: int, shared, most: int, sums: bool):
                 key = phrase
                 good = _passes(filters[0], phrase)
                 for i in range(1, m):  # the phrase that begins here, one word longer
-                    key = phrase
                     fits[: n - i] &= t.same[i - 1 : n - 1]
                     fits[n - i :] = False
                     phrase = np.concatenate([_grown(phrase[: n - i], t.hash[i:]), phrase[n - i :]])
@@ -243,13 +239,11 @@ def _stripes_of(m: int, shared, most: int, sums: bool):
     return run
 
 
-def _wide(totals: DataFrame, words: int, quota: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the keys (lang, p1 .. p{words}, f) that occur more than ``quota`` times, and the bits that
-    tell their parts, so that no part of a key is much more.  At most one key for each ``quota`` words of the corpus."""
-    rows = totals.filter(F.col("f") > quota).toArrow()
-    key = np.array([_seed(x) for x in rows.column("lang").to_pylist()], dtype=U64)
-    for i in range(1, words + 1):
-        key = _grown(key, rows.column(f"p{i}").to_numpy().view(U64))
+def _wide(words: DataFrame, quota: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the keys (lang, next, f) that occur more than ``quota`` times, and the bits that tell
+    their parts, so that no part of a key is much more.  At most one key for each ``quota`` words of the corpus."""
+    rows = words.filter(F.col("f") > quota).toArrow()
+    key = _grown(np.array([_seed(x) for x in rows.column("lang").to_pylist()], dtype=U64), rows.column("next").to_numpy().view(U64))
     order = np.argsort(key)
     bits = np.ceil(np.log2(np.maximum(rows.column("f").to_numpy() / quota, 1))).clip(0, 16)
     return key[order], bits[order].astype(U64)
@@ -258,23 +252,23 @@ def _wide(totals: DataFrame, words: int, quota: int) -> tuple[np.ndarray, np.nda
 def _adder(m: int, least: int, most: int):
     """Adds up stripes, which come sorted by key and part, element by element: the entries of at
     least ``least``, and what is left of each prefix as one with ``next`` 0."""
-    keys, lists = _keys(m), _lists(m)
+    lists = _lists(m)
     names = ["lang", *(f"p{i}" for i in range(1, m + 1)), "next", "f"]
 
     def added(columns: list[np.ndarray]) -> list[np.ndarray]:
-        """Equal entries (run of equal keys, last, next) as one; sorted by them."""
+        """Equal entries (run of equal keys, p2 .. , next) as one; sorted by them."""
         *ids, count = columns
         order = np.lexsort(ids[::-1])
         head = _heads([c[order] for c in ids])
         return [*(c[order[head]] for c in ids), np.add.reduceat(count[order], head)]
 
     def told(held: list[np.ndarray], rows: pa.Table) -> Iterator[pa.RecordBatch]:
-        run, *lasts, nexts, count = held
+        run, *inner, nexts, count = held
         often = (count >= least) & (nexts != 0)
         nexts = np.where(often, nexts, 0)
-        run, *lasts, nexts, count = added([run, *lasts, nexts, count])
+        run, *inner, nexts, count = added([run, *inner, nexts, count])
         of = pa.array(run)
-        columns = [rows.column("lang").take(of), *(rows.column(k).take(of) for k in keys), *(pa.array(x) for x in lasts), pa.array(nexts), pa.array(count)]
+        columns = [rows.column("lang").take(of), rows.column("p1").take(of), *(pa.array(x) for x in inner), pa.array(nexts), pa.array(count)]
         yield from pa.Table.from_arrays(columns, names=names).to_batches()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -283,9 +277,9 @@ def _adder(m: int, least: int, most: int):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            new = pa.Table.from_batches([batch.select(["lang", *keys, "part"])])
+            new = pa.Table.from_batches([batch.select(["lang", "p1", "part"])])
             rows = new if rows is None else pa.concat_tables([rows, new]).combine_chunks()
-            coded = [rows.column("lang").combine_chunks().dictionary_encode().indices.to_numpy(), *(rows.column(c).to_numpy() for c in (*keys, "part"))]
+            coded = [rows.column("lang").combine_chunks().dictionary_encode().indices.to_numpy(), *(rows.column(c).to_numpy() for c in ("p1", "part"))]
             head = _heads(coded)
             number = np.zeros(len(rows), dtype=np.int64)
             number[head] = 1
@@ -311,7 +305,7 @@ def _adder(m: int, least: int, most: int):
 def merged(stripes: DataFrame, m: int, least: int) -> DataFrame:
     """Stripes added up element by element: (lang, p1 .. p{m}, next, f), with the entries below
     ``least`` as one for each prefix and part, ``next`` 0.  One shuffle, by key and part."""
-    by = ["lang", *_keys(m), "part"]
+    by = ["lang", "p1", "part"]
     kinds = "".join(f"p{i} long, " for i in range(1, m + 1))
     return stripes.repartition(*by).sortWithinPartitions(*by).mapInArrow(_adder(m, least, HELD), f"lang string, {kinds}next long, f long")
 
@@ -326,20 +320,21 @@ def mined(docs: DataFrame, least: int = LEAST, percent: int = PERCENT, longest:
     vocabulary = cut(counted.groupBy("lang", F.when(often, F.col("h")).otherwise(0).alias("h"), F.when(often, F.col("word")).alias("word")).agg(F.sum("f").alias("f")))
     frequent = vocabulary.filter("h <> 0").select("lang", F.col("h").alias("next"), "f")
     filters, phrases, totals = [], [], []
-    keyed = frequent.withColumnRenamed("next", "p1")
+    wide = _wide(frequent, QUOTA)
     for m in range(1, longest):
         filters.append(_filter(frequent, m - 1))
-        shared = spark.sparkContext.broadcast((list(filters), _wide(keyed, max(m - 1, 1), QUOTA)))
+        shared = spark.sparkContext.broadcast((list(filters), wide))
         last = m == longest - 1  # prefixes of this size are phrases of the level before, counted there
-        words_of = "".join(f"{p} long, " for p in _keys(m))
-        stripes = slim.mapInArrow(_stripes_of(m, shared, HELD, not last), f"lang string, {words_of}part int, {', '.join(f'{c} array<{'int' if c == 'counts' else 'long'}>' for c in _lists(m))}")
+        lists = ", ".join(f"{c} array<{'int' if c == 'counts' else 'long'}>" for c in _lists(m))
+        stripes = slim.mapInArrow(_stripes_of(m, shared, HELD, not last), f"lang string, p1 long, part int, {lists}")
         level = cut(merged(stripes, m, least))
         prefix = [f"p{i}" for i in range(1, m + 1)]
         frequent = level.filter("next <> 0")
-        keyed = keyed if m == 1 else frequent_before
-        frequent_before = frequent.withColumnRenamed("next", f"p{m + 1}")
         phrases.append(frequent.select("lang", F.array(*prefix, "next").alias("w"), F.col("f").alias("a")))
-        totals.append(level.groupBy("lang", F.array(*prefix).alias("w")).agg(F.sum("f").alias("f")) if not last else phrases[-2].withColumnRenamed("a", "f") if m > 1 else vocabulary.filter("h <> 0").select("lang", F.array("h").alias("w"), "f"))
+        if not last:
+            totals.append(level.groupBy("lang", F.array(*prefix).alias("w")).agg(F.sum("f").alias("f")))
+    before = phrases[-2].withColumnRenamed("a", "f") if longest > 2 else vocabulary.filter("h <> 0").select("lang", F.array("h").alias("w"), "f")
+    totals.append(before)
     candidates, total = reduce(DataFrame.unionByName, phrases), cut(reduce(DataFrame.unionByName, totals).filter(F.col("f") >= least))
 
     # What a phrase of one word more says of the two phrases in it; longer ones are never more frequent.
