@@ -15,9 +15,13 @@ from engram.functions.remote import parse_reply, request_json
 from engram.functions.text import byte_slice, clean_query, has_extension, tokens
 from engram.functions.vectors import cosine_distance, l2_normalize, norm
 from engram.operators import fulltext, hybrid, maintenance
+from engram.operators import postings
+from engram.operators.maxscore import maxscore
+from engram.operators.postings import unpacked
 from engram.operators.sync import sync_plan as make_sync_plan
 from engram.operators.vector import vector_topk as nearest
 from engram.memory import Memory
+from engram.providers import EmbeddingProvider, Reply, register_provider
 from engram.plans.catalog import CACHE_SQL, CONTENT_SQL, cache, content, fts, table, vault, vector_queries
 from engram.session import shared_folder
 
@@ -218,6 +222,38 @@ def boolean_ranked(spark: SparkSession, sf: str) -> DataFrame:
     return fulltext.bm25_search(fulltext.indexed(fts(spark, sf)), ["the and NOT was OR of_the"], K).select("hash", "seq", "rank")
 
 
+def stored_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    """The inverted index of all documents, written to the shared folder and read from there."""
+    folder = f"{shared_folder(spark).rstrip('/')}/index-{uuid.uuid4().hex}"
+    postings.blocked(fulltext.indexed(fts(spark, sf))).write.parquet(folder)
+    return spark.read.parquet(folder)
+
+
+@query(f"select query_id, hash, round(rank, 6) as rank, position::int as position from {_ANY} t")
+def postings_any(spark: SparkSession, sf: str) -> DataFrame:
+    """The best texts from a stored index, without scoring every match."""
+    totals = fulltext.corpus_statistics(fulltext.indexed(fts(spark, sf)))
+    best = maxscore(stored_blocks(spark, sf), None, totals, text_queries(spark, sf), K).best
+    return best.select("query_id", "hash", F.round("rank", 6).alias("rank"), "position")
+
+
+@query(ORACLES["boolean_ranked"])
+def postings_boolean(spark: SparkSession, sf: str) -> DataFrame:
+    """A phrase, AND, OR and NOT from a stored index, of which the words' blocks alone are read."""
+    asked = ["the and NOT was OR of_the"]
+    found = unpacked(stored_blocks(spark, sf).filter(F.col("term").isin(fulltext.words_of(asked))))
+    totals = fulltext.corpus_statistics(fulltext.indexed(fts(spark, sf)))
+    return fulltext.rank_queries(found, totals, asked, K).select("hash", "seq", "rank")
+
+
+@query("select term, count(*) as df, sum(tf)::bigint as total, sum(places)::bigint as places from (select doc_id, w as term, count(*) as tf, sum(i) as places from (select doc_id, unnest(w) as w, generate_subscripts(w, 1) - 1 as i from (select doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') as w from documents)) group by all) group by term")
+def postings_places(spark: SparkSession, sf: str) -> DataFrame:
+    """Every word of a stored index: texts, occurrences, and the sum of their places."""
+    rows = unpacked(stored_blocks(spark, sf))
+    places = F.aggregate("positions", F.lit(0).cast("long"), lambda a, x: a + x)
+    return rows.groupBy("term").agg(F.count("*").alias("df"), F.sum(F.col("tf").cast("long")).alias("total"), F.sum(places).alias("places"))
+
+
 # Hybrid search
 
 _FUSED = f"""(with v as materialized (select query_id, hash, distance from {_NEAR_TOP} x), t as materialized (select query_id, hash, rank, text_score from {_NORMAL} x),
@@ -506,9 +542,9 @@ def ingest_chunks(spark: SparkSession, sf: str) -> DataFrame:
     config = MemoryConfig(provider="hashing", model="64")
     docs = table(spark, sf, "conversations").select("text", F.col("conv_id").cast("string").alias("context"), F.concat_ws("/", "conv_id", "turn").alias("path"))
     rows = ingest.unseen(ingest.prepared(docs), spark.createDataFrame([], SCHEMAS["content"]))
-    pieces = ingest.chunked(rows, config)
-    keyed, vectors = ingest.embedded(pieces, spark.createDataFrame([], SCHEMAS["cache"]), config)
-    return keyed.join(vectors, "text_hash").select("hash", "seq", "context", "offset", "length", F.size("embedding").alias("dimension"))
+    pieces = ingest.keyed(ingest.chunked(rows, config))
+    vectors = ingest.answered(ingest.looked_up(pieces, spark.createDataFrame([], SCHEMAS["cache"]), config), config).select("text_hash", "embedding")
+    return pieces.join(vectors, "text_hash").select("hash", "seq", "context", "offset", "length", F.size("embedding").alias("dimension"))
 
 
 @query("select text_md5, copies from (select md5(text) as text_md5, count(*) as copies from conversations where text is not null and text <> '' group by text) x")
@@ -522,6 +558,79 @@ def ingest_dedup(spark: SparkSession, sf: str) -> DataFrame:
 # The memory itself
 
 
+class NumberProvider(EmbeddingProvider):
+    """Vectors that SQL can make too: a text that begins ``doc 7 `` points to (1, 0.08), any other to
+    (1, 0).  A text with ``refused`` gets a reason, one with ``broken`` an error each time."""
+
+    def __init__(self, model: str, refused: str = "\0", broken: str = "\0", **settings: object):
+        super().__init__(model)
+        self.refused, self.broken = refused, broken
+
+    def compute(self, texts: list[str]) -> list[Reply]:
+        if any(self.broken in t for t in texts):
+            raise ConnectionError("no answer")
+        number = lambda t: (int(t.split(" ", 2)[1]) + 1) / 100 if t.startswith("doc ") else 0.0
+        return [Reply(None, reason="refused") if self.refused in t else Reply([1.0, number(t)], len(t), 1) for t in texts]
+
+
+register_provider("number", NumberProvider)
+
+
+def _numbered_memory(spark: SparkSession, sf: str, **settings: object) -> tuple[Memory, DataFrame]:
+    """A memory for all documents as words after their number, a chunk each."""
+    words = F.array_join(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0)), " ")
+    docs = table(spark, sf, "documents").select(F.concat(F.lit("doc "), F.col("doc_id").cast("string"), F.lit(" "), words).alias("text"), F.concat(F.lit("/d/"), F.col("doc_id").cast("string")).alias("path"), F.col("source").alias("context"))
+    memory = Memory(spark, f"{shared_folder(spark).rstrip('/')}/memory-{uuid.uuid4().hex}", **settings)
+    memory.set_model("number", "1")
+    memory.set_option("max_tokens", 100_000_000)
+    return memory, docs
+
+
+_NUMBERED = "(select doc_id, source as context, 'doc ' || doc_id || ' ' || array_to_string(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+'), ' ') as text from documents)"
+#: Queries of the row ``memory_search``, and for each its phrases and the condition on their counts.
+MEMORY_QUERIES = ["the OR and OR in", "of the", "of_the NOT was"]
+_COUNT = "len(list_filter(w, lambda x: x = '{}'))"
+_PHRASE = "len(list_filter(range(1, len(w)), lambda i: w[i] = 'of' and w[i + 1] = 'the'))"
+_MEMORY_SQL = f"""(with t as (select doc_id, context, text, regexp_extract_all(text, '[a-z0-9]+') as w from {_NUMBERED}),
+  c as materialized (select doc_id, context, strlen(text) as size, len(w) as dl, {_COUNT.format('the')} as the, {_COUNT.format('and')} as a, {_COUNT.format('in')} as i, {_COUNT.format('of')} as o, {_COUNT.format('was')} as was, {_PHRASE} as p from t),
+  q as (select doc_id, dl, 0 as query_id, unnest([the, a, i]) as tf, unnest(['the', 'and', 'in']) as name, the + a + i > 0 as ok from c
+    union all select doc_id, dl, 1, unnest([the, o]), unnest(['the', 'of']), the > 0 and o > 0 from c union all select doc_id, dl, 2, p, 'p', p > 0 and was = 0 from c),
+  df as (select query_id, name, count(*) as df from q where tf > 0 group by all), s as (select count(*) as n, avg(dl) as mean from c),
+  r as (select query_id, doc_id, round(sum(-greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / mean))), 9) as rank from q join df using (query_id, name), s where tf > 0 and ok group by all),
+  x as (select query_id, doc_id, case when max(rank) over g = min(rank) over g then 1.0 else (max(rank) over g - rank) / (max(rank) over g - min(rank) over g) end as text_score from r window g as (partition by query_id)),
+  v as (select query_id, doc_id, 1 / (2 - 1 / sqrt(1 + y * y)) as score from (select unnest([0, 1, 2]) as query_id, doc_id, ((doc_id + 1) / 100)::float::double as y from c))
+  select v.query_id, '/d/' || doc_id as path, c.context, c.size, case when text_score is null then score else 0.6 * score + 0.4 * text_score end as ranking from v left join x using (query_id, doc_id) join c using (doc_id))"""
+
+
+@query(f"select query_id, path, context, size::int as size, round(ranking, 6) as ranking from {_MEMORY_SQL} m where round(ranking, 9) >= 0.6")
+def memory_search(spark: SparkSession, sf: str) -> DataFrame:
+    """``Memory.search`` itself: all documents added in two changes, some deleted and added again,
+    three text queries over the stored postings, fused with vectors, snippets looked up."""
+    memory, docs = _numbered_memory(spark, sf)
+    memory.set_option("min_score", 0.6)
+    half = F.crc32(F.col("path").cast("binary")) % 2 == 0
+    memory.add_texts(docs.filter(half))
+    memory.add_texts(docs.filter(~half))
+    memory.delete_context("src3")
+    memory.add_texts(docs)
+    found = memory.search(MEMORY_QUERIES, max_entries=1 << 30, record_access=False)
+    return found.select("query_id", "path", "context", F.length("snippet").alias("size"), F.round("ranking", 6).alias("ranking"))
+
+
+@query(f"""with t as (select *, contains(text, ' der ') as broken, contains(text, ' the ') as refused from {_NUMBERED})
+  select case when broken then 'ConnectionError: no answer' when refused then 'refused' else 'stored' end as reason, case when broken then 3 else 1 end as attempts, count(*) as entries,
+    sum(case when broken or refused then 0 else strlen(text) end)::bigint as tokens from t group by all""")
+def memory_errors(spark: SparkSession, sf: str) -> DataFrame:
+    """A provider that refuses some texts and fails for others: all others are stored, and reasons,
+    attempts and tokens are told."""
+    memory, docs = _numbered_memory(spark, sf, refused=" the ", broken=" der ")
+    memory.add_texts(docs)
+    kept = memory.tables["content"].agg(F.count("*").alias("entries")).crossJoin(F.broadcast(memory.token_usage().select("tokens")))  # one row each
+    errors = memory.errors().groupBy("reason", "attempts").agg(F.count("*").alias("entries"))
+    told = errors.select("reason", "attempts", "entries", F.lit(0).cast("long").alias("tokens"))
+    return told.unionByName(kept.select(F.lit("stored").alias("reason"), F.lit(1).alias("attempts"), "entries", "tokens").filter("entries > 0"))
+
+
 @query("select coalesce(context, '(none)') as context, count(*) as entries, sum(strlen(body))::bigint as bytes, true as indexed, true as again from (select source as context, text || ' number ' || doc_id as body from documents where text is not null) x where context is distinct from 'src3' group by 1")
 def memory_ingest(spark: SparkSession, sf: str) -> DataFrame:
     """Every document through the memory's API: added, added again without effect, one
