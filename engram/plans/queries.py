@@ -19,11 +19,12 @@ from engram.operators import postings
 from engram.operators.maxscore import maxscore
 from engram.operators.postings import unpacked
 from engram.operators.sync import sync_plan as make_sync_plan
+from engram.operators.vector import fit_pivots, in_cells, joined_topk, pivot_topk
 from engram.operators.vector import vector_topk as nearest
 from engram.memory import Memory
 from engram.providers import EmbeddingProvider, Reply, register_provider
 from engram.plans.catalog import CACHE_SQL, CONTENT_SQL, cache, content, fts, table, vault, vector_queries
-from engram.session import shared_folder
+from engram.session import cut, shared_folder
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -119,6 +120,23 @@ def vector_topk_context(spark: SparkSession, sf: str) -> DataFrame:
     return nearest(vault(spark, sf).join(allowed, "hash", "left_semi"), vector_queries(spark, sf), K).select("query_id", "hash", F.round("distance", 6).alias("distance"), "position")
 
 
+@query(f"select query_id, hash, round(distance, 6) as distance, position::int as position from {_NEAR_TOP} t")
+def vector_topk_pivots(spark: SparkSession, sf: str) -> DataFrame:
+    """The same from rows in cells, of which those that can't hold a neighbour are left out."""
+    rows = vault(spark, sf)
+    pivots = fit_pivots(rows)
+    found = pivot_topk(cut(in_cells(rows, pivots)), pivots, vector_queries(spark, sf), K).best
+    return found.select("query_id", "hash", F.round("distance", 6).alias("distance"), "position")
+
+
+@query(f"select query_id, hash, round(distance, 6) as distance, position::int as position from {_NEAR_TOP.replace('q.vec_id % 50 = 0', 'true').replace(f'<= {K}', '<= 3')} t")
+def vector_topk_all(spark: SparkSession, sf: str) -> DataFrame:
+    """The three nearest of every vector: as many queries as rows, a join of blocks."""
+    rows = vault(spark, sf)
+    asked = rows.select(F.col("hash").alias("query_id"), "embedding")
+    return joined_topk(rows, asked, 3, asked.count()).select("query_id", "hash", F.round("distance", 6).alias("distance"), "position")
+
+
 @query("select vec_id as hash, round(sqrt(list_sum(list_transform(embedding, lambda x: x::double * x::double))), 6) as length, round(embedding[1]::double / sqrt(list_sum(list_transform(embedding, lambda x: x::double * x::double))), 6) as first_value from embeddings")
 def l2_normalise(spark: SparkSession, sf: str) -> DataFrame:
     rows = vault(spark, sf)
