@@ -15,8 +15,9 @@ A phrase that is frequent enough has frequent parts only.  So a task leaves a pr
 a next word, that can't be part of one to the common counter: frequent phrases of a
 level set a bit of a filter of fixed size (``BITS``), which travels to the tasks of the next one.
 The filter lets some others through, never the other way round, so counts are exact.
-Stripes whose prefixes begin with the same word travel as one row.  Where this word occurs more than ``QUOTA``
-times, they are dealt into parts by their next words, so what a task adds up at once is bounded.
+Stripes of a bucket of first words travel as one row.  Where a first word occurs more than ``QUOTA``
+times, its stripes are dealt into parts by their next words; buckets are as many as the corpus
+needs.  So what a task adds up at once is bounded.
 
 Scores are integers of exact decimals.  Words are known by 64-bit hashes until the
 phrases that are returned get their words back.
@@ -45,8 +46,9 @@ LONGEST = 4
 LEAST, PERCENT, TOP, FACTOR = 30, 80, 2000, 2_000_000
 #: Bits of the filter of a level: 8 MB, however many phrases are frequent.
 BITS = 1 << 26
-#: Occurrences of a key from which on its stripes are dealt into parts by their next words.
-QUOTA = 4_000_000
+#: Occurrences of a key from which on its stripes are dealt into parts by their next words; words
+#: of the corpus for each bucket of keys.
+QUOTA, BUCKET = 4_000_000, 500_000
 #: Bytes of text and entries of stripes that a task holds at once.
 SLICE, HELD = 4 << 20, 2_000_000
 #: Where pieces end, and what words are made of.
@@ -148,11 +150,11 @@ def _passes(filter_bits: np.ndarray, phrase: np.ndarray) -> np.ndarray:
 
 
 class _Stripes:
-    """Counters of (lang, prefix, next), added up as they come.  Prefixes of the same first word,
-    the key, share a row."""
+    """Counters of (lang, prefix, next), added up as they come.  Stripes of first words (keys) whose
+    hashes begin with the same ``bits`` share a row."""
 
-    def __init__(self, m: int, most: int = HELD):
-        self.m, self.most, self.parts, self.held = m, most, [], 0
+    def __init__(self, m: int, bits: int = 6, most: int = HELD):
+        self.m, self.bits, self.most, self.parts, self.held = m, bits, most, [], 0
 
     def add(self, columns: list[np.ndarray]) -> None:
         """Columns: hash of the key, lang, p1 .. p{m}, next, count."""
@@ -162,34 +164,34 @@ class _Stripes:
             self.merge()
 
     def merge(self) -> None:
-        """Equal entries become one.  Rows sort by key, then by the bits of the next word that make up
+        """Equal entries become one.  Rows sort by language and key, then by the bits of the next word that make up
         parts; a clash of sort keys leaves an entry in two pieces, which meet later."""
         key, *columns, count = (np.concatenate(c) for c in zip(*self.parts, strict=True))
         *inner, nexts = columns[2:]
         told = reduce(_grown, inner, nexts)
-        order = np.argsort(key & ~U64(0xFFFFFF) | nexts & U64(0xFFFF00) | told & U64(0xFF))
+        order = np.lexsort((key & ~U64(0xFFFFFF) | nexts & U64(0xFFFF00) | told & U64(0xFF), columns[0]))
         head = _heads([c[order] for c in columns])
         self.parts = [[key[order[head]], *(c[order[head]] for c in columns), np.add.reduceat(count[order], head)]]
         self.held = len(head)
 
     def batches(self, langs: list[str], wide: tuple[np.ndarray, np.ndarray]) -> Iterator[pa.RecordBatch]:
-        """A row for each key and part."""
+        """A row for each bucket of keys, and for each part of a frequent key."""
         if not self.held:
             return
         self.merge()
         (key, lang, *ps, nexts, count), self.parts, self.held = self.parts[0], [], 0
+        bucket = (key >> U64(64 - self.bits)).astype(np.int32)
         part = ((nexts & U64(0xFFFFFF)) >> (U64(24) - _bits(wide, key))).astype(np.int32)  # the bits that rows are sorted by
-        first, *inner = ps
-        head = _heads([lang, first, part])
+        head = _heads([lang, bucket, part])
         offsets = pa.array(np.append(head, len(lang)).astype(np.int32))
-        columns = [pa.array(langs).take(pa.array(lang[head])), pa.array(first[head].view(np.int64)), pa.array(part[head])]
-        lists = [pa.ListArray.from_arrays(offsets, pa.array(v)) for v in (*(p.view(np.int64) for p in inner), nexts.view(np.int64), count.astype(np.int32))]
-        yield from pa.Table.from_arrays([*columns, *lists], names=["lang", "p1", "part", *_lists(self.m)]).to_batches(max_chunksize=20_000)
+        columns = [pa.array(langs).take(pa.array(lang[head])), pa.array(bucket[head]), pa.array(part[head])]
+        lists = [pa.ListArray.from_arrays(offsets, pa.array(v)) for v in (*(p.view(np.int64) for p in ps), nexts.view(np.int64), count.astype(np.int32))]
+        yield from pa.Table.from_arrays([*columns, *lists], names=["lang", "bucket", "part", *_lists(self.m)]).to_batches(max_chunksize=500)
 
 
 def _lists(m: int) -> list[str]:
     """The columns of a row of stripes that hold a list, with an element for each entry."""
-    return [*(f"p{i}s" for i in range(2, m + 1)), "nexts", "counts"]
+    return [*(f"p{i}s" for i in range(1, m + 1)), "nexts", "counts"]
 
 
 def _bits(wide: tuple[np.ndarray, np.ndarray], key: np.ndarray) -> np.ndarray:
@@ -201,14 +203,14 @@ def _bits(wide: tuple[np.ndarray, np.ndarray], key: np.ndarray) -> np.ndarray:
     return np.where(names[at] == key, bits[at], U64(0))
 
 
-def _stripes_of(m: int, shared, most: int, sums: bool):
+def _stripes_of(m: int, shared, bits: int, most: int, sums: bool):
     """Stripes of the prefixes of ``m`` words that may be part of a frequent phrase; without
     ``sums`` only their entries, as the prefix's own count is known."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filters, wide = shared.value
         known: dict[str, int] = {}
-        stripes = _Stripes(m, most)
+        stripes = _Stripes(m, bits, most)
         for batch in batches:
             for part in slices(batch, "text", SLICE):
                 t = _Text(part, known)
@@ -250,13 +252,13 @@ def _wide(words: DataFrame, quota: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _adder(m: int, least: int, most: int):
-    """Adds up stripes, which come sorted by key and part, element by element: the entries of at
+    """Adds up stripes, which come sorted by bucket and part, element by element: the entries of at
     least ``least``, and what is left of each prefix as one with ``next`` 0."""
     lists = _lists(m)
     names = ["lang", *(f"p{i}" for i in range(1, m + 1)), "next", "f"]
 
     def added(columns: list[np.ndarray]) -> list[np.ndarray]:
-        """Equal entries (run of equal keys, p2 .. , next) as one; sorted by them."""
+        """Equal entries (run of equal rows, p1 .. , next) as one; sorted by them."""
         *ids, count = columns
         order = np.lexsort(ids[::-1])
         head = _heads([c[order] for c in ids])
@@ -268,7 +270,7 @@ def _adder(m: int, least: int, most: int):
         nexts = np.where(often, nexts, 0)
         run, *inner, nexts, count = added([run, *inner, nexts, count])
         of = pa.array(run)
-        columns = [rows.column("lang").take(of), rows.column("p1").take(of), *(pa.array(x) for x in inner), pa.array(nexts), pa.array(count)]
+        columns = [rows.column("lang").take(of), *(pa.array(x) for x in inner), pa.array(nexts), pa.array(count)]
         yield from pa.Table.from_arrays(columns, names=names).to_batches()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -277,9 +279,9 @@ def _adder(m: int, least: int, most: int):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            new = pa.Table.from_batches([batch.select(["lang", "p1", "part"])])
+            new = pa.Table.from_batches([batch.select(["lang", "bucket", "part"])])
             rows = new if rows is None else pa.concat_tables([rows, new]).combine_chunks()
-            coded = [rows.column("lang").combine_chunks().dictionary_encode().indices.to_numpy(), *(rows.column(c).to_numpy() for c in ("p1", "part"))]
+            coded = [rows.column("lang").combine_chunks().dictionary_encode().indices.to_numpy(), *(rows.column(c).to_numpy() for c in ("bucket", "part"))]
             head = _heads(coded)
             number = np.zeros(len(rows), dtype=np.int64)
             number[head] = 1
@@ -304,8 +306,8 @@ def _adder(m: int, least: int, most: int):
 
 def merged(stripes: DataFrame, m: int, least: int) -> DataFrame:
     """Stripes added up element by element: (lang, p1 .. p{m}, next, f), with the entries below
-    ``least`` as one for each prefix and part, ``next`` 0.  One shuffle, by key and part."""
-    by = ["lang", "p1", "part"]
+    ``least`` as one for each prefix and part, ``next`` 0.  One shuffle, by bucket and part."""
+    by = ["lang", "bucket", "part"]
     kinds = "".join(f"p{i} long, " for i in range(1, m + 1))
     return stripes.repartition(*by).sortWithinPartitions(*by).mapInArrow(_adder(m, least, HELD), f"lang string, {kinds}next long, f long")
 
@@ -321,12 +323,14 @@ def mined(docs: DataFrame, least: int = LEAST, percent: int = PERCENT, longest:
     frequent = vocabulary.filter("h <> 0").select("lang", F.col("h").alias("next"), "f")
     filters, phrases, totals = [], [], []
     wide = _wide(frequent, QUOTA)
+    n = vocabulary.agg(F.coalesce(F.sum("f"), F.lit(0))).first()[0]
+    bits = max(6, min(30, (n // BUCKET).bit_length()))
     for m in range(1, longest):
         filters.append(_filter(frequent, m - 1))
         shared = spark.sparkContext.broadcast((list(filters), wide))
         last = m == longest - 1  # prefixes of this size are phrases of the level before, counted there
         lists = ", ".join(f"{c} array<{'int' if c == 'counts' else 'long'}>" for c in _lists(m))
-        stripes = slim.mapInArrow(_stripes_of(m, shared, HELD, not last), f"lang string, p1 long, part int, {lists}")
+        stripes = slim.mapInArrow(_stripes_of(m, shared, bits, HELD, not last), f"lang string, bucket int, part int, {lists}")
         level = cut(merged(stripes, m, least))
         prefix = [f"p{i}" for i in range(1, m + 1)]
         frequent = level.filter("next <> 0")

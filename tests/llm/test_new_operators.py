@@ -128,6 +128,7 @@ def texts(seed, size=60):
 def test_collocations(spark, monkeypatch, quota, held):
     monkeypatch.setattr(collocations, "QUOTA", quota)
     monkeypatch.setattr(collocations, "HELD", held)
+    monkeypatch.setattr(collocations, "BUCKET", held)
     rows = texts(quota)
     docs = spark.createDataFrame(rows, "lang string, text string").repartition(5)
     for least, percent, top in ((5, 80, 2000), (3, 50, 7), (30, 100, 2000)):
@@ -157,7 +158,7 @@ def test_collocations_when_the_filter_is_full(spark, monkeypatch):
 
 
 def test_a_frequent_key_is_dealt_into_parts():
-    stripes = collocations._Stripes(1)
+    stripes = collocations._Stripes(1, 10)
     n = 1000
     nexts = collocations.mix(np.arange(1, n + 1, dtype=np.uint64))
     stripes.add([np.full(n, 5, np.uint64), np.zeros(n, np.int64), np.full(n, 9, np.uint64), nexts, np.ones(n, np.int64)])
