@@ -12,6 +12,7 @@ from engram.functions.chunking import chunks
 from engram.functions.hashing import content_hash
 from engram.functions.markdown import strip_markdown
 from engram.functions.remote import parse_reply, request_json
+from engram.functions.sql import register as register_functions
 from engram.functions.text import byte_slice, clean_query, has_extension, tokens
 from engram.functions.vectors import cosine_distance, l2_normalize, norm
 from engram.operators import fulltext, hybrid, maintenance
@@ -400,6 +401,17 @@ def access_windows(spark: SparkSession, sf: str) -> DataFrame:
     return access_counts(events).select(F.col("window.start").alias("window_start"), F.col("hash").alias("user_id"), "n")
 
 
+@query("""with g as (select user_id, ts, case when ts - lag(ts) over w <= interval '30 minutes' then 0 else 1 end as begins from events window w as (partition by user_id order by ts)),
+  s as (select user_id, ts, sum(begins) over (partition by user_id order by ts rows unbounded preceding) as session from g)
+  select user_id, min(ts) as first_at, max(ts) as last_at, count(*) as n from s group by user_id, session""")
+def access_sessions(spark: SparkSession, sf: str) -> DataFrame:
+    """Sessions of each user's events: no more than half an hour apart."""
+    from engram.streaming.ingest import sessions
+
+    events = table(spark, sf, "events").select(F.col("user_id").alias("hash"), F.col("ts").alias("at"))
+    return sessions(events).select(F.col("hash").alias("user_id"), F.col("first").alias("first_at"), F.col("last").alias("last_at"), "n")
+
+
 # Markdown and chunks
 
 
@@ -445,6 +457,28 @@ _FILLED = "replace(replace(replace(replace(r.left_over, '{a}', coalesce(w[1], 'n
 @query(f"select doc_id as hash, r.rule, {_FILLED} as stripped from (select doc_id, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+') as w from documents) d, ({_RULES_SQL}) r(rule, left_over)")
 def strip_rules(spark: SparkSession, sf: str) -> DataFrame:
     """Every markdown rule on texts made of each document's words."""
+    made = _made(spark, sf, [(n, m) for n, m, _ in STRIP_RULES])
+    return made.select("hash", "rule", strip_markdown(F.col("text")).alias("stripped"))
+
+
+#: A markdown text for each way a section begins or doesn't, and its sections without their markup.
+SECTION_RULES = [
+    ("headings", "{a}\n# {b}\n{c}\n###### {d} ##\n####### {a}", ["{a}", "{b}\n{c}", "{d}\n####### {a}"]),
+    ("no heading", "{a} # {b}\n#{c}\n    # {d}", ["{a} # {b}\n#{c}\n{d}"]),
+    ("fence", "{a}\n```\n# {b}\n```\n# {c}", ["{a}\n# {b}", "{c}"]),
+    ("fence in fence", "~~~~\n~~~\n# {a}\n```\n~~~~ \n# {b}", ["~~~\n# {a}\n```", "{b}"]),
+    ("open fence", "# {a}\n```\n# {b}\n# {c}", ["{a}\n# {b}\n# {c}"]),
+    ("underlined", "{a}\n\n{b}\n===\n{c}\n{d}\n---\n{a}", ["{a}", "{b}\n===", "{c}\n{d}\n{a}"]),
+    ("rules", "{a}\n\n---\n{b}\n\n===\n{c}", ["{a}\n\n{b}\n\n===\n{c}"]),
+    ("list", "- {a}\n---\n{b}\n\n- {c}\n  # {d}\n\n  {a}\n# {b}", ["{a}\n{b}\n\n{c}\n{d}\n\n{a}", "{b}"]),
+    ("quote", "> {a}\n> # {b}\n\n{c}\n-", ["{a}\n# {b}", "{c}"]),
+]
+
+_SECTIONS_SQL = "values " + ", ".join(f"({_quoted(n)}, {i}, {_quoted(left)})" for n, _, parts in SECTION_RULES for i, left in enumerate(parts))
+
+
+def _made(spark: SparkSession, sf: str, rules: list[tuple[str, str]]) -> DataFrame:
+    """(hash, rule, text): the texts of ``rules`` (name, text) made of each document's words."""
     words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("[A-Za-z]+"), F.lit(0))
     rows = table(spark, sf, "documents").select(F.col("doc_id").alias("hash"), words.alias("w"))
 
@@ -454,8 +488,33 @@ def strip_rules(spark: SparkSession, sf: str) -> DataFrame:
             out = F.replace(out, F.lit(f"{{{name}}}"), F.coalesce(F.get("w", F.lit(i)), F.lit("none")))
         return out
 
-    made = rows.select("hash", F.explode(F.array(*[F.struct(F.lit(n).alias("rule"), filled(m).alias("text")) for n, m, _ in STRIP_RULES])).alias("r"))
-    return made.select("hash", "r.rule", strip_markdown(F.col("r.text")).alias("stripped"))
+    made = rows.select("hash", F.explode(F.array(*[F.struct(F.lit(n).alias("rule"), filled(m).alias("text")) for n, m in rules])).alias("r"))
+    return made.select("hash", "r.rule", "r.text")
+
+
+@query(f"select doc_id as hash, r.rule, r.seq::int as seq, {_FILLED} as section from (select doc_id, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+') as w from documents) d, ({_SECTIONS_SQL}) r(rule, seq, left_over)")
+def section_rules(spark: SparkSession, sf: str) -> DataFrame:
+    """Sections of texts made of each document's words."""
+    made = _made(spark, sf, [(n, m) for n, m, _ in SECTION_RULES])
+    parts = chunks(F.col("text"), max_tokens=1 << 30, overlay_tokens=0, sectioning="heading")
+    return made.select("hash", "rule", F.explode(parts).alias("c")).select("hash", "rule", "c.seq", F.col("c.text").alias("section"))
+
+
+_SPAN_BYTES = 12
+_TEMPLATES_SQL = "values " + ", ".join(f"({_quoted(n)}, {_quoted(m)}, {_quoted(left)})" for n, m, left in STRIP_RULES)
+_SOURCE = _FILLED.replace("r.left_over", "r.source")
+
+
+@query(f"""with recursive made as (select doc_id as hash, r.rule, {_SOURCE} as source, {_FILLED} as text from (select doc_id, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+') as w from documents) d, ({_TEMPLATES_SQL}) r(rule, source, left_over)),
+  cut as (select hash, rule, 0 as seq, 0 as a, text, strlen(source) as raw, strlen(text) as size from made where text <> ''),
+  c as (select hash, rule, seq, a, a + case when size - a <= {_SPAN_BYTES} then size - a when instr(reverse(substr(text, a + 1, {_SPAN_BYTES})), chr(10)) > 0 then {_SPAN_BYTES + 1} - instr(reverse(substr(text, a + 1, {_SPAN_BYTES})), chr(10)) else {_SPAN_BYTES} end as b, text, raw, size from cut
+    union all select hash, rule, seq + 1, b, b + case when size - b <= {_SPAN_BYTES} then size - b when instr(reverse(substr(text, b + 1, {_SPAN_BYTES})), chr(10)) > 0 then {_SPAN_BYTES + 1} - instr(reverse(substr(text, b + 1, {_SPAN_BYTES})), chr(10)) else {_SPAN_BYTES} end, text, raw, size from c where b < size)
+  select hash, rule, seq::int as seq, (a * raw // size)::bigint as start, (b * raw // size - a * raw // size)::bigint as length, substr(text, a + 1, b - a) as chunk from c""")
+def chunk_stripped(spark: SparkSession, sf: str) -> DataFrame:
+    """Chunks of stripped texts, of every markdown rule: each stands for its share of the source."""
+    made = _made(spark, sf, [(n, m) for n, m, _ in STRIP_RULES])
+    parts = chunks(F.col("text"), max_tokens=_SPAN_BYTES // 4, overlay_tokens=0)
+    return made.select("hash", "rule", F.explode(parts).alias("c")).select("hash", "rule", "c.seq", F.col("c.offset").alias("start"), "c.length", F.col("c.text").alias("chunk"))
 
 
 def _chunks(spark: SparkSession, sf: str, **settings) -> DataFrame:
@@ -514,6 +573,14 @@ def chunk_overlay_raw(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("hash", "seq", F.col("offset").alias("start"), "length", F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
+@query(ORACLES["chunk_overlay_raw"])
+def chunk_lateral(spark: SparkSession, sf: str) -> DataFrame:
+    """The same through the table function, in SQL."""
+    register_functions(spark)
+    content(spark, sf).createOrReplaceTempView("chunk_lateral_content")
+    return spark.sql("select hash, c.seq, c.start, c.length, md5(cast(c.chunk as binary)) as text_md5 from chunk_lateral_content, lateral memory_chunk(value, strip_marks => false) c")
+
+
 @query(_RAW_SQL + ', t as (select hash, count(*) as n, sum(length)::bigint as total from c group by hash) select hash, n, total from t')
 def chunk_offsets(spark: SparkSession, sf: str) -> DataFrame:
     return _raw_chunks(spark, sf).groupBy("hash").agg(F.count("*").alias("n"), F.sum("length").alias("total"))
