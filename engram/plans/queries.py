@@ -471,7 +471,7 @@ SECTION_RULES = [
     ("underlined", "{a}\n\n{b}\n===\n{c}\n{d}\n---\n{a}", ["{a}", "{b}\n===", "{c}\n{d}\n{a}"]),
     ("rules", "{a}\n\n---\n{b}\n\n===\n{c}", ["{a}\n\n{b}\n\n===\n{c}"]),
     ("list", "- {a}\n---\n{b}\n\n- {c}\n  # {d}\n\n  {a}\n# {b}", ["{a}\n{b}\n\n{c}\n{d}\n\n{a}", "{b}"]),
-    ("quote", "> {a}\n> # {b}\n\n{c}\n-", ["{a}\n# {b}", "{c}"]),
+    ("quote", "> {a}\n> # {b}\n\n{c}\n-", ["{a}\n{b}", "{c}"]),
 ]
 
 _SECTIONS_SQL = "values " + ", ".join(f"({_quoted(n)}, {i}, {_quoted(left)})" for n, _, parts in SECTION_RULES for i, left in enumerate(parts))
