@@ -8,9 +8,11 @@ and format, and put back into the text:
   country code and a card's first digit stay, and a card number that passes the
   Luhn check still passes it;
 * IP address: octets change, private ranges stay private;
-* names after a title, with a known given name, or of two parts after a cue such as
-  "my name is": a given name of the same gender and script, a made-up family name
-  of the same script.
+* account numbers whose check digits are right get right ones again;
+* names after a title (initials too), with a known given name, or of two parts after a cue
+  such as "my name is": a given name of the same gender and script, a made-up family name
+  of the same script, an initial of that.  A name that is found so in a document counts all over
+  it: each of its words alone gets the same surrogate there.
 
 Equal entities (compared without format: digits only, lower case) get equal
 surrogates everywhere, so coreference survives.  Distinct entities get distinct
@@ -28,6 +30,8 @@ through untouched in ``anonymise``.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,7 +41,7 @@ KEY = "engram"
 #: Draws in the length of the entity, before each further draw is longer; and all draws.
 DRAWS, LIMIT = 8, 48
 #: Titles and the gender that they say.
-TITLES = {"Mr": "m", "Mrs": "f", "Ms": "f", "Miss": "f", "Herr": "m", "Frau": "f", "Monsieur": "m", "Madame": "f", "Mme": "f", "Señor": "m", "Señora": "f", "Sr": "m", "Sra": "f", "Господин": "m", "Госпожа": "f"}
+TITLES = {"Mr": "m", "Mrs": "f", "Ms": "f", "Miss": "f", "Herr": "m", "Frau": "f", "Monsieur": "m", "Madame": "f", "Mme": "f", "Señor": "m", "Señora": "f", "Sr": "m", "Sra": "f", "Господин": "m", "Госпожа": "f", "Dr": "", "Prof": "", "Sir": "m", "Lady": "f", "Doctor": "", "Professor": ""}
 #: Given names by script and gender.
 GIVEN = {
     ("latin", "m"): (
@@ -71,9 +75,12 @@ PATTERNS = {
 }
 _NAMES = "|".join(n for names in GIVEN.values() for n in names)
 _TITLE = "|".join(TITLES)
-_PART = "\\p{Lu}\\p{Ll}{1,30}"
+#: A word of a name: O'Brien, Smith-Jones, Jean-Luc.
+_PART = "\\p{Lu}(?:['’]\\p{Lu})?\\p{Ll}{1,30}(?:-\\p{Lu}?\\p{Ll}{1,30}|['’]\\p{Lu}\\p{Ll}{1,30}){0,2}"
+_INITIAL = "\\p{Lu}\\."
+_WORD = f"(?<![\\p{{L}}\\p{{N}}]){_PART}(?![\\p{{L}}])"
 _CUED = f"(?<=(?:{'|'.join(CUES)})){_PART} {_PART}(?![\\p{{L}}])"
-PATTERNS["name"] = f"(?<![\\p{{L}}])(?:(?:{_TITLE})\\.? {_PART}(?: {_PART})?|(?:{_NAMES}) {_PART})(?![\\p{{L}}])"
+PATTERNS["name"] = f"(?<![\\p{{L}}])(?:(?:{_TITLE})\\.? (?:{_INITIAL} ){{0,3}}{_PART}(?:(?: {_INITIAL}){{0,2}} {_PART})?|(?:{_NAMES})(?: {_INITIAL}){{0,2}} {_PART})(?![\\p{{L}}])"
 #: A look at the next characters, before a pattern is tried at all.
 _CAPITALS = "".join(sorted({n[0] for n in [*TITLES, *_NAMES.split("|")]}))
 AHEAD = {"email": "", "iban": "(?=[A-Z]{2}\\d)", "name": f"(?=[{_CAPITALS}])"}
@@ -107,19 +114,19 @@ def _script(word: Column) -> Column:
 def _given_kind(word: Column, title: Column) -> Column:
     """Gender of a given name: by the lists, or else by its title."""
     male, female = (sum((GIVEN[s, g] for s in SYLLABLES), []) for g in "mf")
-    by_title = F.create_map(*[F.lit(x) for item in TITLES.items() for x in item])
+    by_title = F.create_map(*[F.lit(x) for title, gender in TITLES.items() if gender for x in (title, gender)])
     return F.when(word.isin(male), F.lit("m")).when(word.isin(female), F.lit("f")).otherwise(F.coalesce(F.try_element_at(by_title, title), F.lit("f")))
 
 
 def name_parts(mention: Column) -> Column:
-    """(role, gender, word) of each word of a name; the last word but for a lone given name is the family name."""
+    """(role, gender, word) of each word of a name: title, initial, given, and last the family name."""
     words = F.split(mention, " ")
     title = F.regexp_replace(F.get(words, F.lit(0)), "\\.$", "")
     titled = title.isin(list(TITLES))
     return F.transform(
         words,
         lambda w, i: F.struct(
-            F.when((i == 0) & titled, F.lit("title")).when(i == F.size(words) - 1, F.lit("family")).otherwise(F.lit("given")).alias("role"),
+            F.when((i == 0) & titled, F.lit("title")).when(w.rlike(f"^{_INITIAL}$"), F.lit("initial")).when(i == F.size(words) - 1, F.lit("family")).otherwise(F.lit("given")).alias("role"),
             F.when(i == F.size(words) - 1, F.lit("")).otherwise(_given_kind(w, title)).alias("gender"),
             w.alias("word"),
         ),
@@ -134,7 +141,7 @@ def keys_of(mention: Column) -> Column:
     """Entities that a mention names, as 'kind|canonical form'."""
     number = F.array(F.concat(kind_of(mention), F.lit("|"), _plain(mention)))
     address = F.array(F.concat(kind_of(mention), F.lit("|"), F.lower(mention)))
-    names = F.transform(F.filter(name_parts(mention), lambda p: p["role"] != "title"), _name_key)
+    names = F.transform(F.filter(name_parts(mention), lambda p: p["role"].isin("given", "family")), _name_key)
     kind = kind_of(mention)
     return F.when(kind == "name", names).when(kind.isin(*NUMBERS), number).otherwise(address)
 
@@ -160,6 +167,13 @@ def _reshaped(value: Column, stream: Column, keep: Column) -> Column:
     return F.array_join(F.transform(F.split(value, ""), draw), "")
 
 
+def _remainder(iban: Column) -> Column:
+    """An account number, first four characters last and letters as 10 to 35, modulo 97."""
+    moved = F.split(F.upper(F.concat(F.substring(iban, F.lit(5), F.length(iban)), F.substring(iban, 1, 4))), "")
+    worth = lambda c: F.conv(c, 36, 10).cast("int")
+    return F.aggregate(moved, F.lit(0), lambda a, c: F.pmod(a * F.when(c.rlike("[A-Z]"), 100).otherwise(10) + worth(c), F.lit(97)))
+
+
 def draw(entity: Column, attempt: Column, key: str = KEY, draws: int = DRAWS) -> Column:
     """The surrogate of 'kind|canonical form' in a given draw."""
     kind, value = F.substring_index(entity, "|", 1), F.substring_index(entity, "|", -1)
@@ -180,6 +194,9 @@ def draw(entity: Column, attempt: Column, key: str = KEY, draws: int = DRAWS) ->
     body = F.concat(_reshaped(F.substring(value, F.lit(1), F.length(value) - 1), stream, F.lit(1)), digits)
     fits = F.get(F.filter(F.array(*[F.lit(str(d)) for d in range(10)]), lambda d: F.call_function("luhn_check", F.concat(body, d))), F.lit(0))
     card = F.when(F.call_function("luhn_check", value), F.concat(body, fits)).otherwise(F.concat(_reshaped(value, stream, F.lit(1)), digits))
+    account = F.concat(_reshaped(F.substring(value, F.lit(5), F.length(value)), stream, F.lit(0)), digits)
+    checked = F.lpad((98 - _remainder(F.concat(F.substring(value, 1, 2), F.lit("00"), account))).cast("string"), 2, "0")
+    iban = F.when(_remainder(value) == 1, F.concat(F.substring(value, 1, 2), checked, account)).otherwise(F.concat(_reshaped(value, stream, F.lit(2)), digits))
     role, gender, word = F.get(F.split(entity, "\\|"), F.lit(0)), F.get(F.split(entity, "\\|"), F.lit(1)), value
     given, family = F.lit(None).cast("string"), F.lit(None).cast("string")
     for script in SYLLABLES:
@@ -190,7 +207,7 @@ def draw(entity: Column, attempt: Column, key: str = KEY, draws: int = DRAWS) ->
             given = F.when((_script(word) == script) & (gender == g), name).otherwise(given)
     return (
         F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "phone", phone).when(kind == "card", card)
-        .when(kind == "ssn", F.concat(_reshaped(value, stream, F.lit(0)), digits)).when(kind == "iban", F.concat(_reshaped(value, stream, F.lit(2)), digits)).when(role == "given", given).otherwise(family)
+        .when(kind == "ssn", F.concat(_reshaped(value, stream, F.lit(0)), digits)).when(kind == "iban", iban).when(role == "given", given).otherwise(family)
     )
 
 
@@ -199,19 +216,24 @@ def surrogates(entities: DataFrame, key: str = KEY, draws: int = DRAWS) -> DataF
     of a kind share a surrogate, and no surrogate is an entity of the kind."""
     kind = F.substring_index("entity", "|", 1)
     own = F.substring_index("entity", "|", -1)
-    table = cut(entities.select("entity").distinct().select("entity", F.lit(0).alias("attempt")))
-    taken = table.select(kind.alias("kind"), own.alias("surrogate"), F.lit(True).alias("real"))
-    rank = Window.partitionBy("kind", "same").orderBy("attempt", "entity")
+    pending = cut(entities.select("entity").distinct().select("entity", F.lit(0).alias("attempt")))
+    real = pending.select(kind.alias("kind"), F.lower(own).alias("same"), F.lit(True).alias("real"))
+    won: list[DataFrame] = []
+    rank = Window.partitionBy("kind", "same").orderBy("entity")
     for _ in range(LIMIT):
-        drawn = table.withColumn("kind", kind).withColumn("surrogate", draw(F.col("entity"), F.col("attempt"), key, draws)).withColumn("same", F.lower("surrogate"))
-        real = taken.select("kind", F.lower("surrogate").alias("same"), "real").distinct()
-        ranked = drawn.join(real, ["kind", "same"], "left").withColumn("rank", F.row_number().over(rank))
+        drawn = cut(pending.withColumn("kind", kind).withColumn("surrogate", draw(F.col("entity"), F.col("attempt"), key, draws)).withColumn("same", F.lower("surrogate")))
+        # Who has lost draws again; who has won keeps its surrogate, which later draws can't take.
+        taken = [real, *(w.select("kind", "same", F.lit(False).alias("real")) for w in won)]
+        met = reduce(DataFrame.unionByName, taken).join(drawn.select("kind", "same").distinct(), ["kind", "same"], "left_semi").groupBy("kind", "same").agg(F.max("real").alias("real"), F.min("real").alias("both"))
+        ranked = drawn.join(met, ["kind", "same"], "left").withColumn("rank", F.row_number().over(rank))
         # A known given name may stand for another person of that name: only equal draws, and the name itself, collide there.
-        lost = (F.col("rank") > 1) | (F.coalesce("real", F.lit(False)) & ((F.col("kind") != "given") | (F.col("same") == F.lower(own))))
-        now = cut(ranked.select("entity", "attempt", "surrogate", lost.alias("lost")))
-        if now.filter("lost").isEmpty():
-            return now.select("entity", "surrogate")
-        table = now.select("entity", (F.col("attempt") + F.col("lost").cast("int")).alias("attempt"))
+        given = F.coalesce("real", F.lit(False)) & ((F.col("kind") != "given") | (F.col("same") == F.lower(own)))
+        lost = (F.col("rank") > 1) | given | ~F.coalesce("both", F.lit(True))
+        now = cut(ranked.select("entity", "attempt", "surrogate", "kind", "same", lost.alias("lost")))
+        won.append(now.filter("not lost").select("entity", "surrogate", "kind", "same"))
+        pending = now.filter("lost").select("entity", (F.col("attempt") + 1).alias("attempt"))
+        if pending.isEmpty():
+            return reduce(DataFrame.unionByName, won).select("entity", "surrogate")
     raise ValueError(f"entities without a surrogate of their own after {LIMIT} draws")
 
 
@@ -227,10 +249,20 @@ def _rendered(mention: Column, table: Column) -> Column:
     kind = kind_of(mention)
     number = _filled(mention, F.try_element_at(table, F.concat(kind, F.lit("|"), _plain(mention))))
     address = F.try_element_at(table, F.concat(kind, F.lit("|"), F.lower(mention)))
-    names = F.array_join(F.transform(name_parts(mention), lambda p: F.coalesce(F.try_element_at(table, _name_key(p)), p["word"])), " ")
+    parts = name_parts(mention)
+    family = F.try_element_at(table, _name_key(F.element_at(parts, -1)))
+    initial = lambda p: F.concat(F.when(F.substring(family, 1, 1) == F.substring(p["word"], 1, 1), F.upper(F.substring(family, 2, 1))).otherwise(F.substring(family, 1, 1)), F.lit("."))
+    names = F.array_join(F.transform(parts, lambda p: F.coalesce(F.when(p["role"] == "initial", initial(p)).otherwise(F.try_element_at(table, _name_key(p))), p["word"])), " ")
     return F.coalesce(F.when(kind == "name", names).when(kind.isin(*NUMBERS), number).otherwise(address), mention)
 
 
+def _alone(piece: Column, table: Column) -> Column:
+    """A piece of text between mentions, words of the document's names replaced."""
+    found, rest = F.regexp_extract_all(piece, F.lit(_WORD), F.lit(0)), F.split(piece, _WORD, -1)
+    known = lambda w: F.coalesce(*[F.try_element_at(table, F.concat(F.lit(k), w)) for k in ("family||", "given|m|", "given|f|")], w)
+    return F.concat(F.array_join(F.transform(found, lambda w, i: F.concat(F.get(rest, i), known(w))), ""), F.get(rest, F.size(found)))
+
+
 def anonymise(docs: DataFrame, text: str = "text", key: str = KEY) -> DataFrame:
     """``docs`` with every entity of ``text`` replaced, plus the number of entities as
     ``n_entities`` (with underscores more where ``docs`` has a column of that name)."""
@@ -248,7 +280,11 @@ def anonymise(docs: DataFrame, text: str = "text", key: str = KEY) -> DataFrame:
     table = surrogates(lists.select(F.explode("keys").alias("entity")), key)
     tables = lists.select("list", F.explode("keys").alias("entity")).join(table, "entity").groupBy("list").agg(F.map_from_entries(F.collect_list(F.struct("entity", "surrogate"))).alias("table"))
     keyed = hit.join(tables, "list")
+    named = F.exists("keys", lambda k: k.startswith("family|"))
     pieces = F.split("body", PATTERN, -1)
+    pieces = F.when(named, F.transform(pieces, lambda p: _alone(p, F.col("table")))).otherwise(pieces)
+    keyed = keyed.withColumn("pieces", pieces)
+    pieces = F.col("pieces")
     new = F.concat(F.array_join(F.transform("found", lambda m, i: F.concat(F.get(pieces, i), _rendered(m, F.col("table")))), ""), F.get(pieces, F.size("found")))
     done = keyed.select("row", new.alias("body"), F.size("found").cast("long").alias("n")).unionByName(plain.select("row", "body", F.lit(0).cast("long").alias("n")))
     return done.select(*[F.col("body").alias(c) if c == text else F.col(f"row.`{c}`").alias(c) for c in docs.columns], F.col("n").alias(count))

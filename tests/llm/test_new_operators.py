@@ -12,7 +12,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from engram.llm import collocations, neardup, secrets, warc, whitening
+from engram.llm import collocations, neardup, pii, secrets, warc, whitening
 from tests.llm.helpers import odd_documents
 
 SF = "/root/testdata/sf0.001"
@@ -279,3 +279,24 @@ def test_constants_of_many_characters_take_linear_time():
 def test_profiles_count_ascii_apart():
     found = secrets.profile("aab" + chr(0x4E00) + chr(0x4E00 + secrets.OTHERS))
     assert found == {"a": 0.4, "b": 0.2, chr(256 + 0x4E00 % secrets.OTHERS): 0.4}
+
+
+def test_names_of_a_document_all_over_it(spark):
+    texts = [
+        "Mr. J. Smith, Mr Smith, Smith said. Smithson and blacksmith stay; Smith's house. Dr. Wei Zhang met Zhang.",
+        "Prof Olivia O'Brien-Smith wrote; O'Brien-Smith left. Jean K. Dupont-Roux, then Dupont-Roux and Jean.",
+        "Smith is not named here.",
+        "Send it to DE89 3704 0044 0532 0130 00, GB82 WEST 1234 5698 7654 32 or DE00 3704 0044 0532 0130 00.",
+    ]
+    found = [r.text for r in pii.anonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    for gone, text in zip((["Smith,", "Smith ", "Smith'", "Zhang", "Wei ", " J."], ["O'Brien", "Olivia", "Dupont", "Roux", "Jean"]), found):
+        assert not [g for g in gone if g in text], text
+    assert "Smithson and blacksmith stay" in found[0] and found[2] == texts[2]
+    family = re.findall("Mr ([A-Z][a-z]+),", found[0])[0]
+    assert f"{family} said" in found[0] and f"{family}'s house" in found[0] and re.match(f"Mr. [A-Z]\\. {family}, ", found[0])
+    zhang = re.findall("met ([A-Z][a-z]+)", found[0])[0]
+    assert re.search(f"Dr. [^ ]+ {zhang} met", found[0])
+    value = lambda a: int("".join(str(int(c, 36)) for c in a[4:] + a[:4])) % 97
+    accounts = [a.replace(" ", "") for a in re.findall("[A-Z]{2}\\d\\d(?: [A-Z0-9]{4}){4,5}(?: [A-Z0-9]{1,3})?", found[3])]
+    assert [value(a) == 1 for a in accounts[:2]] == [True, True] and len(accounts) == 3
+    assert accounts[0][:2] == "DE" and not set(accounts) & {a.replace(" ", "") for a in texts[3].split(", ")}
