@@ -687,7 +687,7 @@ _MEMORY_SQL = f"""(with t as (select doc_id, context, text, regexp_extract_all(t
   select v.query_id, '/d/' || doc_id as path, c.context, c.size, case when text_score is null then score else 0.6 * score + 0.4 * text_score end as ranking from v left join x using (query_id, doc_id) join c using (doc_id))"""
 
 
-@query(f"select query_id, path, context, size::int as size, round(ranking, 6) as ranking from {_MEMORY_SQL} m where round(ranking, 9) >= 0.6")
+@query(f"select query_id::bigint as query_id, path, context, size::int as size, round(ranking, 6) as ranking from {_MEMORY_SQL} m where round(ranking, 9) >= 0.6")
 def memory_search(spark: SparkSession, sf: str) -> DataFrame:
     """``Memory.search`` itself: all documents added in two changes, some deleted and added again,
     three text queries over the stored postings, fused with vectors, snippets looked up."""
