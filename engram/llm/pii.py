@@ -280,10 +280,10 @@ def anonymise(docs: DataFrame, text: str = "text", key: str = KEY) -> DataFrame:
     table = surrogates(lists.select(F.explode("keys").alias("entity")), key)
     tables = lists.select("list", F.explode("keys").alias("entity")).join(table, "entity").groupBy("list").agg(F.map_from_entries(F.collect_list(F.struct("entity", "surrogate"))).alias("table"))
     keyed = hit.join(tables, "list")
-    named = F.exists("keys", lambda k: k.startswith("family|"))
-    pieces = F.split("body", PATTERN, -1)
-    pieces = F.when(named, F.transform(pieces, lambda p: _alone(p, F.col("table")))).otherwise(pieces)
-    keyed = keyed.withColumn("pieces", pieces)
+    words = F.transform(F.filter("keys", lambda k: k.startswith("family|") | k.startswith("given|")), lambda k: F.substring_index(k, "|", -1))
+    again = lambda p: F.exists("words", lambda w: F.contains(p, w))  # noqa: E731  few pieces hold a name's word once more
+    keyed = keyed.withColumn("words", words)
+    keyed = keyed.withColumn("pieces", F.transform(F.split("body", PATTERN, -1), lambda p: F.when(again(p), _alone(p, F.col("table"))).otherwise(p)))
     pieces = F.col("pieces")
     new = F.concat(F.array_join(F.transform("found", lambda m, i: F.concat(F.get(pieces, i), _rendered(m, F.col("table")))), ""), F.get(pieces, F.size("found")))
     done = keyed.select("row", new.alias("body"), F.size("found").cast("long").alias("n")).unionByName(plain.select("row", "body", F.lit(0).cast("long").alias("n")))
