@@ -16,10 +16,12 @@
    whole: their rows are confirmed on full sets, exactly.
 3. Candidates are joined into regions.  A region is confirmed on the full sets:
    everything is compared with the region's hub, and what the hub does not link
-   with everything.  That finds every component of the exact link graph of the
-   region without listing its pairs.  Small regions take one task; larger ones are
-   confirmed in blocks, by the same two steps: all members against the hub, then
-   those it leaves over, block by block, against all members.
+   with all that shares one of its rarest shingles, since a link needs one.  That
+   finds every component of the exact link graph of the region without listing its
+   pairs.  Small regions take one task.  Larger ones are first split by their rare
+   shingles, so a page that a whole family shares joins nothing; parts that stay
+   large are confirmed in blocks: all members against the hub, then those it leaves
+   over, block by block, against all members.
 
 A link is ``100 * intersection >= percent * union`` of the sets.
 
@@ -55,6 +57,8 @@ LEVELS = 2
 SALTS = 16
 #: Shingles and rows of a region that one task confirms.
 REGION_SHINGLES, REGION_ROWS = 4_000_000, 4_000
+#: Slots in which the shingles of larger regions are counted, to tell rare from frequent.
+SLOTS = 1 << 18
 _A = mix(np.arange(1, HASHES + 1, dtype=np.uint64)) | np.uint64(1)
 _B = mix(np.arange(1001, 1001 + HASHES, dtype=np.uint64))
 
@@ -224,33 +228,53 @@ def candidates(nodes: DataFrame, percent: int) -> DataFrame:
     return reduce(DataFrame.unionByName, found)
 
 
+def least_shared(size, percent: int):
+    """Shingles that a set of ``size`` shares at least with whatever it is linked with."""
+    return (percent * size + 99) // 100
+
+
+def ranges(first: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """The positions first, first + 1, .. of each range, one range after the other."""
+    return np.repeat(first - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum())
+
+
 def linked_to(sets: list[np.ndarray], percent: int, queries: np.ndarray | None = None, same: np.ndarray | None = None) -> np.ndarray:
     """For each set the index of a representative of its component in the exact link graph.
 
     With ``queries`` only these are compared with all, and ``same`` are known to
-    be of one component; else every component is found, from a hub outwards."""
+    be of one component; else every component is found, from a hub outwards.
+    Sets are compared if they share one of their rarest shingles: of a set of n
+    those but for the ``least_shared - 1`` most frequent, without which no link is."""
     m = len(sets)
     sizes = np.array([len(s) for s in sets])
-    flat, owner = np.concatenate(sets), np.repeat(np.arange(m), sizes)
-    order = np.argsort(flat, kind="stable")
-    values, posting = flat[order], owner[order]
-    heads = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
-    tails = np.append(heads[1:], len(values))
-    names = values[heads]
+    first = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    owner = np.repeat(np.arange(m), sizes)
+    _, ident, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     root = np.arange(m)
     if same is not None and len(same):
         root[same] = same[0]
 
+    place = np.empty(len(times), dtype=np.int64)  # rank by rarity of each different shingle
+    place[np.argsort(times, kind="stable")] = np.arange(len(times))
+    by_rarity = np.lexsort((place[ident], owner))
+    rare = by_rarity[np.arange(len(owner)) - first[owner] <= (sizes - least_shared(sizes, percent))[owner]]
+    kept = np.bincount(owner[rare], minlength=m)
+    at = np.concatenate([[0], np.cumsum(kept)])  # the rare shingles of set i: rare[at[i] : at[i + 1]]
+    names = ident[rare]
+    of = owner[rare][np.argsort(names, kind="stable")]
+    edge = np.concatenate([[0], np.cumsum(np.bincount(names, minlength=len(times)))])
+    mine = np.zeros(len(times), dtype=bool)
+
     def partners(i: int) -> np.ndarray:
-        at = np.searchsorted(names, sets[i])
-        a, b = heads[at], tails[at]
-        many = b - a
-        spread = np.repeat(a - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum())
-        shared = np.bincount(posting[spread], minlength=m)
-        return np.flatnonzero(100 * shared >= percent * (sizes + sizes[i] - shared))
+        own = names[at[i] : at[i + 1]]
+        near = np.unique(of[ranges(edge[own], edge[own + 1] - edge[own])])
+        mine[ident[first[i] : first[i] + sizes[i]]] = True
+        shared = np.add.reduceat(mine[ident[ranges(first[near], sizes[near])]].astype(np.int64), np.concatenate([[0], np.cumsum(sizes[near])[:-1]]))
+        mine[ident[first[i] : first[i] + sizes[i]]] = False
+        return near[100 * shared >= percent * (sizes[near] + sizes[i] - shared)]
 
     if queries is None:
-        weight = np.bincount(owner[order], weights=np.repeat(tails - heads, tails - heads), minlength=m) / sizes
+        weight = np.bincount(owner, weights=times[ident], minlength=m) / sizes
         hub = int(weight.argmax())
         root[partners(hub)] = hub
         queries = np.flatnonzero(root != hub)
@@ -303,6 +327,57 @@ def _block_links(n: int, percent: int):
     return run
 
 
+def _slots(n: int):
+    """How often the shingles of a task fall into each of ``SLOTS`` slots: (slot, times)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        times = np.zeros(SLOTS, dtype=np.int64)
+        for batch in batches:
+            for part in slices(batch, "text", 1 << 20):
+                found = list(shingle_sets(part.column("text"), n))
+                if found:
+                    times += np.bincount((np.concatenate(found) % np.uint64(SLOTS)).astype(np.int64), minlength=SLOTS)
+        slot = np.flatnonzero(times)
+        yield pa.RecordBatch.from_arrays([pa.array(slot, pa.int64()), pa.array(times[slot])], names=["slot", "times"])
+
+    return run
+
+
+def _rarest(n: int, percent: int, times: np.ndarray):
+    """(rep, shared) for each of the rarest shingles of each row that every link must meet; ``shared``
+    hashes region and shingle.  Rarity by ``times`` of slots orders all shingles alike in every task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text", 1 << 20):
+                region, key, many = part.column("region").to_numpy().view(np.uint64), [], []
+                for r, s in zip(mix(region), shingle_sets(part.column("text"), n), strict=True):
+                    order = np.lexsort((s, times[(s % np.uint64(SLOTS)).astype(np.int64)]))
+                    key.append(mix(s[order[: len(s) - least_shared(len(s), percent) + 1]] ^ r))
+                    many.append(len(key[-1]))
+                if key:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column("rep").to_numpy(), many)), pa.array(np.concatenate(key).view(np.int64))], names=["rep", "shared"])
+
+    return run
+
+
+def split_regions(wide: DataFrame, slim: DataFrame, n: int, percent: int) -> DataFrame:
+    """(rep, region): the rows of ``wide`` (region, rep, doc_id, text_key) in regions that share rare shingles.
+
+    A link needs a shingle in common among the rarest ``size - least_shared + 1`` of
+    both sets, whatever order tells which are rare.  So no link is lost, a page that
+    a whole family shares joins nothing, and rows left out here are linked with nothing.
+    The order counts shingles in ``SLOTS`` slots, all that the driver gets."""
+    texts = cut(slim.join(wide.select("region", "rep", "doc_id", "text_key"), ["doc_id", "text_key"]).select("region", "rep", "text").dropDuplicates(["region", "rep"]))
+    counted = texts.select("text").mapInArrow(_slots(n), "slot long, times long").groupBy("slot").agg(F.sum("times").alias("times")).toPandas()
+    times = np.zeros(SLOTS, dtype=np.int64)
+    times[counted["slot"].to_numpy()] = counted["times"].to_numpy()
+    rare = texts.mapInArrow(_rarest(n, percent, times), "rep long, shared long")
+    met = rare.groupBy("shared").agg(F.count("*").alias("rows"), F.min("rep").alias("b")).filter("rows > 1").drop("rows")
+    pairs = salted(rare, met, "shared").filter("rep <> b").select(F.col("rep").alias("a"), "b").distinct()
+    return components(pairs).select(F.col("node").alias("rep"), F.col("component").alias("region"))
+
+
 def _confirm_large(large: DataFrame, slim: DataFrame, n: int, percent: int) -> DataFrame:
     """Links (a, b) of the regions of ``large`` (region, rep, doc_id, text_key, n, sig), in blocks; ``slim``: (doc_id, text_key, text)."""
     # The hub shares its prefixes with the most members.
@@ -343,7 +418,12 @@ def _classes(docs: DataFrame, n: int, percent: int) -> DataFrame:
 
     # Confirmation on whole sets, made anew from the texts of one row of each node.
     sized = cut(regions.join(nodes.select("rep", "doc_id", "text_key", "n"), "rep"))
-    size = sized.groupBy("region").agg(((F.sum("n") <= REGION_SHINGLES) & (F.count("*") <= REGION_ROWS)).alias("fits"))
+    fits = ((F.sum("n") <= REGION_SHINGLES) & (F.count("*") <= REGION_ROWS)).alias("fits")
+    wide = salted(sized, sized.groupBy("region").agg(fits).filter("not fits"), "region").drop("fits")
+    if not wide.isEmpty():
+        finer = split_regions(wide, slim, n, percent)
+        sized = cut(sized.join(wide.select("rep"), "rep", "left_anti").unionByName(wide.drop("region").join(finer, "rep").select(sized.columns)))
+    size = sized.groupBy("region").agg(fits)
     parted = salted(sized, size.filter("not fits"), "region")
     large = parted.join(nodes.select("rep", "sig"), "rep").select("region", "rep", "doc_id", "text_key", "n", "sig")
     whole = sized.join(parted.select("rep"), "rep", "left_anti").select("region", "rep", "doc_id", "text_key")

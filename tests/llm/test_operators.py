@@ -12,6 +12,8 @@ import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from engram.llm import decontam, gru, langid, mixing, neardup, pii, quality, secrets, suffix_dedup, textops, toxicity
@@ -529,13 +531,13 @@ def test_star_and_split_regions(spark, monkeypatch, rows):
     assert len(set(expected.values())) == 1
 
 
-def family(rng, m, planted):
-    """Texts on a common page, at about 0.43 of each other, and pairs among them near 0.88."""
-    page = [f"p{i}" for i in range(240)]
-    texts = [page + [str(rng.randrange(10**9)) for _ in range(160)] for _ in range(m)]
+def family(rng, m, planted, shared=240):
+    """Texts on a common page, by default at about 0.43 of each other, and pairs among them near 0.88."""
+    page = [f"p{i}" for i in range(shared)]
+    texts = [page + [str(rng.randrange(10**9)) for _ in range(400 - shared)] for _ in range(m)]
     for i in range(planted):
         copy = list(texts[i])
-        for at in rng.sample(range(240, 400), 8):
+        for at in rng.sample(range(shared, 400), 8):
             copy[at] = str(rng.randrange(10**9))
         texts.append(copy)
     order = rng.sample(range(len(texts)), len(texts))
@@ -558,6 +560,43 @@ def test_pairs_in_a_crowded_family(spark):
     assert pairs <= met and len(met) < 20 * len(rows)
 
 
+def classes(found):
+    linked = collections.defaultdict(set)
+    for k, r in found.items():
+        linked[r.component_id].add(k)
+    return {frozenset(v) for v in linked.values() if len(v) > 1}
+
+
+def test_large_regions_are_split_by_rare_shingles(spark, monkeypatch):
+    """A page of 330 words out of 400 joins no texts; the planted pairs, and an edited chain, are whole."""
+    rng = random.Random(6)
+    rows, place = family(rng, 400, 30, 330)
+    chain = rows[0][1].split()
+    for step in range(5):  # each near the one before
+        for at in range(330 + 12 * step, 342 + 12 * step):
+            chain[at] = str(rng.randrange(10**9))
+        rows.append((1000 + step, " ".join(chain)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    expected = exact_components({k: word_set(t, 3) for k, t in rows}, 85)
+    split, regions = neardup.split_regions, []
+    monkeypatch.setattr(neardup, "split_regions", lambda *args: regions.append(split(*args)) or regions[-1])
+    for most in (4_000, 200, 2):  # one task; split by rare shingles; and blocks for what is left
+        monkeypatch.setattr(neardup, "REGION_ROWS", most)
+        assert {k: r.component_id for k, r in by_id(neardup.near_dup_groups(docs)).items()} == expected
+    assert len(regions) == 2
+    sizes = [r["count"] for r in regions[0].groupBy("region").count().collect()]
+    assert sum(sizes) < 80 and max(sizes) < 10
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 24), min_size=1, max_size=24), min_size=1, max_size=14), st.sampled_from([50, 80, 85, 100]))
+def test_linked_to_equals_all_pairs(rows, percent):
+    sets = [np.unique(np.array(r, dtype=np.uint64)) for r in rows]
+    root = neardup.linked_to(sets, percent)
+    expected = exact_components({i: frozenset(s.tolist()) for i, s in enumerate(sets)}, percent)
+    assert len({(int(root[i]), expected[i]) for i in expected}) == len(set(expected.values())) == len(set(root.tolist()))
+
+
 def test_orders_miss_no_pair_at_the_threshold():
     for percent in (80, 85):
         for level in range(neardup.LEVELS):
