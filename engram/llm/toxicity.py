@@ -13,7 +13,8 @@ Words are runs of letters and digits, A-Z lower-cased; their beginnings are
 features as well, which carries over to words that training did not see.  Defined results: a null
 or empty text has no words and gets the probability of the intercepts; labels
 that are null are no training rows; without labels of both values a category's
-probability is the labels' mean, or 0 without labels; repeated rows score alike;
+probability is the labels' mean, or 0 without labels; repeated rows score alike, and
+as training rows they count each, up to ``SAMPLE`` rows in all;
 an empty table gives an empty result.
 """
 
@@ -125,26 +126,29 @@ def fit_chain(row: np.ndarray, col: np.ndarray, labels: np.ndarray, fold: np.nda
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, chain: tuple[tuple[str, int], ...] = CHAIN, sample: int = SAMPLE, seed: int = SEED) -> DataFrame:
-    """At most ``sample`` rows (text, y, fold) of labelled documents."""
+    """Rows (spread, text, y, fold) of at most ``sample`` labelled documents; an id that repeats gives each of its rows."""
     full = labels.filter(" and ".join(["doc_id is not null", *[f"`{c}` is not null" for c, _ in chain]]))
     y = F.array(*[(F.col(c) == v).cast("int") for c, v in chain]).alias("y")
     spread = F.xxhash64(F.lit(seed), "doc_id")
     chosen = full.select("doc_id", y, spread.alias("spread")).orderBy("spread", "doc_id").limit(sample)
     # At most ``sample`` ids: their size is proven, so they are broadcast.
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "y", F.pmod(F.shiftright("spread", 8), F.lit(FOLDS)).cast("int").alias("fold"))
+    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("spread", "text", "y", F.pmod(F.shiftright("spread", 8), F.lit(FOLDS)).cast("int").alias("fold"))
 
 
 def train(docs: DataFrame, labels: DataFrame, chain: tuple[tuple[str, int], ...] = CHAIN, sample: int = SAMPLE, seed: int = SEED) -> list[Linear]:
-    """The fitted chain.  Only hashed words of the bounded sample reach the driver."""
+    """The fitted chain.  Only hashed words of at most ``sample`` rows reach the driver, however often ids repeat."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             row, col = features(batch)
             ends = np.searchsorted(row, np.arange(batch.num_rows + 1)).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(col.astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([lists, batch.column("y"), batch.column("fold")], names=["words", "y", "fold"])
+            yield pa.RecordBatch.from_arrays([lists, *[batch.column(c) for c in order], batch.column("y"), batch.column("fold")], names=["words", *order, "y", "fold"])
 
-    rows = training_sample(docs, labels, chain, sample, seed).mapInArrow(hashed, "words array<int>, y array<int>, fold int").toArrow()
+    order = ["spread", "tie"]
+    drawn = training_sample(docs, labels, chain, sample, seed).withColumn("tie", F.xxhash64("text"))
+    found = drawn.mapInArrow(hashed, "words array<int>, spread long, tie long, y array<int>, fold int")
+    rows = found.orderBy(*order, "y").limit(sample).select("words", "y", "fold").toArrow()
     lists = rows.column("words").combine_chunks()
     col = lists.flatten().to_numpy().astype(np.int64)
     row = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy()) if len(lists) else np.zeros(0, np.int64)

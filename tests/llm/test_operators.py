@@ -615,6 +615,17 @@ def test_components(spark):
 # 9 Toxicity
 
 
+def test_training_rows_are_bounded_where_ids_repeat(spark, monkeypatch):
+    docs = spark.createDataFrame([(i % 3, f"word{i} text") for i in range(90)], "doc_id long, text string")
+    labels = spark.createDataFrame([(0, 1, 0), (1, 0, 1), (2, 1, 1)], "doc_id long, quality int, toxic int")
+    drawn = []
+    monkeypatch.setattr(toxicity, "fit_chain", lambda row, col, y, fold: drawn.append((col.tolist(), y.tolist(), fold.tolist())))
+    for most, part in ((1000, docs), (40, docs), (40, docs.repartition(7))):
+        toxicity.train(part, labels, sample=most)
+    assert [len(y) for _, y, _ in drawn] == [90, 40, 40]
+    assert drawn[1] == drawn[2]
+
+
 def test_toxicity(spark):
     sf = "/root/testdata/sf0.1"
     docs, labels = documents(spark, sf), spark.read.parquet(f"{sf}/labels.parquet")
