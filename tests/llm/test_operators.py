@@ -106,6 +106,25 @@ def test_substrings(spark, monkeypatch, hot):
     check_substrings(docs, docs.collect())
 
 
+#: Two strings whose polynomial hashes are equal: of the sums of four lists of powers of the base, two agree.
+COLLIDING = (
+    "bbbbabababbabbaabbbbbababbaaaabaaaabbaabbaabaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa",
+    "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaabbbbabbaaaababaaabababbbbaababaababbbbbbba",
+)
+
+
+@pytest.mark.parametrize("hot", [20_000, 1])
+def test_substrings_whose_hashes_collide(spark, monkeypatch, hot):
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    one, two = (int(textops.prefix_hashes(np.frombuffer(t.encode(), dtype=np.uint8))[-1]) for t in COLLIDING)
+    assert one == two
+    rng = random.Random(2)
+    before, after = ("".join(rng.choices("cdefgh ", k=300)) for _ in range(2))
+    docs = spark.createDataFrame([(i, before + t + after) for i, t in enumerate(COLLIDING)], "doc_id long, text string")
+    check_substrings(docs, docs.collect())
+    assert [r.n_removed for r in suffix_dedup.substring_dedup(docs).collect()] == [0, 0]
+
+
 def test_substrings_of_the_table(spark):
     docs = documents(spark)
     check_substrings(docs, docs.collect())
