@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from engram.functions.text import query_terms, tokens
 from engram.operators.postings import inverted
+from engram.operators.textjoin import asked_words, joined_ranks
+from engram.session import cut
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 
@@ -24,10 +26,19 @@ def corpus_statistics(index: DataFrame) -> DataFrame:
     return index.agg(F.count("*").alias("n_texts"), F.avg("dl").alias("mean_dl"))
 
 
+def idf(df: Column, n: Column) -> Column:
+    """The weight of a word that ``df`` of ``n`` texts hold."""
+    return F.greatest(F.log((n - df + 0.5) / (df + 0.5)), F.lit(LEAST_IDF))
+
+
+def weighed(weight, tf, dl, mean):
+    """What a word of this weight adds to a text's rank, for columns or arrays: the only place where BM25 stands."""
+    return -weight * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / mean))
+
+
 def part(tf: Column, dl: Column, df: Column, n: Column, mean: Column) -> Column:
-    """What a word adds to a text's rank: the only place where BM25 stands.  Lower is better."""
-    idf = F.greatest(F.log((n - df + 0.5) / (df + 0.5)), F.lit(LEAST_IDF))
-    return -idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / mean))
+    """What a word adds to a text's rank.  Lower is better."""
+    return weighed(idf(df, n), tf, dl, mean)
 
 
 def first_rows(scored: DataFrame, k: int) -> DataFrame:
@@ -57,8 +68,18 @@ def rank_words(postings: DataFrame, totals: DataFrame, queries: DataFrame, k: in
 
 
 def bm25_topk(index: DataFrame, queries: DataFrame, k: int, require_all: bool = True, allowed: DataFrame | None = None) -> DataFrame:
-    """``rank_words`` over the texts of ``index`` (hash, seq, words, dl)."""
-    return rank_words(inverted(index), corpus_statistics(index), queries, k, require_all, allowed)
+    """What ``rank_words`` gives over the texts of ``index`` (hash, seq, words, dl), for any number of
+    queries: blocks of queries and texts meet, and no match is a row (``textjoin``).
+
+    Texts are read once, at once; their words that are asked for stay in the shared folder."""
+    wanted = cut(queries.filter("term is not null").select("query_id", "term").distinct())
+    held = cut(asked_words(index, wanted))
+    told = held.agg(F.count("*").alias("n"), F.avg("dl").alias("mean"), F.sum(F.size("tfs")).alias("postings")).first()
+    df = held.filter("terms <> ''").select(F.explode(F.split("terms", " ")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    asked = wanted.join(df, "term", "left").select("query_id", "term", idf(F.coalesce("df", F.lit(0)), F.lit(told.n)).alias("idf"))
+    texts = held if allowed is None else held.join(allowed.select("hash").distinct(), "hash", "left_semi")
+    n_queries = wanted.select("query_id").distinct().count()
+    return first_rows(joined_ranks(texts, asked, told.mean or 1.0, k, require_all, n_queries, told.postings or 0), k)
 
 
 def normalised(ranked: DataFrame) -> DataFrame:
