@@ -20,6 +20,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from engram.session import cut
+
 #: Queries of a block.
 QUERY_ROWS = 32_768
 #: Postings of a block of texts, and so few that more tasks than there are cores don't pay.
@@ -239,7 +241,7 @@ def _met(queries: DataFrame, rows: DataFrame, k: int, require_all: bool, mean: f
     return queries.groupBy(*by).cogroup(rows.groupBy(*by)).applyInArrow(_pair(k, require_all, mean, flat, schema), ddl)
 
 
-def query_blocks(queries: DataFrame, n: int) -> Column:
+def query_block(n: int) -> Column:
     return F.pmod(F.xxhash64("query_id"), F.lit(n)).cast("int")
 
 
@@ -249,6 +251,25 @@ def joined_ranks(texts: DataFrame, queries: DataFrame, mean: float, k: int, requ
     kinds = {f.name: f.dataType.simpleString() for f in texts.schema} | {"query_id": dict(queries.dtypes)["query_id"]}
     nq = _blocks(n_queries, QUERY_ROWS)
     nt = text_blocks(n_postings, texts.sparkSession.sparkContext.defaultParallelism)
-    asked = queries.select("query_id", "term", "idf", query_blocks(queries, nq).alias("qb"), _every(nt, "tb"))
+    asked = queries.select("query_id", "term", "idf", query_block(nq).alias("qb"), _every(nt, "tb"))
     held = texts.filter("terms <> ''").withColumn("tb", F.pmod(F.xxhash64("hash", "seq"), F.lit(nt)).cast("int")).select("*", _every(nq, "qb"))
     return _met(asked, held, k, require_all, mean, _of_texts, kinds)
+
+
+def stored_ranks(blocks: DataFrame, queries: DataFrame, totals: DataFrame, k: int) -> DataFrame:
+    """(query_id, hash, seq, rank): the best ``k`` texts of a stored index in segments
+    (``postings.segmented``) for each of ``queries`` (query_id, term) are among the rows.  Of the index,
+    the blocks of the queries' words are read, without their places."""
+    from engram.operators.fulltext import idf
+
+    wanted = cut(queries.filter("term is not null").select("query_id", "term").distinct())
+    words = cut(wanted.select("term").distinct())
+    told = totals.first()
+    mine = blocks.join(F.broadcast(words) if words.count() <= WORDS else words, "term", "left_semi")
+    df = mine.groupBy("term").agg(F.sum("n").alias("df"))
+    nq = _blocks(wanted.select("query_id").distinct().count(), QUERY_ROWS)
+    asked = wanted.join(df, "term", "left").select("query_id", "term", idf(F.coalesce("df", F.lit(0)), F.lit(told.n_texts)).alias("idf"), query_block(nq).alias("qb"))
+    asked = asked.crossJoin(F.broadcast(mine.select(F.col("part").alias("tb")).distinct()))  # as many rows as segments
+    rows = mine.select("term", "hashes", "seqs", "dls", "tfs", F.col("part").alias("tb"), _every(nq, "qb"))
+    kinds = {"query_id": dict(queries.dtypes)["query_id"], "hash": "bigint", "seq": "int"}
+    return _met(asked, rows, k, False, told.mean_dl or 1.0, _of_blocks, kinds)
